@@ -15,14 +15,19 @@ from stocklens.schemas import (
     WHITESPACE,
 )
 
-_NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
-_WHOLE = r"^[+-]?\d+(_\d+)*$"
+_GROUPED_DIGITS = r"^[+-]?([0-9](_?[0-9])*)?\.?([0-9](_?[0-9])*)?([eE][+-]?[0-9](_?[0-9])*)?$"
 _MAX_INT = 2_147_483_647
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of whitespace, not only spaces."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim every kind of whitespace, not only spaces.
+
+    Trimming by a character set is several times slower than trimming spaces, so it runs only where an end is not a
+    printable ASCII character after that.
+    """
+    text = F.trim(c)
+    clean = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(clean, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -39,7 +44,10 @@ def clean_category(c: Column, fallback: bool = False) -> Column:
     text = strip(c)
     missing = c.isNull() | (text == "") | F.lower(text).isin(EMPTY_CATEGORY_WORDS)
     empty = F.lit(UNCATEGORIZED) if fallback else F.lit(None).cast("string")
-    return F.when(missing, empty).otherwise(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    # Printable ASCII without double blanks has nothing to collapse; the general pattern is slow.
+    even = text.rlike("^[ -~]*$") & ~text.contains("  ")
+    collapsed = F.when(even, text).otherwise(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.when(missing, empty).otherwise(collapsed)
 
 
 def is_real_name(c: Column) -> Column:
@@ -87,10 +95,16 @@ def payload_label(c: Column) -> Column:
     )
 
 
+def _plain_digits(text: Column) -> Column:
+    """Number text without the underscores that may group its digits; null where they stand elsewhere."""
+    grouped = F.when(text.rlike(_GROUPED_DIGITS), F.replace(text, F.lit("_"), F.lit("")))
+    return F.when(text.contains("_"), grouped).otherwise(text)
+
+
 def to_number(c: Column) -> Column:
     """Text as a double. Null for text such as '12d' that a lenient cast would take."""
-    text = strip(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    text = _plain_digits(strip(c.cast("string")))
+    return F.when(~text.rlike("[^0-9eE.+-]"), text.try_cast("double"))
 
 
 def to_price(c: Column) -> Column:
@@ -102,18 +116,20 @@ def price_problem(c: Column, label: str = "Price") -> Column:
     return F.when(to_price(c).isNull(), F.lit(f"{label} must be a valid number."))
 
 
+def _whole(c: Column) -> Column:
+    return _plain_digits(strip(c.cast("string"))).try_cast("int")
+
+
 def to_count(c: Column) -> Column:
     """Whole number text of zero or more; null for decimals, negatives and other text."""
-    text = strip(c.cast("string"))
-    value = F.when(text.rlike(_WHOLE), F.replace(text, F.lit("_"), F.lit("")).try_cast("int"))
+    value = _whole(c)
     return F.when(value >= 0, value)
 
 
 def count_problem(c: Column, label: str = "Quantity") -> Column:
-    text = strip(c.cast("string"))
-    negative = text.rlike(_WHOLE) & text.startswith("-") & text.rlike("[1-9]")
-    return F.when(negative, F.lit(f"{label} cannot be negative.")).when(
-        to_count(c).isNull(), F.lit(f"{label} must be a valid whole number.")
+    value = _whole(c)
+    return F.when(value < 0, F.lit(f"{label} cannot be negative.")).when(
+        value.isNull(), F.lit(f"{label} must be a valid whole number.")
     )
 
 

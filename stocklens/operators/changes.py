@@ -4,7 +4,7 @@ Nothing is changed in place; the caller writes the result. Competing changes to
 (``max_by``), so a row with very many changes is combined on the map side.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
 from stocklens.operators.allocation import allocate
@@ -12,9 +12,14 @@ from stocklens.operators.joins import category_suggestions
 from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, UNCATEGORIZED
 
 
-def _last(changes: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """The last change per key as a struct column ``change``."""
-    return changes.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("change"))
+def _last(changes: DataFrame, key: str, order: list[str], fields: list[str], counts: Column) -> DataFrame:
+    """The last change per key among those that count, as a struct column ``change``.
+
+    The condition sits in the aggregate: as a filter it would be pushed below the parsing and repeat it.
+    """
+    return changes.groupBy(key).agg(
+        F.max_by(F.struct(*fields), F.when(counts, F.struct(*order))).alias("change")
+    )
 
 
 def check_inventory_edits(edits: DataFrame, today: str) -> DataFrame:
@@ -50,8 +55,8 @@ EDITED_FIELDS = [
 
 def apply_inventory_edits(inventory: DataFrame, edits: DataFrame, today: str) -> DataFrame:
     """Full-row updates by id; the last accepted edit of a row wins, refused edits change nothing."""
-    good = check_inventory_edits(edits, today).filter(F.col("problem").isNull())
-    last = _last(good, "id", ["edited_at", "edit_id"], EDITED_FIELDS)
+    checked = check_inventory_edits(edits, today)
+    last = _last(checked, "id", ["edited_at", "edit_id"], EDITED_FIELDS, F.col("problem").isNull())
     edited = F.col("change").isNotNull()
     updated = {
         field: F.when(edited, F.col(f"change.{field}")).otherwise(F.col(field)) for field in EDITED_FIELDS
@@ -241,8 +246,8 @@ def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
 
 def apply_order_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
     """Last allowed status per order. ``changes``: ``order_id``, ``changed_at``, ``change_id``, ``status``."""
-    good = changes.withColumn("status", C.title_status(F.col("status"))).filter(F.col("status").isNotNull())
-    last = _last(good, "order_id", ["changed_at", "change_id"], ["status"])
+    titled = changes.withColumn("status", C.title_status(F.col("status")))
+    last = _last(titled, "order_id", ["changed_at", "change_id"], ["status"], F.col("status").isNotNull())
     return (
         orders.join(last, "order_id", "left")
         .withColumn("status", F.coalesce("change.status", "status"))

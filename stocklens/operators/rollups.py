@@ -66,14 +66,25 @@ def entry_trend(inventory: DataFrame) -> DataFrame:
 
 
 def product_rollup(inventory: DataFrame) -> DataFrame:
-    """Stock, value and highest price per product; the category is that of its newest row."""
+    """Stock, value and highest price per product; the category is that of its newest row, cleaned once per product."""
     name = C.strip(F.coalesce("product_name", F.lit("")))
-    return inventory.groupBy(name.alias("product_name")).agg(
-        F.max_by(C.clean_category(F.col("category"), fallback=True), F.struct("created_at", "id")).alias("category"),
-        _units(F.col("quantity")).alias("stock"),
-        _or_zero(F.sum(_value())).alias("value"),
-        F.max(F.coalesce("price", F.lit(0).cast(MONEY))).alias("price"),
-        newest_row_key().alias("newest_row"),
+    newest = F.max(F.struct("created_at", "id", "category"))
+    return (
+        inventory.groupBy(name.alias("product_name"))
+        .agg(
+            newest.alias("newest"),
+            _units(F.col("quantity")).alias("stock"),
+            _or_zero(F.sum(_value())).alias("value"),
+            F.max(F.coalesce("price", F.lit(0).cast(MONEY))).alias("price"),
+        )
+        .select(
+            "product_name",
+            C.clean_category(F.col("newest.category"), fallback=True).alias("category"),
+            "stock",
+            "value",
+            "price",
+            F.struct("newest.created_at", "newest.id").alias("newest_row"),
+        )
     )
 
 

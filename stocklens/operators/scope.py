@@ -75,13 +75,16 @@ def typed_inventory(inventory: DataFrame) -> DataFrame:
     )
 
 
-def report_inventory(inventory: DataFrame, report_id: str | None = None, exclude_demo: bool = False) -> DataFrame:
-    """Rows of one report (of all reports when none is named), cleaned for display."""
+def report_rows(inventory: DataFrame, report_id: str | None = None, exclude_demo: bool = False) -> DataFrame:
+    """Stored rows of one report, or of all reports when none is named."""
     if report_id is not None:
         inventory = inventory.filter(F.col("report_id") == report_id)
-    if exclude_demo:
-        inventory = filter_real_names(inventory)
-    return typed_inventory(inventory)
+    return filter_real_names(inventory) if exclude_demo else inventory
+
+
+def report_inventory(inventory: DataFrame, report_id: str | None = None, exclude_demo: bool = False) -> DataFrame:
+    """:func:`report_rows` cleaned for display."""
+    return typed_inventory(report_rows(inventory, report_id, exclude_demo))
 
 
 def lookup_ci(df: DataFrame, key_cols: list[str], value: str) -> DataFrame:

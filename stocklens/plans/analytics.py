@@ -55,7 +55,7 @@ def report_analytics(
 ) -> Bundle:
     """:func:`business_analytics` over the real-name rows and the order lines of one report."""
     return business_analytics(
-        scope.report_inventory(inventory, report_id, exclude_demo=True),
+        scope.report_rows(inventory, report_id, exclude_demo=True),
         joins.order_lines(items, orders, report_id),
         share,
     )

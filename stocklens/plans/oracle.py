@@ -792,7 +792,8 @@ _add(
 _SQL["checkout"] = _recursive(_SQL["checkout"])
 _add(
     "checkout_inventory", [CART, INV],
-    f""", {_CHECKOUT}, left_over AS (SELECT report_id, stock FROM served QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY nth DESC) = 1)
+    f""", {_CHECKOUT}, ends AS (SELECT report_id, count(*) AS nth FROM carts GROUP BY 1),
+    left_over AS (SELECT s.report_id, s.stock FROM served s LEFT JOIN ends e ON e.report_id = s.report_id WHERE s.nth = coalesce(e.nth, 0))
     SELECT p.id, p.report_id, CAST(l.stock[p.place] AS INT) AS quantity FROM places p JOIN left_over l ON l.report_id = p.report_id""",
 )
 _SQL["checkout_inventory"] = _recursive(_SQL["checkout_inventory"])

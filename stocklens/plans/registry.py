@@ -55,8 +55,8 @@ def queries() -> dict[str, Query]:
 
 
 def _inventory(t: Tables) -> DataFrame:
-    """Real-name rows of all reports in display form."""
-    return scope.report_inventory(t.inventory_data, exclude_demo=True)
+    """Real-name rows of all reports."""
+    return scope.report_rows(t.inventory_data, exclude_demo=True)
 
 
 def _sales(t: Tables) -> DataFrame:
