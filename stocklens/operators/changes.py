@@ -189,7 +189,7 @@ def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
     """Check out every cart, in order of its last change within its report.
 
     A cart goes through when each of its lines still has enough stock after the carts before it. Returns ``verdicts``,
-    ``orders``, ``order_items``, the reduced ``inventory`` and the ``cart`` lines that stay. The order total uses
+    ``orders``, ``order_items``, units ``sold``, the reduced ``inventory`` and the ``cart`` lines that stay. The order total uses
     inventory prices, the line totals use cart prices. ``order_ref`` is a digest of the cart, so a repeated run gives
     the same reference.
     """
@@ -237,6 +237,7 @@ def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
             "order_ref", "inventory_id", "product_name", "category", "unit_price", "quantity",
             C.line_total(F.col("unit_price"), F.col("quantity")).alias("line_total"),
         ),
+        "sold": sold,
         "inventory": inventory.join(sold, ["report_id", "id"], "left")
         .withColumn("quantity", (F.col("quantity") - F.coalesce("sold", F.lit(0))).cast("int"))
         .select(*inventory.columns),

@@ -1,6 +1,6 @@
 """Typed table scans, schema conformance and the inventory sink."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stocklens.schemas import COLUMN_DEFAULTS, TABLES
 
@@ -29,7 +29,7 @@ def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None
     return {name: load_table(spark, folder, name) for name in names or list(TABLES)}
 
 
-def _bucket(report_id, buckets: int):
+def report_bucket(report_id: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(report_id), F.lit(buckets)).cast("int")
 
 
@@ -46,7 +46,7 @@ def append_inventory(
         rows = rows.withColumn("user_id", F.lit(user_id))
     (
         conform_schema(rows, schema, COLUMN_DEFAULTS["inventory_data"])
-        .withColumn("report_bucket", _bucket(F.col("report_id"), buckets))
+        .withColumn("report_bucket", report_bucket(F.col("report_id"), buckets))
         .hint("rebalance", "report_bucket")
         .sortWithinPartitions("report_bucket", "report_id")
         .write.mode(mode)
@@ -63,6 +63,6 @@ def read_inventory(
     schema = T.StructType([*TABLES["inventory_data"].fields, T.StructField("report_bucket", T.IntegerType())])
     stored = spark.read.schema(schema).parquet(path)
     if report_id is not None:
-        same_bucket = F.col("report_bucket") == _bucket(F.lit(report_id), buckets)
+        same_bucket = F.col("report_bucket") == report_bucket(F.lit(report_id), buckets)
         stored = stored.filter(same_bucket & (F.col("report_id") == report_id))
     return stored.drop("report_bucket")
