@@ -44,26 +44,23 @@ def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None) -
     )
     open_lines = checkpointed(placed)
     decided: list[DataFrame] = []
+    open_before = None
     while True:
-        judged = checkpointed(_judge(open_lines))
-        if judged.isEmpty():
-            break
-        settled = judged.filter(F.col("accepted").isNotNull())
-        if settled.isEmpty():
+        judged = checkpointed(open_lines.join(_judge(open_lines), "claim"))
+        decided.append(judged.filter(F.col("accepted").isNotNull()).select("claim", "accepted").distinct())
+        waiting = judged.filter(F.col("accepted").isNull()).drop("accepted")
+        still_open = waiting.count()
+        if still_open == 0:
+            return reduce(DataFrame.unionByName, decided)
+        if still_open == open_before:
             raise ValueError("every claim needs a non-null id and units")
-        decided.append(settled)
-        taken = (
-            open_lines.join(settled.filter("accepted"), "claim", "left_semi")
-            .groupBy("item")
-            .agg(F.sum("units").alias("taken"))
-        )
-        open_lines = checkpointed(
-            open_lines.join(settled, "claim", "left_anti")
-            .join(taken, "item", "left")
+        open_before = still_open
+        taken = judged.filter("accepted").groupBy("item").agg(F.sum("units").alias("taken"))
+        open_lines = (
+            waiting.join(taken, "item", "left")
             .withColumn("free", F.col("free") - F.coalesce("taken", F.lit(0)))
             .drop("taken")
         )
-    return reduce(DataFrame.unionByName, decided, judged)
 
 
 def _judge(open_lines: DataFrame) -> DataFrame:
