@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
 from stocklens.operators.allocation import allocate
-from stocklens.operators.joins import category_suggestions
+from stocklens.operators.joins import known_categories
 from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, UNCATEGORIZED
 
 
@@ -270,12 +270,12 @@ def apply_category_repairs(inventory: DataFrame, products: DataFrame) -> DataFra
     """
     uncategorized = F.lower(F.coalesce("category", F.lit(""))) == UNCATEGORIZED.lower()
     rest = inventory.filter(~uncategorized).withColumn("is_repaired", F.lit(False))
-    suggestions = category_suggestions(inventory, products).select("id", "new_category", F.lit(True).alias("hit"))
     repaired = (
         inventory.filter(uncategorized)
-        .join(suggestions, "id", "left")
-        .withColumn("category", F.when(F.col("hit"), F.col("new_category")).otherwise(F.col("category")))
-        .withColumn("is_repaired", F.coalesce("hit", F.lit(False)))
+        .withColumn("name_key", F.lower("product_name"))
+        .join(known_categories(products), "name_key", "left")
+        .withColumn("is_repaired", F.col("found").isNotNull())
+        .withColumn("category", F.when(F.col("is_repaired"), C.clean_category(F.col("found"))).otherwise(F.col("category")))
         .select(*inventory.columns, "is_repaired")
     )
     return rest.unionByName(repaired)
@@ -380,6 +380,25 @@ def apply_review_decisions(requests: DataFrame, codes: DataFrame, decisions: Dat
     return {"requests": new_requests, "codes": old_codes.unionByName(new_codes), "notifications": notifications}
 
 
+def mark_codes_used(codes: DataFrame, uses: DataFrame) -> DataFrame:
+    """Access codes or reset tokens after use: ``uses`` holds ``id`` and ``used_at``, the first use counting."""
+    first = uses.groupBy("id").agg(F.min("used_at").alias("first_use"))
+    used = codes.join(first, "id", "left").withColumn("used_at", F.coalesce("used_at", "first_use"))
+    if "status" in codes.columns:
+        used = used.withColumn("status", F.when(F.col("first_use").isNotNull(), "used").otherwise(F.col("status")))
+    return used.select(*codes.columns)
+
+
+def attach_pictures(catalogs: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Catalogs with the picture file of their token; ``pictures`` holds one ``qr_filename`` per ``token``."""
+    newest = pictures.groupBy("token").agg(F.max("qr_filename").alias("picture"))
+    return (
+        catalogs.join(newest, "token", "left")
+        .withColumn("qr_filename", F.coalesce("picture", "qr_filename"))
+        .select(*catalogs.columns)
+    )
+
+
 def append_activity(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 

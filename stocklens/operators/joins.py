@@ -41,14 +41,17 @@ def order_lines(items: DataFrame, orders: DataFrame, report_id: str | None = Non
 def all_sales(
     sales: DataFrame, products: DataFrame, items: DataFrame, orders: DataFrame, role: str = "admin"
 ) -> DataFrame:
-    """Bag union of recorded sales and order lines; empty for anybody but staff."""
-    recorded = filter_real_names(sales_lines(sales, products))
-    recorded = recorded.withColumn("sale_date", F.col("sale_date").cast("timestamp")).withColumn(
-        "line_id", F.col("line_id").cast("string")
-    )
-    ordered = order_lines(items, orders)
-    ordered = ordered.withColumn("sale_date", F.col("sale_date").cast("timestamp")).withColumn(
-        "line_id", F.col("line_id").cast("string")
+    """Bag union of recorded sales and order lines; empty for anybody but staff. Recorded sales rank first."""
+    parts = [filter_real_names(sales_lines(sales, products)), order_lines(items, orders)]
+    recorded, ordered = (
+        part.withColumns(
+            {
+                "sale_date": F.col("sale_date").cast("timestamp"),
+                "line_id": F.col("line_id").cast("string"),
+                "source": F.lit(rank),
+            }
+        )
+        for rank, part in enumerate(parts)
     )
     both = recorded.unionByName(ordered)
     return both if role in ("admin", "manager") else both.filter(F.lit(False))
@@ -179,18 +182,21 @@ def order_views(
     )
 
 
-def category_suggestions(inventory: DataFrame, products: DataFrame) -> DataFrame:
-    """For uncategorized rows, the category of the newest product of the same name that has one."""
-    word = UNCATEGORIZED.lower()
-    known = (
-        products.filter(F.lower("category") != word)
+def known_categories(products: DataFrame) -> DataFrame:
+    """Per lower-case product name, the category of the newest product that has one."""
+    return (
+        products.filter(F.lower("category") != UNCATEGORIZED.lower())
         .groupBy(F.lower("name").alias("name_key"))
         .agg(F.max_by("category", "product_id").alias("found"))
     )
+
+
+def category_suggestions(inventory: DataFrame, products: DataFrame) -> DataFrame:
+    """For uncategorized rows, the category of the newest product of the same name that has one."""
     return (
-        inventory.filter(F.lower("category") == word)
+        inventory.filter(F.lower("category") == UNCATEGORIZED.lower())
         .withColumn("name_key", F.lower("product_name"))
-        .join(known, "name_key")
+        .join(known_categories(products), "name_key")
         .select("id", "product_name", "category", C.clean_category(F.col("found")).alias("new_category"))
     )
 

@@ -109,12 +109,11 @@ def units_sold(sales: DataFrame) -> DataFrame:
 
 def units_sold_in_order(sales: DataFrame) -> DataFrame:
     """:func:`units_sold` with the key of each product's first sale, which breaks ties between products."""
+    key = [name for name in ("source", "sale_date", "line_id") if name in sales.columns]
     return (
         _named_sales(sales)
         .groupBy("product_name")
-        .agg(
-            _units(F.col("quantity")).alias("sold"), F.min(F.struct("sale_date", "line_id")).alias("first_sale")
-        )
+        .agg(_units(F.col("quantity")).alias("sold"), F.min(F.struct(*key)).alias("first_sale"))
     )
 
 

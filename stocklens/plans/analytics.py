@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from stocklens.operators import joins, rollups, scope, topk
 from stocklens.plans import insights
+from stocklens.schemas import NO_DATE
+from stocklens.sources.tables import report_bucket
 
 
 class Bundle(dict):
@@ -12,10 +14,10 @@ class Bundle(dict):
 
     def __init__(self, shared: list[DataFrame], parts: dict[str, DataFrame]):
         super().__init__(parts)
-        self._shared = shared
+        self.shared = shared
 
     def release(self) -> None:
-        for table in self._shared:
+        for table in self.shared:
             table.unpersist()
 
 
@@ -78,6 +80,95 @@ def decision_analytics(inventory: DataFrame) -> Bundle:
     )
 
 
+def dashboard(inventory: DataFrame) -> Bundle:
+    """Figures of a dashboard over the rows its reader may see."""
+    return Bundle(
+        [],
+        {
+            "metrics": rollups.dashboard_metrics(inventory),
+            "category_totals": rollups.category_units(inventory),
+            "top_categories": rollups.top_category_units(inventory),
+            "trend_points": rollups.entry_trend(inventory),
+            "low_stock": topk.dashboard_low_stock(inventory),
+            "insights": insights.inventory_insights(inventory),
+            "recent_rows": topk.preview(inventory, 8),
+        },
+    )
+
+
+def admin_dashboard(tables: dict[str, DataFrame], as_of: str) -> Bundle:
+    """Dashboard of an administrator over the stored tables, by table name."""
+    t = tables
+    parts = dict(dashboard(t["inventory_data"]))
+    parts |= {f"decision_{name}": part for name, part in decision_analytics(t["inventory_data"]).items()}
+    parts |= {
+        "users": topk.recent(t["app_users"], 6, id_col="user_id"),
+        "reports": joins.report_listing(t["uploaded_reports"], t["shared_catalogs"], t["inventory_data"], limit=6),
+        "total_reports": rollups.report_count(t["uploaded_reports"]),
+        "latest_report": topk.latest_report(t["uploaded_reports"]),
+        "latest_share": topk.latest_valid_catalog(t["shared_catalogs"], as_of),
+        "shared_catalogs": topk.recent(t["shared_catalogs"], 5, id_col="share_id"),
+        "orders": joins.order_views(t["orders"], t["order_items"], limit=8),
+        "recent_activity": topk.recent(t["activity_logs"], 8, id_col="activity_id"),
+    }
+    return Bundle([], parts)
+
+
+def manager_dashboard(tables: dict[str, DataFrame], share: bool = True) -> Bundle:
+    """Dashboard of a manager: here sales are recorded sales and order lines of all reports together."""
+    t = tables
+    sales = joins.all_sales(t["sales"], t["products"], t["order_items"], t["orders"], role="manager")
+    business = business_analytics(scope.filter_real_names(t["inventory_data"]), sales, share)
+    parts = dict(dashboard(t["inventory_data"]))
+    parts |= {f"business_{name}": part for name, part in business.items()}
+    parts |= {
+        "orders": joins.order_views(t["orders"], t["order_items"], limit=10),
+        "shared_catalogs": topk.recent(t["shared_catalogs"], 5, id_col="share_id"),
+        "recent_activity": topk.recent(t["activity_logs"], 8, id_col="activity_id"),
+        "latest_report": topk.latest_report(t["uploaded_reports"]),
+    }
+    return Bundle(business.shared, parts)
+
+
+def user_dashboard(tables: dict[str, DataFrame], user_id: int, username: str, as_of: str) -> Bundle:
+    """Dashboard of a shopper: newest shared catalog with its first rows, own orders and cart."""
+    t = tables
+    latest = topk.latest_valid_catalog(t["shared_catalogs"], as_of)
+    resolved = joins.resolve_catalog_report(latest, t["uploaded_reports"], t["inventory_data"])
+    report = resolved.select(F.col("resolved_report_id").alias("report_id"))
+    rows = scope.typed_inventory(t["inventory_data"].join(report, "report_id", "left_semi"))
+    own = scope.visible_orders(t["orders"], "user", user_id, username)
+    cart = t["cart_items"].filter(F.col("user_id") == user_id)
+    return Bundle(
+        [],
+        {
+            "latest_share": resolved,
+            "products": topk.preview(rows, 8),
+            "orders": joins.order_views(own, t["order_items"], limit=8),
+            "cart": joins.cart_with_stock(cart, t["inventory_data"]),
+            "cart_summary": rollups.cart_summary(cart),
+        },
+    )
+
+
+def report_view(report_id: str, reports: DataFrame, catalogs: DataFrame, inventory: DataFrame) -> Bundle:
+    """Page of one report: its listing row, first rows, and chart series of those rows."""
+    mine = inventory.filter(F.col("report_id") == report_id)
+    listed = reports.filter(F.col("report_id") == report_id)
+    shares = catalogs.filter(F.col("source_report_id") == report_id)
+    rows = topk.preview(scope.typed_inventory(mine), 8)
+    charts = insights.entry_chart_series(rows.withColumn("created_at", F.lit(None).cast("timestamp")))
+    undated = (F.col("chart") == "trend") & (F.col("label") == NO_DATE)
+    return Bundle(
+        [],
+        {
+            "report": joins.report_listing(listed, shares, mine),
+            "preview_rows": rows,
+            "charts": charts.withColumn("label", F.when(undated, "-").otherwise(F.col("label"))),
+        },
+    )
+
+
 def catalog_page(
     token: str,
     as_of: str,
@@ -93,13 +184,17 @@ def catalog_page(
 ) -> Bundle:
     """Rows, metrics and facets of the catalog a link names; all empty when the link is not valid.
 
-    The report is resolved inside the plan: the semi join on one report id becomes a runtime filter on the scan.
+    The report is resolved inside the plan. When the stored inventory comes with its bucket column, the join on it
+    prunes the folders of other buckets at run time.
     """
     catalog = scope.catalog_by_token(catalogs, token, as_of)
     report = joins.resolve_catalog_report(catalog, reports, inventory).select(
         F.col("resolved_report_id").alias("report_id")
     )
-    rows = scope.typed_inventory(inventory.join(report, "report_id", "left_semi"))
+    by = ["report_id"]
+    if "report_bucket" in inventory.columns:
+        report, by = report.withColumn("report_bucket", report_bucket(F.col("report_id"))), ["report_id", "report_bucket"]
+    rows = scope.typed_inventory(inventory.join(report, by, "left_semi"))
     matching = scope.filter_catalog(rows, search, category, stock_level, branch)
     return Bundle(
         [],

@@ -47,8 +47,7 @@ def _seen_rank() -> list[Column]:
         F.col("is_sales_only"),
         F.coalesce(-_micros(F.col("newest_row.created_at")), F.lit(_LAST)),
         -F.col("newest_row.id"),
-        _micros(F.col("first_sale.sale_date")),
-        F.col("first_sale.line_id"),
+        F.col("first_sale"),
     ]
 
 

@@ -214,7 +214,7 @@ _add(
     "register_reports", [],
     _UP + f"""SELECT path, replace(split_part(path, '/', 2), '.xlsx', '') || ' catalog' AS title, CAST(1 AS BIGINT) AS created_by_admin,
     split_part(path, '/', 2) AS source_file_name, 'active' AS status, TIMESTAMP '{AS_OF}' AS created_at,
-    row_number() OVER (ORDER BY path) AS report_number FROM (SELECT DISTINCT path FROM cells) f""",
+    row_number() OVER (PARTITION BY substr(md5(path), 1, 3) ORDER BY path) * 4096 + CAST('0x' || substr(md5(path), 1, 3) AS INT) AS report_number FROM (SELECT DISTINCT path FROM cells) f""",
 )
 _add(
     "normalize_rows", [INV],
@@ -333,8 +333,8 @@ _add("order_lines", [ITEMS, ORD], f", {LINES} SELECT {_LINE_COLS} FROM lines")
 _add("order_lines_of_report", [ITEMS, ORD], f", {LINES} SELECT {_LINE_COLS} FROM lines WHERE report_id = '{REPORT}'")
 _add(
     "all_sales", [SALES, PRO, ITEMS, ORD],
-    f""", {LINES} SELECT {_LINE_COLS} FROM lines UNION ALL
-    SELECT p.name, p.category, s.quantity, CAST(s.sale_date AS TIMESTAMP), {money('s.total_amount')}, s.sale_id
+    f""", {LINES} SELECT {_LINE_COLS}, 1 AS source FROM lines UNION ALL
+    SELECT p.name, p.category, s.quantity, CAST(s.sale_date AS TIMESTAMP), {money('s.total_amount')}, s.sale_id, 0
     FROM t_sales s JOIN t_products p ON p.product_id = s.product_id WHERE {real('p.name')}""",
 )
 _add(
@@ -572,7 +572,7 @@ def _say(*parts: str) -> str:
 
 _add(
     "inventory_insights", [INV],
-    f""", {_RAW_UNITS} SELECT 1 AS position, (SELECT coalesce(category, 'None') || ' is your strongest category right now with ' || units || ' units in stock.'
+    f""", {_RAW_UNITS} SELECT CAST(1 AS BIGINT) AS position, (SELECT coalesce(category, 'None') || ' is your strongest category right now with ' || units || ' units in stock.'
         FROM units ORDER BY units DESC, seen LIMIT 1) AS message
     UNION ALL SELECT 2, (SELECT 'Low stock alert: ' || product_name || ' has only ' || quantity || ' units left.' FROM t_inventory_data
         WHERE quantity <= 10 ORDER BY created_at DESC, id DESC LIMIT 1)
@@ -580,7 +580,7 @@ _add(
         FROM t_inventory_data ORDER BY price * quantity DESC, created_at DESC, id DESC LIMIT 1)""",
 )
 _BUSINESS = _say(
-    "SELECT 1 AS position, (SELECT product_name || ' is the fastest-moving item with ' || sold || ' units sold.' FROM facts WHERE sold > 0 ORDER BY sold DESC, first_seen LIMIT 1) AS message",
+    "SELECT CAST(1 AS BIGINT) AS position, (SELECT product_name || ' is the fastest-moving item with ' || sold || ' units sold.' FROM facts WHERE sold > 0 ORDER BY sold DESC, first_seen LIMIT 1) AS message",
     "SELECT 2, (SELECT product_name || ' is slow-moving with ' || sold || ' sold and ' || stock || ' still in stock.' FROM facts WHERE stock > 0 ORDER BY sold, stock DESC, first_seen LIMIT 1)",
     "SELECT 3, (SELECT product_name || ' needs restocking soon. Only ' || stock || ' units remain.' FROM facts WHERE stock BETWEEN 0 AND 9 ORDER BY stock, first_seen LIMIT 1)",
     "SELECT 4, (SELECT category || ' has the highest stock concentration with ' || stock || ' units.' FROM catv ORDER BY stock DESC, seen LIMIT 1)",
@@ -592,7 +592,7 @@ _add("business_insights", FACT_TABLES, f", {FACTS}, {CATV} {_NUMBERED.format(_BU
 
 def _stock_sentences(fast: str, slow: str, top: str, low_order: str) -> str:
     return _say(
-        f"SELECT 1 AS position, (SELECT product_name || '{fast}' FROM pq ORDER BY quantity DESC, product_name LIMIT 1) AS message",
+        f"SELECT CAST(1 AS BIGINT) AS position, (SELECT product_name || '{fast}' FROM pq ORDER BY quantity DESC, product_name LIMIT 1) AS message",
         f"SELECT 2, (SELECT product_name || '{slow}' FROM pq ORDER BY quantity, product_name LIMIT 1)",
         f"SELECT 3, (SELECT category || '{top}' FROM cq ORDER BY quantity DESC, category LIMIT 1)",
         f"SELECT 4, (SELECT product_name || ' has low stock and needs restocking.' FROM t_inventory_data WHERE quantity < 10 ORDER BY {low_order} LIMIT 1)",
@@ -685,6 +685,24 @@ _add(
     ),
 )
 
+ALL_LINES = f"""lines AS (
+    SELECT i.product_name, i.quantity, o.created_at AS sale_date, i.order_item_id AS line_id, 1 AS source
+    FROM t_order_items i JOIN t_orders o ON o.order_id = i.order_id WHERE {real('i.product_name')}
+    UNION ALL SELECT p.name, s.quantity, CAST(s.sale_date AS TIMESTAMP), s.sale_id, 0
+    FROM t_sales s JOIN t_products p ON p.product_id = s.product_id WHERE {real('p.name')})"""
+ALL_FACTS = FACTS.replace(LINES, ALL_LINES).replace("ORDER BY sale_date, line_id", "ORDER BY source, sale_date, line_id")
+_MANAGER = [INV, ITEMS, ORD, SALES, PRO]
+_add("manager_summary", _MANAGER, f", {ALL_FACTS} {_SUMMARY}")
+_top("manager_fast_movers", _MANAGER, ALL_FACTS, FACT_COLS, "facts WHERE sold > 0", "sold DESC, first_seen", 10)
+_add("manager_insights", _MANAGER, f", {ALL_FACTS}, {CATV} {_NUMBERED.format(_BUSINESS)}")
+_add(
+    "report_view_charts", [INV],
+    f""", {ROWS}, shown AS (SELECT * FROM inv WHERE report_id = '{REPORT}' ORDER BY seen LIMIT 8),
+    units AS (SELECT category, sum(quantity) AS units FROM shown GROUP BY 1),
+    trend AS (SELECT coalesce(strftime(entry_date, '%Y-%m-%d'), '-') AS day, sum(quantity) AS units FROM shown GROUP BY 1) """
+    + _series("category", "category", "units", "units") + " UNION ALL " + _series("trend", "day", "units", "trend"),
+)
+
 # --- table updates -----------------------------------------------------------
 
 _EDITS = f"""edits AS (
@@ -852,6 +870,17 @@ _add(
     f""", {_DECIDED} SELECT request_id, email, username, CASE decision WHEN 'reject' THEN 'Your admin request was not approved.'
       ELSE 'Your admin request has been approved. You may continue. Admin access code: ' || code END AS message, decided_at AS created_at FROM counted""",
 )
+_add(
+    "mark_codes_used", [CODES, ORD],
+    """SELECT c.id, c.request_id, c.code, c.email, c.expires_at, CASE WHEN o.order_id IS NOT NULL THEN 'used' ELSE c.status END AS status,
+      coalesce(c.used_at, o.created_at) AS used_at, c.created_at
+    FROM t_admin_access_codes c LEFT JOIN t_orders o ON o.order_id = c.id AND o.status = 'Delivered'""",
+)
+_add(
+    "attach_pictures", [CAT, REP],
+    """SELECT c.share_id, c.title, c.token, c.source_report_id, coalesce(r.token || '.png', c.qr_filename) AS qr_filename, c.status, c.expires_at,
+      c.created_at FROM t_shared_catalogs c LEFT JOIN t_uploaded_reports r ON r.token = c.token""",
+)
 _add(
     "append_activity", [LOG, ORD],
     """SELECT * FROM t_activity_logs UNION ALL SELECT NULL, user_id, 'Checkout completed', NULL, created_at FROM t_orders""",

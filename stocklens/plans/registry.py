@@ -776,6 +776,31 @@ def business_analytics(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _manager(t):
+    names = ("inventory_data", "products", "sales", "orders", "order_items", "shared_catalogs", "activity_logs", "uploaded_reports")
+    return analytics.manager_dashboard({name: getattr(t, name) for name in names}, share=False)
+
+
+@query
+def manager_summary(t):
+    return _manager(t)["business_summary"]
+
+
+@query
+def manager_fast_movers(t):
+    return _manager(t)["business_fast_items"]
+
+
+@query
+def manager_insights(t):
+    return _manager(t)["business_insights"]
+
+
+@query
+def report_view_charts(t):
+    return analytics.report_view(REPORT, t.uploaded_reports, t.shared_catalogs, t.inventory_data)["charts"]
+
+
 # --- table updates -----------------------------------------------------------
 
 
@@ -871,6 +896,18 @@ def review_notifications(t):
     return _review(t)["notifications"]
 
 
+@query
+def mark_codes_used(t):
+    uses = t.orders.filter(F.col("status") == "Delivered").select(F.col("order_id").alias("id"), F.col("created_at").alias("used_at"))
+    return changes.mark_codes_used(t.admin_access_codes, uses)
+
+
+@query
+def attach_pictures(t):
+    pictures = t.uploaded_reports.select("token", F.concat("token", F.lit(".png")).alias("qr_filename"))
+    return changes.attach_pictures(t.shared_catalogs, pictures)
+
+
 @query
 def append_activity(t):
     rows = t.orders.select(

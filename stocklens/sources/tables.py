@@ -57,12 +57,16 @@ def append_inventory(
 
 
 def read_inventory(
-    spark: SparkSession, path: str, report_id: str | None = None, buckets: int = DEFAULT_BUCKETS
+    spark: SparkSession, path: str, report_id: str | None = None, buckets: int = DEFAULT_BUCKETS,
+    with_bucket: bool = False,
 ) -> DataFrame:
-    """The stored inventory; naming a report prunes to its bucket and skips row groups of other reports."""
+    """The stored inventory; naming a report prunes to its bucket and skips row groups of other reports.
+
+    Keep the bucket column where a later join on it can prune folders at run time.
+    """
     schema = T.StructType([*TABLES["inventory_data"].fields, T.StructField("report_bucket", T.IntegerType())])
     stored = spark.read.schema(schema).parquet(path)
     if report_id is not None:
         same_bucket = F.col("report_bucket") == report_bucket(F.lit(report_id), buckets)
         stored = stored.filter(same_bucket & (F.col("report_id") == report_id))
-    return stored.drop("report_bucket")
+    return stored if with_bucket else stored.drop("report_bucket")

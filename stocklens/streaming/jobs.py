@@ -14,7 +14,7 @@ from stocklens.sources.tables import append_inventory, report_bucket
 from stocklens.sources.workbooks import CELL_SCHEMA, WORKBOOK_GLOB, cells_of
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-FILES_PER_BATCH = 2**21
+REPORT_NUMBERS_PER_BATCH = 2**24
 
 
 def _write(df: DataFrame, sink: str, table: str, batch_id: int) -> None:
@@ -62,7 +62,7 @@ def ingest_files(files: DataFrame, sink: str, today: str, user_id: int | None =
 
     done = spark.read.parquet(f"{sink}/ingest_log/batch_id={batch_id}").filter(F.col("status") == "success")
     reports = ingest.register_reports(
-        listed.join(done.select("path"), "path", "left_semi"), user_id, first_number=batch_id * FILES_PER_BATCH
+        listed.join(done.select("path"), "path", "left_semi"), user_id, first_number=batch_id * REPORT_NUMBERS_PER_BATCH
     )
     _write(reports, sink, "uploaded_reports", batch_id)
     append_inventory(
