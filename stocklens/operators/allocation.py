@@ -29,15 +29,13 @@ def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None) -
     """Decide every claim; returns ``(claim, accepted)``.
 
     ``lines``: ``claim``, ``arrival`` (any sortable value, the same on all lines of a claim), ``item``, ``units``. A claim
-    may name an item once. ``capacity``: ``item``, ``units``; an item that is missing there has nothing to give.
+    may name an item once. ``capacity``: ``item``, ``units``; an item that is missing there has nothing to give. Without
+    a number of ``chunks``, AQE sizes them by their bytes; joined neighbours keep the order.
     """
-    spark = lines.sparkSession
-    if chunks is None:
-        chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stock = capacity.select("item", F.col("units").cast("bigint").alias("free"))
     placed = (
         lines.select("claim", "arrival", "item", F.col("units").cast("bigint").alias("units"))
-        .repartitionByRange(chunks, "arrival", "claim")
+        .repartitionByRange(*([chunks] if chunks else []), "arrival", "claim")
         .withColumn("chunk", F.spark_partition_id())
         .join(stock, "item", "left")
         .withColumn("free", F.coalesce("free", F.lit(0)))
