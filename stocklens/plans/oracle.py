@@ -348,7 +348,7 @@ _add(
     """SELECT r.report_id, r.title, r.source_file_name, r.token, r.created_at, s.qr_filename, coalesce(d.n, 0) AS row_count
     FROM t_uploaded_reports r LEFT JOIN (SELECT DISTINCT source_report_id, qr_filename FROM t_shared_catalogs) s ON s.source_report_id = r.report_id
     LEFT JOIN (SELECT report_id, count(*) AS n FROM t_inventory_data GROUP BY 1) d ON d.report_id = r.report_id
-    ORDER BY r.created_at DESC, r.report_id DESC LIMIT 10""",
+    ORDER BY r.created_at DESC, r.report_id DESC, s.qr_filename NULLS FIRST LIMIT 10""",
 )
 _CART_COLS = f"""c.cart_item_id, c.user_id, c.share_token, c.inventory_id, c.report_id, c.product_name, c.category,
     {money('c.unit_price')} AS unit_price, c.quantity, c.created_at"""
@@ -383,8 +383,8 @@ latest AS (SELECT report_id FROM t_uploaded_reports ORDER BY created_at DESC, re
 steps AS (
     SELECT s.*, s.source_report_id IN (SELECT report_id FROM filled) AS has_rows,
       (SELECT max(r.report_id) FROM t_uploaded_reports r WHERE r.report_id = s.source_report_id) AS by_id,
-      (SELECT arg_max(r.report_id, r.created_at) FROM t_uploaded_reports r WHERE lower(r.token) = lower({token('s.token')})) AS by_token,
-      (SELECT arg_max(r.report_id, r.created_at) FROM t_uploaded_reports r
+      (SELECT arg_max(r.report_id, strftime(r.created_at, '%Y%m%d') || r.report_id) FROM t_uploaded_reports r WHERE lower(r.token) = lower({token('s.token')})) AS by_token,
+      (SELECT arg_max(r.report_id, strftime(r.created_at, '%Y%m%d') || r.report_id) FROM t_uploaded_reports r
         WHERE lower(r.source_file_name) = lower(nullif({strip("regexp_extract(s.title, '(?i)catalog from\\s+(.+)$', 1)")}, ''))) AS by_file,
       (SELECT report_id FROM latest WHERE report_id IN (SELECT report_id FROM filled)) AS by_latest
     FROM t_shared_catalogs s),
