@@ -62,7 +62,12 @@ def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None) -
 
 
 def _judge(open_lines: DataFrame) -> DataFrame:
-    """One round: per open claim true, false, or null when it must wait."""
+    """One round: per open claim true, false, or null when it must wait.
+
+    The rows are partitioned by item and chunk on purpose: after a join on the item Spark would otherwise keep a hot
+    item in one task.
+    """
+    open_lines = open_lines.repartition("item", "chunk")
     before = Window.partitionBy("item").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     in_chunk = (
         Window.partitionBy("item", "chunk").orderBy("arrival", "claim").rowsBetween(Window.unboundedPreceding, 0)

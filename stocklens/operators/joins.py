@@ -159,7 +159,8 @@ def order_views(
     """Newest orders with their items nested, items by id.
 
     An order with more than ``items_per_row`` items is spread over several rows (``part`` 0, 1, ...), so no array grows
-    with the data; every item is in exactly one of them.
+    with the data; every item is in exactly one of them. The explicit partitioning by order and part spreads such an
+    order over tasks; without it Spark would keep the partitioning by order.
     """
     if limit is not None:
         orders = orders.orderBy(F.desc("created_at"), F.desc("order_id")).limit(limit)
@@ -172,14 +173,13 @@ def order_views(
     nested = (
         wanted.join(sizes, "order_id")
         .withColumn("part", F.pmod(F.xxhash64("order_item_id"), parts).cast("int"))
+        .repartition("order_id", "part")
         .groupBy("order_id", "part")
         .agg(F.array_sort(F.collect_list(line)).alias("items"))
     )
-    return (
-        orders.join(nested, "order_id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType)))
-    )
+    empty = F.array().cast(nested.schema["items"].dataType)
+    without = orders.join(sizes, "order_id", "left_anti").withColumns({"part": F.lit(0), "items": empty})
+    return nested.join(orders, "order_id").select(*orders.columns, "part", "items").unionByName(without)
 
 
 def known_categories(products: DataFrame) -> DataFrame:
