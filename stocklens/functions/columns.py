@@ -11,6 +11,7 @@ from stocklens.schemas import (
     MONEY,
     NO_DATE,
     ORDER_STATUSES,
+    TEXTS,
     UNCATEGORIZED,
     WHITESPACE,
 )
@@ -113,7 +114,7 @@ def to_price(c: Column) -> Column:
 
 
 def price_problem(c: Column, label: str = "Price") -> Column:
-    return F.when(to_price(c).isNull(), F.lit(f"{label} must be a valid number."))
+    return F.when(to_price(c).isNull(), F.lit(TEXTS["not_a_number"] % label))
 
 
 def _whole(c: Column) -> Column:
@@ -128,8 +129,8 @@ def to_count(c: Column) -> Column:
 
 def count_problem(c: Column, label: str = "Quantity") -> Column:
     value = _whole(c)
-    return F.when(value < 0, F.lit(f"{label} cannot be negative.")).when(
-        value.isNull(), F.lit(f"{label} must be a valid whole number.")
+    return F.when(value < 0, F.lit(TEXTS["negative"] % label)).when(
+        value.isNull(), F.lit(TEXTS["not_whole"] % label)
     )
 
 
@@ -192,15 +193,15 @@ def is_expired(c: Column, as_of: Column, unparseable_expires: bool) -> Column:
 def stock_status(quantity: Column, reorder_level: Column) -> Column:
     """Label of a catalog card."""
     return (
-        F.when(quantity <= 0, F.lit("Out of stock"))
-        .when(quantity <= reorder_level, F.lit("Low stock"))
-        .otherwise(F.lit("Ready"))
+        F.when(quantity <= 0, F.lit(TEXTS["out_of_stock"]))
+        .when(quantity <= reorder_level, F.lit(TEXTS["low_stock"]))
+        .otherwise(F.lit(TEXTS["ready"]))
     )
 
 
 def product_stock_label(quantity: Column) -> Column:
     """Label of a product page."""
-    return F.when(F.coalesce(quantity, F.lit(0)) < 10, F.lit("Low Stock")).otherwise(F.lit("Available"))
+    return F.when(F.coalesce(quantity, F.lit(0)) < 10, F.lit(TEXTS["product_low"])).otherwise(F.lit(TEXTS["product_available"]))
 
 
 def timestamp(text: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stocklens.functions import columns as C
 from stocklens.operators.allocation import allocate
 from stocklens.operators.joins import known_categories
-from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, UNCATEGORIZED
+from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, TEXTS, UNCATEGORIZED
 
 
 def _last(changes: DataFrame, key: str, order: list[str], fields: list[str], counts: Column) -> DataFrame:
@@ -366,15 +366,12 @@ def apply_review_decisions(requests: DataFrame, codes: DataFrame, decisions: Dat
             ]
         )
     )
-    approved_text = F.concat(
-        F.lit("Your admin request has been approved. You may continue. Admin access code: "),
-        F.coalesce("code", F.lit("")),
-    )
+    approved_text = F.concat(F.lit(TEXTS["request_approved"]), F.coalesce("code", F.lit("")))
     notifications = counted.select(
         "request_id",
         "email",
         "username",
-        F.when(is_reject, "Your admin request was not approved.").otherwise(approved_text).alias("message"),
+        F.when(is_reject, TEXTS["request_rejected"]).otherwise(approved_text).alias("message"),
         F.col("decided_at").alias("created_at"),
     )
     return {"requests": new_requests, "codes": old_codes.unionByName(new_codes), "notifications": notifications}

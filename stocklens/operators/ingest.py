@@ -16,10 +16,11 @@ from stocklens.schemas import (
     MAPPING_FIELDS,
     MONEY,
     REQUIRED_FIELDS,
+    TEXTS,
 )
 
 SHEET_ROWS = 2**20
-NO_CATEGORY_WARNING = "Category column not found. Some items were grouped as Uncategorized."
+NO_CATEGORY_WARNING = TEXTS["no_category"]
 
 
 def _plain(text: str) -> str:
@@ -328,7 +329,7 @@ def import_products_strict(rows: DataFrame) -> DataFrame:
     by_name = {name.strip().lower(): name for name in rows.columns}
     absent = {"name", "category", "price", "quantity"} - set(by_name)
     if absent:
-        raise ValueError("The file must include name, category, price, and quantity.")
+        raise ValueError(TEXTS["template_columns"])
     text = {key: F.col(f"`{by_name[key]}`").cast("string") for key in ("name", "category", "price", "quantity")}
     typed = rows.select(
         C.strip(text["name"]).alias("name"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stocklens.functions import columns as C
 from stocklens.functions.ranking import top_rows
 from stocklens.operators import rollups, topk
-from stocklens.schemas import DASHBOARD_LOW_STOCK, MIN_ROWS_FOR_INSIGHTS
+from stocklens.schemas import DASHBOARD_LOW_STOCK, MIN_ROWS_FOR_INSIGHTS, TEXTS
 
 _LAST = 2**63 - 1
 
@@ -81,7 +81,7 @@ def business_summary(facts: DataFrame) -> DataFrame:
         F.col("products").alias("total_products"),
         F.coalesce("total_value", F.lit(0)).alias("total_inventory_value"),
         F.least("low_products", F.lit(8)).alias("low_stock_count"),
-        F.coalesce("fast.product_name", F.lit("No orders yet")).alias("top_selling_product"),
+        F.coalesce("fast.product_name", F.lit(TEXTS["no_orders"])).alias("top_selling_product"),
         F.coalesce("units_sold", F.lit(0)).alias("total_orders"),
     )
 
@@ -96,25 +96,25 @@ def business_insights(facts: DataFrame, categories: DataFrame) -> DataFrame:
         row,
         [
             _say(
-                "%s is the fastest-moving item with %d units sold.", F.col("fast.product_name"), F.col("fast.sold")
+                TEXTS["business_fast"], F.col("fast.product_name"), F.col("fast.sold")
             ),
             _say(
-                "%s is slow-moving with %d sold and %d still in stock.",
+                TEXTS["business_slow"],
                 F.col("slow.product_name"), F.col("slow.sold"), F.col("slow.stock"),
             ),
             _say(
-                "%s needs restocking soon. Only %d units remain.", F.col("low.product_name"), F.col("low.stock")
+                TEXTS["business_low"], F.col("low.product_name"), F.col("low.stock")
             ),
             _say(
-                "%s has the highest stock concentration with %d units.",
+                TEXTS["business_category"],
                 F.col("strongest.category"), F.col("strongest.stock"),
             ),
             _say(
-                "%s carries the highest inventory value at Rs. %s.",
+                TEXTS["business_value"],
                 F.col("valuable.product_name"), F.col("valuable.value").cast("decimal(38,2)").cast("string"),
             ),
         ],
-        "Upload real inventory and order data to generate business recommendations.",
+        TEXTS["business_empty"],
     )
 
 
@@ -137,7 +137,6 @@ def inventory_insights(inventory: DataFrame) -> DataFrame:
     ).scalar()
     row = rows.withColumn("strongest", strongest)
     enough = F.col("rows") >= MIN_ROWS_FOR_INSIGHTS
-    hint = "Upload at least three inventory rows to activate recommendation-style business insights."
     best = F.coalesce(F.col("strongest.category"), F.lit("None"))
     return _messages(
         row,
@@ -145,19 +144,19 @@ def inventory_insights(inventory: DataFrame) -> DataFrame:
             F.when(
                 enough,
                 F.format_string(
-                    "%s is your strongest category right now with %d units in stock.", best, F.col("strongest.units")
+                    TEXTS["dashboard_category"], best, F.col("strongest.units")
                 ),
-            ).otherwise(F.lit(hint)),
+            ).otherwise(F.lit(TEXTS["dashboard_few"])),
             F.when(
                 enough,
                 _say(
-                    "Low stock alert: %s has only %d units left.", F.col("low.product_name"), F.col("low.quantity")
+                    TEXTS["dashboard_low"], F.col("low.product_name"), F.col("low.quantity")
                 ),
             ),
             F.when(
                 enough,
                 _say(
-                    "%s carries one of the highest inventory values and should stay visible in promotions.",
+                    TEXTS["dashboard_value"],
                     F.col("valuable.product_name"),
                 ),
             ),
@@ -183,28 +182,17 @@ def stock_insights(inventory: DataFrame, short: bool = False) -> DataFrame:
     )
     lowest = by_order if short else F.struct(quantity.alias("q"), F.col("id").alias("i"))
     low = inventory.agg(F.min_by("product_name", F.when(quantity < 10, lowest)).alias("low")).scalar()
-    if short:
-        texts = [
-            "%s is a fast-moving item based on highest quantity.",
-            "%s is slow-moving and may need promotion.",
-            "%s has the highest stock/sales volume.",
-        ]
-    else:
-        texts = [
-            "%s is a fast-moving item based on highest sales quantity.",
-            "%s is slow-moving and may need promotion or bundling.",
-            "%s has the highest sales volume.",
-        ]
+    wording = "_short" if short else ""
     row = products.withColumn("top", top).withColumn("low", low)
     return _messages(
         row,
         [
-            _say(texts[0], F.col("fast")),
-            _say(texts[1], F.col("slow")),
-            _say(texts[2], F.col("top")),
-            _say("%s has low stock and needs restocking.", F.col("low")),
+            _say(TEXTS[f"stock_fast{wording}"], F.col("fast")),
+            _say(TEXTS[f"stock_slow{wording}"], F.col("slow")),
+            _say(TEXTS[f"stock_category{wording}"], F.col("top")),
+            _say(TEXTS["stock_low"], F.col("low")),
         ],
-        "Upload inventory records to generate analytics.",
+        TEXTS["stock_empty"],
     )
 
 

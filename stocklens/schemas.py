@@ -96,6 +96,42 @@ MIN_ROWS_FOR_INSIGHTS = 3
 COST_RATE = "0.7"
 MAX_WORKBOOK_BYTES = 10 * 1024 * 1024
 
+# Sentences and labels.
+TEXTS = {
+    "business_fast": "%s is the fastest-moving item with %d units sold.",
+    "business_slow": "%s is slow-moving with %d sold and %d still in stock.",
+    "business_low": "%s needs restocking soon. Only %d units remain.",
+    "business_category": "%s has the highest stock concentration with %d units.",
+    "business_value": "%s carries the highest inventory value at Rs. %s.",
+    "business_empty": "Upload real inventory and order data to generate business recommendations.",
+    "dashboard_few": "Upload at least three inventory rows to activate recommendation-style business insights.",
+    "dashboard_category": "%s is your strongest category right now with %d units in stock.",
+    "dashboard_low": "Low stock alert: %s has only %d units left.",
+    "dashboard_value": "%s carries one of the highest inventory values and should stay visible in promotions.",
+    "stock_fast": "%s is a fast-moving item based on highest sales quantity.",
+    "stock_slow": "%s is slow-moving and may need promotion or bundling.",
+    "stock_category": "%s has the highest sales volume.",
+    "stock_low": "%s has low stock and needs restocking.",
+    "stock_fast_short": "%s is a fast-moving item based on highest quantity.",
+    "stock_slow_short": "%s is slow-moving and may need promotion.",
+    "stock_category_short": "%s has the highest stock/sales volume.",
+    "stock_empty": "Upload inventory records to generate analytics.",
+    "no_orders": "No orders yet",
+    "no_category": "Category column not found. Some items were grouped as Uncategorized.",
+    "file_too_large": "The file is above the size limit.",
+    "template_columns": "The file must include name, category, price, and quantity.",
+    "not_a_number": "%s must be a valid number.",
+    "not_whole": "%s must be a valid whole number.",
+    "negative": "%s cannot be negative.",
+    "request_approved": "Your admin request has been approved. You may continue. Admin access code: ",
+    "request_rejected": "Your admin request was not approved.",
+    "out_of_stock": "Out of stock",
+    "low_stock": "Low stock",
+    "ready": "Ready",
+    "product_low": "Low Stock",
+    "product_available": "Available",
+}
+
 # Cell texts the spreadsheet reader treats as empty.
 EMPTY_CELL_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

@@ -15,7 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.schemas import EMPTY_CELL_TEXTS, MAX_WORKBOOK_BYTES
+from stocklens.schemas import EMPTY_CELL_TEXTS, MAX_WORKBOOK_BYTES, TEXTS
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
 CELL_SCHEMA = "path string, row_idx int, col_idx int, value string, error string"
@@ -48,7 +48,7 @@ def read_workbooks(spark: SparkSession, folder: str, max_bytes: int = MAX_WORKBO
     files = workbook_files(spark, folder, with_content=True)
     too_large = workbook_files(spark, folder).filter(F.col("length") > max_bytes)
     return cells_of(files.filter(F.col("length") <= max_bytes)).unionByName(
-        too_large.select("path", F.lit("The file is above the size limit.").alias("error")), allowMissingColumns=True
+        too_large.select("path", F.lit(TEXTS["file_too_large"]).alias("error")), allowMissingColumns=True
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions import columns as C
 from stocklens.operators import changes, ingest
-from stocklens.schemas import MAX_WORKBOOK_BYTES
+from stocklens.schemas import MAX_WORKBOOK_BYTES, TEXTS
 from stocklens.sources.tables import append_inventory, report_bucket
 from stocklens.sources.workbooks import CELL_SCHEMA, WORKBOOK_GLOB, cells_of
 
@@ -47,7 +47,7 @@ def ingest_files(files: DataFrame, sink: str, today: str, user_id: int | None =
     failed = (
         staged.filter(F.col("error").isNotNull())
         .select("path", "error")
-        .unionByName(listed.filter("NOT fits").select("path", F.lit("The file is above the size limit.").alias("error")))
+        .unionByName(listed.filter("NOT fits").select("path", F.lit(TEXTS["file_too_large"]).alias("error")))
     )
     log = (
         listed.select("path")
