@@ -201,13 +201,20 @@ def category_suggestions(inventory: DataFrame, products: DataFrame) -> DataFrame
     )
 
 
-def resolve_catalog_report(catalogs: DataFrame, reports: DataFrame, inventory: DataFrame) -> DataFrame:
+def resolve_catalog_report(
+    catalogs: DataFrame, reports: DataFrame, inventory: DataFrame, row_counts: DataFrame | None = None
+) -> DataFrame:
     """The report behind each catalog, and the step that found it.
 
     Order: the source report when it has rows (even if its record is missing), the source report without rows, the
     token, the file name in the title, the latest report when it has rows. ``is_repaired`` marks pointers to rewrite.
+    A kept result of :func:`rows_per_report` as ``row_counts`` saves reading a column of the whole inventory.
     """
-    filled = inventory.select(F.col("report_id").alias("source_report_id")).distinct().withColumn("has_rows", F.lit(True))
+    if row_counts is None:
+        row_counts = rows_per_report(inventory)
+    filled = row_counts.filter(F.col("row_count") > 0).select(
+        F.col("report_id").alias("source_report_id"), F.lit(True).alias("has_rows")
+    )
     newest = F.max_by("report_id", F.struct("created_at", "report_id"))
     by_id = reports.select(F.col("report_id").alias("source_report_id"), F.col("report_id").alias("id_report")).distinct()
     by_token = reports.groupBy(F.lower("token").alias("token_key")).agg(newest.alias("token_report"))

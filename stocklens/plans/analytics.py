@@ -181,14 +181,15 @@ def catalog_page(
     stock_level: str = "",
     branch: str = "",
     sort: str = "newest",
+    row_counts: DataFrame | None = None,
 ) -> Bundle:
     """Rows, metrics and facets of the catalog a link names; all empty when the link is not valid.
 
     The report is resolved inside the plan. When the stored inventory comes with its bucket column, the join on it
-    prunes the folders of other buckets at run time.
+    prunes the folders of other buckets at run time; with kept ``row_counts`` per report the page reads that bucket only.
     """
     catalog = scope.catalog_by_token(catalogs, token, as_of)
-    report = joins.resolve_catalog_report(catalog, reports, inventory).select(
+    report = joins.resolve_catalog_report(catalog, reports, inventory, row_counts).select(
         F.col("resolved_report_id").alias("report_id")
     )
     by = ["report_id"]

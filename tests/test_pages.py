@@ -2,7 +2,7 @@
 
 import pytest
 
-from stocklens.operators import rollups, scope, topk
+from stocklens.operators import joins, rollups, scope, topk
 from stocklens.plans import analytics
 from stocklens.plans.registry import AS_OF
 from stocklens.sources import tables
@@ -53,3 +53,6 @@ def test_stored_catalog_page_prunes_at_run_time(spark, adapted, tmp_path):
     plain = analytics.catalog_page("tok8", *args, adapted["inventory_data"], adapted["order_items"])
     assert {r.id for r in page["products"].collect()} == {r.id for r in plain["products"].collect()} != set()
     assert "dynamicpruning" in page["products"]._jdf.queryExecution().executedPlan().toString().lower()
+    counts = joins.rows_per_report(adapted["inventory_data"])
+    kept = analytics.catalog_page("tok8", *args, stored, adapted["order_items"], row_counts=counts)
+    assert rows(kept["metrics"]) == rows(plain["metrics"]) and rows(kept["facets"]) == rows(plain["facets"])
