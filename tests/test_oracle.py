@@ -4,8 +4,9 @@ import pytest
 from compare import compare, database
 
 import __spark_entry__ as entry
+from stocklens.plans import oracle, registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
