@@ -12,7 +12,7 @@ rows give equal results, and only the named columns are read: other columns, wha
 """
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, pairwise
 
@@ -20,9 +20,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import Memo, text
+from stocklens.llm.common import Memo, gather, slices, text
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,6 +45,7 @@ class Vocabulary:
     Its size is that of the vocabulary file, tens of thousands of entries, whatever the input; it is sent to the tasks.
     """
 
+    path: str
     words: list[bytes]
     ids: list[int]
     halves: list[tuple[int, int]]
@@ -71,7 +73,7 @@ class Vocabulary:
                 ids.append(model["vocab"][joint])
                 halves.append((rank[left], rank[right]))
                 merged[rank[left], rank[right]] = rank[joint]
-        vocabulary = cls(words, ids, halves, merged, [True] * len(words), {t["content"]: t["id"] for t in data["added_tokens"]})
+        vocabulary = cls(path, words, ids, halves, merged, [True] * len(words), {t["content"]: t["id"] for t in data["added_tokens"]})
         vocabulary.reachable = [vocabulary.stays_apart(*halves[r], below=r) if r >= 256 else True for r in range(len(words))]
         return vocabulary
 
@@ -113,8 +115,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter = [next((rank[w[:k]] for k in range(len(w) - 1, 0, -1) if w[:k] in rank), -1) for w in vocabulary.words]
         self.packed = [np.uint32(i).tobytes() for i in vocabulary.ids]
-        self.apart = Memo(lambda pair: vocabulary.stays_apart(*pair), 300_000)
-        self.pieces = Memo(self.encode_piece, 300_000)
+        self.apart = Memo(lambda pair: vocabulary.stays_apart(*pair), 150_000)
+        self.pieces = Memo(self.encode_piece, 150_000)
         self.pattern, self.ascii = regex.compile(SPLIT), regex.compile(SPLIT_ASCII)
         self.added = {s: np.uint32(i).tobytes() for s, i in vocabulary.added.items() if s}
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
@@ -171,59 +173,70 @@ class Decoder:
     def decode(self, packed: bytes) -> str:
         """The text; bytes that are no UTF-8 become replacement marks, unknown ids nothing."""
         ids = np.frombuffer(packed, "<u4")
-        ids = ids[ids < len(self.offsets) - 1]
-        starts = self.offsets[ids]
-        lengths = self.offsets[ids + 1] - starts
-        ends = np.cumsum(lengths)
-        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.blob[places].tobytes().decode("utf-8", "replace")
+        data, _ = gather(self.offsets, self.blob, ids[ids < len(self.offsets) - 1].astype(np.int64))
+        return data.tobytes().decode("utf-8", "replace")
 
 
 _built: dict = {}
 
 
-def _once(kind: type, sent):
+def once(kind: type, sent: Broadcast):
     """One encoder or decoder for each worker process and vocabulary, not for each task."""
-    if (kind, sent.id if hasattr(sent, "id") else id(sent)) not in _built:
-        _built.clear() if len(_built) > 3 else None
-        _built[kind, sent.id if hasattr(sent, "id") else id(sent)] = kind(sent.value)
-    return _built[kind, sent.id if hasattr(sent, "id") else id(sent)]
+    key = kind, sent.value.path
+    if key not in _built:
+        _built[key] = kind(sent.value)
+    return _built[key]
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col`` and ``ids``, the token ids packed as little-endian unsigned 32-bit integers."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+def encoded(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, ids)."""
+    encoder = once(Encoder, sent)
+    for batch in slices(batches):
+        packed = pa.array(map(encoder.encode, batch.column(1).to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["key", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(Encoder, sent)
-        for batch in batches:
-            packed = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("key"), text(text_col).alias("text"))
+def decoded(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(key, ids) to (key, ids, text)."""
+    decoder = once(Decoder, sent)
+    for batch in slices(batches):
+        texts = pa.array(map(decoder.decode, batch.column(1).to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["key", "ids", "text"])
+
+
+def _broadcast(df: DataFrame, path: str) -> Broadcast:
+    return df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+
+
+def _keyed(rows: DataFrame, function: Callable, columns: str, id_col: str) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(function, f"key {kind}, {columns}").withColumnRenamed("key", id_col)
+
+
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col`` and ``ids``, the token ids packed as little-endian unsigned 32-bit integers."""
+    sent = _broadcast(docs, vocabulary_path)
+    rows = docs.select(F.col(id_col).alias("key"), text(text_col).alias("text"))
+    return _keyed(rows, lambda batches: encoded(batches, sent), "ids binary", id_col)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: ``id_col``, ``ids`` and ``text``. Null ids give the empty text."""
-    sent = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    sent = _broadcast(tokens, vocabulary_path)
+    rows = tokens.select(F.col(id_col).alias("key"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
+    return _keyed(rows, lambda batches: decoded(batches, sent), "ids binary, text string", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _once(Decoder, sent)
-        for batch in batches:
-            texts = [decoder.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "ids", "text"])
 
-    rows = tokens.select(F.col(id_col).alias("key"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", id_col)
+def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the rows: ``id_col``, ``ids`` and the decoded ``text``."""
+    sent = _broadcast(docs, vocabulary_path)
+    rows = docs.select(F.col(id_col).alias("key"), text(text_col).alias("text"))
+    return _keyed(rows, lambda batches: decoded(encoded(batches, sent), sent), "ids binary, text string", id_col)
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Digests of ids and decoded text of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    tokens = encode(docs, vocabulary_path)
-    return decode(tokens, vocabulary_path).select(
+    return round_trip(docs, vocabulary_path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

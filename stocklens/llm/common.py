@@ -4,7 +4,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but these bytes; ``bytes.split`` and this class agree.
@@ -53,8 +55,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Shorter batches: at most ``rows`` rows and about ``size`` bytes, but one row at least."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of non-null texts, the words of all texts as numbers of them, and where each text's begin (and end).
+
+    Words are split at ASCII white space; white space at either end of a text gives an empty word.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return words.dictionary, words.indices.to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+
+
+def gather(offsets: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the runs ``values[offsets[i]:offsets[i + 1]]`` of all chosen i; with the end of each in the result."""
+    starts = offsets[chosen]
+    lengths = offsets[chosen + 1] - starts
+    ends = np.cumsum(lengths)
+    places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    return values[places], ends
 
 
 def utf8(column: str | Column) -> Column:
