@@ -17,10 +17,10 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
@@ -35,8 +35,8 @@ HEAD = np.dtype([("magic", "S8"), ("docs", "<u8"), ("ids", "<u8"), ("id_bytes",
 FILE_IDS = 4_000_000
 
 
-#: Fixed value: how the vocabulary with word ends splits a text into pieces, after lower-casing.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed value: how the vocabulary with word ends splits a lower-cased text into pieces (two Latin-1 spaces spelt out).
+PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x{85}\x{a0}\p{L}\p{N}]+)"
 
 
 class WordEncoder:
@@ -45,7 +45,7 @@ class WordEncoder:
     For tokenizers with word ends that drop white space and lower-case: a text's ids are those of its words between
     ASCII white space, and a word of Latin-1 characters has the ids of its lower-cased pieces. The library encodes many
     new pieces in one call; where a piece ends, its last token carries the word end. Any other word, and any word with a
-    special token, goes to the library as it is.
+    special token, goes to the library as it is. Words and pieces are split and numbered by Arrow.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -55,10 +55,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = Memo(lambda word: self.single(word), 200_000)
-        self.pieces = Memo(self.single, 200_000)
+        self.pieces = Memo(self.single, 250_000)
+        self.others = Memo(self.single, 50_000)
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        special = (regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.other = "|".join([r"[^\x{00}-\x{ff}]", *special])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -66,36 +67,52 @@ class WordEncoder:
     def single(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def split(self, word: str) -> list[str] | None:
-        return None if not word.isascii() and max(word) > "\xff" or "<" in word and self.special.search(word) else PIECES.findall(word.lower())
-
-    def learn(self, words: list[str], at_once: int = 1000) -> None:
-        """Encode the new pieces of new words."""
-        split = list(map(self.split, words))
-        known = self.pieces
-        new = [p for p in set(chain.from_iterable(p for p in split if p)) if p not in known and p not in known.old]
-        groups = [new[k : k + at_once] for k in range(0, len(new), at_once)]
+    def learn(self, new: list[str], at_once: int = 1000) -> dict[str, bytes]:
+        """Ids of new pieces."""
+        groups, found = [new[k : k + at_once] for k in range(0, len(new), at_once)], {}
         for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, "<u4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             packed = ids.tobytes()
-            for piece, start, end in zip(group, [0, *ends], ends, strict=False):
-                known.store(piece, packed[start:end])
-        for word, pieces in zip(words, split, strict=True):
-            self.known.store(word, self.single(word) if pieces is None else b"".join(map(known.__getitem__, pieces)))
+            found |= {piece: packed[start:end] for piece, start, end in zip(group, [0, *ends], ends, strict=False)}
+        return found
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of distinct words."""
+        other = pc.match_substring_regex(words, self.other)
+        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(other, "", words)), "[\\x{85}\\x{a0}]", " ")
+        split, chosen, borders = split_words(pc.replace_substring_regex(plain, PIECES, r"\1 "))
+        distinct = split.to_pylist()
+        fresh = self.learn([p for p in distinct if p and p not in self.pieces and p not in self.pieces.old])
+        packed = [fresh[p] if p in fresh else self.pieces[p] if p else b"" for p in distinct]
+        for item in fresh.items():
+            self.pieces.store(*item)
+        ids, ends = gather(*_runs(packed), chosen)
+        offsets = np.concatenate([[0], ends])[borders]
+        at = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return offsets, ids
+        extra_offsets, extra = _runs(list(map(self.others.__getitem__, words.take(pa.array(at)).to_pylist())))
+        order = np.arange(len(words))
+        order[at] = len(words) + np.arange(len(at))
+        whole = np.concatenate([offsets, offsets[-1] + extra_offsets[1:]])
+        ids, ends = gather(whole, np.concatenate([ids, extra]), order)
+        return np.concatenate([[0], ends]), ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
         words, chosen, borders = split_words(texts)
-        distinct = words.to_pylist()
-        known, old = self.known, self.known.old
-        self.learn([w for w in distinct if w not in known and w not in old])
-        packed = [*map(known.__getitem__, distinct), self.end]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
-        chosen = np.insert(chosen, borders[1:], len(distinct))  # each text's end
-        ids, ends = gather(offsets, np.frombuffer(b"".join(packed), "<u4"), chosen)
-        texts_end = np.concatenate([[0], ends])[borders[1:] + np.arange(1, len(borders))]
-        return ids, np.diff(texts_end, prepend=0)
+        offsets, ids = self.encode_words(words)
+        if self.end:
+            offsets, ids = np.append(offsets, offsets[-1] + 1), np.append(ids, np.frombuffer(self.end, "<u4"))
+            chosen = np.insert(chosen, borders[1:], len(words))
+            borders = borders + np.arange(len(borders))
+        ids, ends = gather(offsets, ids, chosen)
+        return ids, np.diff(np.concatenate([[0], ends])[borders])
+
+
+def _runs(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)]), np.frombuffer(b"".join(packed), "<u4")
 
 
 def file_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, share: float) -> bytes:
