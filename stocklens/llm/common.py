@@ -100,3 +100,38 @@ def held_out(doc_id: str | Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", parts: int = 256) -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique, when one key may hold a large share of ``left``.
+
+    Keys that hold more than 1/``parts`` of the rows of ``left`` are fewer than ``parts``, so their rows of ``right`` are
+    broadcast; all others take an ordinary join. ``left`` is read three times and should be a table.
+    """
+    total = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * parts > total).select(key, F.lit(True).alias("_hot"))
+    tagged = left.join(F.broadcast(hot), key, "left")
+    few = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    return (
+        tagged.filter("_hot").drop("_hot").join(few, key, how)
+        .unionByName(tagged.filter("_hot is null").drop("_hot").join(right, key, how))
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (a, b): node and label, the smallest node reachable from it.
+
+    Each round gives every node the smallest label of itself and its neighbours and then that label's own label, so the
+    rounds grow with the logarithm of the longest way, not with the way. Every round is a written table.
+    """
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
+        lower = written(labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        roots = lower.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        jumped = written(join_hot(lower, roots, "label").select("node", F.least("label", "root").alias("label")), "labels")
+        changed = jumped.withColumnRenamed("label", "now").join(labels, "node").filter("now <> label").limit(1).count()
+        labels = jumped
+        if not changed:
+            return labels

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.llm import bpe, tokenfiles
+from stocklens.llm import bpe, simhash, tokenfiles
 from stocklens.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +19,16 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(table(spark, folder, "documents"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, folder, "documents"), shared_folder(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
