@@ -3,9 +3,9 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, simhash, tokenfiles
+from stocklens.llm import bpe, extract, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,17 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, folder, "documents"), shared_folder(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": topk.ORACLE_SQL}
