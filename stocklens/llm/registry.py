@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, extract, simhash, tokenfiles, topk
+from stocklens.llm import bpe, extract, mixing, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +35,13 @@ def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages"))
 
 
+def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract, op8_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": topk.ORACLE_SQL}
+    return {"op4_topk": topk.ORACLE_SQL, "op8_mix": mixing.ORACLE_SQL}
