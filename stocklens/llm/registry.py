@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, ctph, extract, mixing, simhash, tokenfiles, topk
+from stocklens.llm import bpe, ctph, extract, mixing, secrets, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,16 @@ def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.compare_with_next(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract, op8_mix, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract, op8_mix, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
