@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = Memo(self.single, 250_000)
+        self.pieces = Memo(self.single, 350_000)
         self.others = Memo(self.single, 50_000)
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         special = (regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -111,6 +112,12 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], ends])[borders])
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str, end_id: int | None) -> WordEncoder:
+    """One encoder for each worker process, so that tasks find the pieces of earlier tasks."""
+    return WordEncoder(path, end_id)
+
+
 def _runs(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)]), np.frombuffer(b"".join(packed), "<u4")
 
@@ -155,7 +162,7 @@ def write_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = word_encoder(tokenizer_path, end_id)
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         manifest = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
