@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, ctph, extract, mixing, secrets, simhash, tokenfiles, topk
+from stocklens.llm import bpe, ctph, extract, langid, mixing, quality, secrets, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,18 @@ def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents")).drop("spans")
+
+
 def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,7 +56,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op6_extract, op8_mix, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
