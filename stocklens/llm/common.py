@@ -98,6 +98,16 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(text(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")).cast("binary")) % 5 == 0
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stocklens.llm.common import WORD, partitions, text, written
+from stocklens.llm.common import WORD, partitions, text, unused, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -136,9 +136,11 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without id are not told apart by an id: they are taken as often as all of them are on average, rounded.
     """
-    times = mix(docs, **settings).filter("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("_times"))
-    joined = docs.join(times.filter("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter(word_count("text") > 0)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_of, times, copy = unused(docs, "_id", "_times", "_copy")
+    share = F.sum(F.col("taken") / F.col("size")) / F.count("*")
+    taken = mix(docs, **settings).filter("size > 0").groupBy(F.col("doc_id").alias(id_of)).agg(F.round(share).cast("int").alias(times))
+    joined = docs.join(taken.filter(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(id_of))).filter(word_count("text") > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

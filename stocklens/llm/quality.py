@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens.llm.common import held_out, slices, split_words, text
@@ -199,12 +200,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents, with all columns, that score at least ``threshold``."""
     model = train(docs, labels)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
-        whole = [model.score(pa.array(texts.iloc[k : k + 500].fillna("").tolist(), pa.string())) if model else np.full(len(texts.iloc[k : k + 500]), 0.5) for k in range(0, len(texts), 500)]
-        return pd.Series(np.concatenate(whole) >= threshold if whole else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = model.score(pc.fill_null(batch.column(at), "")) >= threshold
+            yield batch.filter(pa.array(good))
 
-    return docs.filter(good(text(text_col)))
+    return docs.mapInArrow(run, docs.schema) if model else docs.filter(F.lit(threshold <= 0.5))

@@ -139,7 +139,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 words += [w for part in [*rest, whole[at:]] for w in re.findall(r"[A-Za-z0-9+/_=-]{4,}", part)]
             for label, found in ((True, values), (False, words)):
                 some = pa.array(found, pa.string()).value_counts()
-                yield pa.RecordBatch.from_arrays([some.field("values"), some.field("counts"), pa.array([label] * len(some))], names=["word", "times", "random"])
+                yield pa.RecordBatch.from_arrays([some.field("values"), some.field("counts"), pa.array([label] * len(some), pa.bool_())], names=["word", "times", "random"])
 
     total = docs.count()
     chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("secrets")), F.lit(1_000_003)) * max(total, 1) < sample * 1_000_003)
@@ -197,9 +197,11 @@ def without_spans(whole: str, found: list[tuple[int, int, int]], mark: str) -> s
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, each span of a secret (overlapping ones together) replaced by ``mark``; null texts stay null."""
     model = train(docs, id_col, text_col)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else without_spans(t, spans(t, model), mark))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            clean = [t if t is None else without_spans(t, spans(t, model), mark) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, pa.string()))
 
-    return docs.withColumn(text_col, clean(text_col))
+    return docs.mapInArrow(run, docs.schema)

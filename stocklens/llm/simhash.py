@@ -7,7 +7,7 @@ Search. Distinct fingerprints only take part, so exact copies cost nothing. Two
 of ``radius + 1`` bands of bits; each band's value is the shard of a BK-tree, where a child's key is its Hamming distance
 to the parent and a search follows keys within the radius of its own distance only. A shard of more than ``shard``
 fingerprints is split by the same rule over the bits that its members may still differ in; after four such levels
-members differ in 13 bits at most, so no shard can exceed 2^13 of them, however many near copies the table holds. Trees
+members differ in 14 bits at most, so no shard can exceed 2^14 of them, however many near copies the table holds. Trees
 stay in the task that holds their shard: the trees of all shards grow with the input and have no bound to broadcast under.
 
 A shard reports its local components as trees of small degree, never as pairs, and components join up by rounds.
@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stocklens.llm.common import components, join_hot, slices, utf8, written
+from stocklens.llm.common import components, join_hot, slices, unused, utf8, written
 
 SEED = 42
 BITS = 64
@@ -204,13 +204,15 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     A component without any id keeps one of its rows of the smallest fingerprint.
     """
     found = near_copies(docs, shingle, radius)
-    kept = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count(), "kept")
-    one = docs.join(kept.filter("count = 1"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    several = docs.join(kept.filter("count > 1"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    alone = found.filter("doc_id is null and component_id is null and fp = label").select("fp").distinct()
+    kept_id, print_of, print_kept = unused(docs, "_kept", "_print", "_print_kept")
+    kept = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("times")), "kept")
+    one, several = (
+        docs.join(kept.filter(which).select(kept_id), F.col("doc_id") == F.col(kept_id), "left_semi") for which in ("times = 1", "times > 1")
+    )
+    alone = found.filter("doc_id is null and component_id is null and fp = label").select(F.col("fp").alias(print_kept)).distinct()
     of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(bytes(t), shingle)), "bigint")
-    without = docs.filter("doc_id is null").withColumn("_fp", of(utf8("text"))).join(alone, F.col("_fp") == F.col("fp"), "left_semi")
-    return one.unionByName(several).unionByName(without.dropDuplicates(["_fp"]).drop("_fp"))
+    without = docs.filter("doc_id is null").withColumn(print_of, of(utf8("text"))).join(alone, F.col(print_of) == F.col(print_kept), "left_semi")
+    return one.unionByName(several.dropDuplicates(["doc_id"])).unionByName(without.dropDuplicates([print_of]).drop(print_of))
 
 
 def digest(docs: DataFrame) -> DataFrame:
