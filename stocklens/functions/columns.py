@@ -134,8 +134,18 @@ def count_problem(c: Column, label: str = "Quantity") -> Column:
     )
 
 
+def key_id(*columns: Column) -> Column:
+    """A 60-bit id from the texts of a row's key, so that a repeated run gives the same id; nulls count as empty."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return digest_id(F.md5(text))
+
+
+def digest_id(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def truncated_count(c: Column) -> Column:
-    """Spreadsheet quantity: number text cut toward zero, negatives kept."""
+    """Spreadsheet quantity: number text cut toward zero, negatives kept; null above the range of the column."""
     number = to_number(c)
     return F.when(F.abs(number) <= _MAX_INT, number.cast("int"))
 

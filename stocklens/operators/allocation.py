@@ -6,32 +6,41 @@ a running total alone does not answer it, and one item or report may carry a lar
 
 The claims are therefore settled in rounds over all items at once. In a round, a claim is
 
-* accepted, if it fits even when every earlier open claim is accepted, and
-* rejected, if one of its items has too little left already.
+* rejected, if one of its items has too little left already, and then, among the others,
+* accepted, if it fits even when every earlier open claim is accepted.
 
 The earliest open claim always meets one of the two, so the rounds end, and the outcome is exactly that of serving the
-claims one by one. The number of rounds is the longest chain of claims that wait for each other, which is short in
-practice (Blelloch, Fineman and Shun, "Greedy sequential maximal independent set and matching are parallel on average",
-2012).
+claims one by one. A chain of claims that wait for each other loses two links or more in every round, so there are at
+most half as many rounds as the longest chain is long; chains are short in practice (Blelloch, Fineman and Shun, "Greedy
+sequential maximal independent set and matching are parallel on average", 2012), but with very scarce stock one chain
+may run through many claims. What is left of them is then few: once no more than ``TAIL_LINES`` lines are open, one task
+serves them in order, whatever their chains.
 
 The running totals of a hot item are split as well: claims get a chunk number that grows with their order, totals per
 (item, chunk) are added up first, and a window then runs inside one (item, chunk) only.
 """
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stocklens.session import checkpointed
+from stocklens.session import WorkTables
 
+#: So many open lines may be served by one task: a few megabytes.
+TAIL_LINES = 100_000
 
-def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None) -> DataFrame:
+
+def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None, tail_lines: int = TAIL_LINES) -> DataFrame:
     """Decide every claim; returns ``(claim, accepted)``.
 
     ``lines``: ``claim``, ``arrival`` (any sortable value, the same on all lines of a claim), ``item``, ``units``. A claim
     may name an item once. ``capacity``: ``item``, ``units``; an item that is missing there has nothing to give. Without
     a number of ``chunks``, AQE sizes them by their bytes; joined neighbours keep the order.
+
+    The open lines of a round and all verdicts are tables in the shared folder; the lines of the round before are removed.
     """
+    spark = lines.sparkSession
     stock = capacity.select("item", F.col("units").cast("bigint").alias("free"))
     placed = (
         lines.select("claim", "arrival", "item", F.col("units").cast("bigint").alias("units"))
@@ -40,50 +49,78 @@ def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None) -
         .join(stock, "item", "left")
         .withColumn("free", F.coalesce("free", F.lit(0)))
     )
-    open_lines = checkpointed(placed)
-    decided: list[DataFrame] = []
-    open_before = None
-    while True:
-        judged = checkpointed(open_lines.join(_judge(open_lines), "claim"))
-        decided.append(judged.filter(F.col("accepted").isNotNull()).select("claim", "accepted").distinct())
-        waiting = judged.filter(F.col("accepted").isNull()).drop("accepted")
-        still_open = waiting.count()
-        if still_open == 0:
-            return reduce(DataFrame.unionByName, decided)
-        if still_open == open_before:
+    work = WorkTables(spark, "allocation")
+    open_lines = work.keep(placed, "open-0")
+    step, before = 0, None
+    decided = open_lines.select("claim", F.lit(None).cast("boolean").alias("accepted")).schema
+    while (still_open := open_lines.count()) > tail_lines:
+        if still_open == before:
             raise ValueError("every claim needs a non-null id and units")
-        open_before = still_open
+        before, step = still_open, step + 1
+        judged = work.keep(_judged(open_lines), f"judged-{step}")
+        work.keep(judged.filter("accepted is not null").select("claim", "accepted").distinct(), f"verdicts/step={step}")
         taken = judged.filter("accepted").groupBy("item").agg(F.sum("units").alias("taken"))
-        open_lines = (
-            waiting.join(taken, "item", "left")
-            .withColumn("free", F.col("free") - F.coalesce("taken", F.lit(0)))
-            .drop("taken")
-        )
+        waiting = judged.filter("accepted is null").drop("accepted").join(taken, "item", "left")
+        left = waiting.withColumn("free", F.col("free") - F.coalesce("taken", F.lit(0))).drop("taken")
+        work.remove(f"open-{step - 1}")
+        open_lines = work.keep(left, f"open-{step}")
+        work.remove(f"judged-{step}")
+    work.keep(_serve(open_lines), f"verdicts/step={step + 1}")
+    return spark.read.schema(decided).parquet(f"{work.root}/verdicts")
 
 
-def _judge(open_lines: DataFrame) -> DataFrame:
-    """One round: per open claim true, false, or null when it must wait.
+def _judged(open_lines: DataFrame) -> DataFrame:
+    """One round: the open lines with ``accepted``, per claim true, false, or null when it must wait.
 
     The rows are partitioned by item and chunk on purpose: after a join on the item Spark would otherwise keep a hot
     item in one task.
     """
-    open_lines = open_lines.repartition("item", "chunk")
-    before = Window.partitionBy("item").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    in_chunk = (
-        Window.partitionBy("item", "chunk").orderBy("arrival", "claim").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    hopeless = open_lines.groupBy("claim").agg(F.bool_or(F.col("units") > F.col("free")).alias("hopeless"))
+    lines = open_lines.join(hopeless, "claim").repartition("item", "chunk")
+    wanted = F.when(F.col("hopeless"), 0).otherwise(F.col("units"))
+    earlier_chunks = Window.partitionBy("item").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy("item", "chunk").orderBy("arrival", "claim").rowsBetween(Window.unboundedPreceding, 0)
     earlier = (
-        open_lines.groupBy("item", "chunk")
-        .agg(F.sum("units").alias("chunk_units"))
-        .withColumn("earlier_units", F.coalesce(F.sum("chunk_units").over(before), F.lit(0)))
+        lines.groupBy("item", "chunk")
+        .agg(F.sum(wanted).alias("chunk_units"))
+        .withColumn("earlier_units", F.coalesce(F.sum("chunk_units").over(earlier_chunks), F.lit(0)))
         .select("item", "chunk", "earlier_units")
     )
-    wanted = F.col("earlier_units") + F.sum("units").over(in_chunk)
-    return (
-        open_lines.join(earlier, ["item", "chunk"])
-        .withColumn("fits", wanted <= F.col("free"))
-        .withColumn("hopeless", F.col("units") > F.col("free"))
+    verdicts = (
+        lines.withColumn("upto", F.sum(wanted).over(in_chunk))
+        .join(earlier, ["item", "chunk"])
         .groupBy("claim")
-        .agg(F.bool_and("fits").alias("fits"), F.bool_or("hopeless").alias("hopeless"))
+        .agg(F.bool_and(F.col("earlier_units") + F.col("upto") <= F.col("free")).alias("fits"), F.bool_or("hopeless").alias("hopeless"))
         .select("claim", F.when(F.col("hopeless"), False).when(F.col("fits"), True).alias("accepted"))
     )
+    return open_lines.join(verdicts, "claim")
+
+
+def _serve(open_lines: DataFrame) -> DataFrame:
+    """Serve a bounded number of open lines one claim after the other, in one task."""
+    kind = open_lines.schema["claim"].dataType.simpleString()
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: dict = {}
+        claim, wanted, out = None, {}, []
+
+        def close() -> None:
+            if wanted:
+                fits = all(left[item] >= units for item, units in wanted.items())
+                out.append((claim, fits))
+                for item, units in wanted.items() if fits else ():
+                    left[item] -= units
+
+        for batch in batches:
+            for name, item, units, free in zip(batch["claim"], batch["item"], batch["units"], batch["free"], strict=True):
+                left.setdefault(item, free)
+                if name != claim:
+                    close()
+                    claim, wanted = name, {}
+                wanted[item] = units
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["claim", "accepted"])
+
+    ordered = open_lines.select("claim", F.to_json(F.struct("item")).alias("item"), "units", "free", "arrival").coalesce(1)
+    return ordered.sortWithinPartitions("arrival", "claim").drop("arrival").mapInPandas(serve, f"claim {kind}, accepted boolean")

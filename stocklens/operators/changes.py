@@ -4,12 +4,14 @@ Nothing is changed in place; the caller writes the result. Competing changes to
 (``max_by``), so a row with very many changes is combined on the map side.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
 from stocklens.operators.allocation import allocate
 from stocklens.operators.joins import known_categories
-from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, TEXTS, UNCATEGORIZED
+from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, TABLES, TEXTS, UNCATEGORIZED
 
 
 def _last(changes: DataFrame, key: str, order: list[str], fields: list[str], counts: Column) -> DataFrame:
@@ -79,7 +81,8 @@ def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs:
 
     ``catalogs``: ``share_token`` and ``report_id`` of the valid catalogs. ``adds``: ``request_id``, ``requested_at``,
     ``user_id``, ``share_token``, ``inventory_id``, ``quantity``. A cart holds one catalog: that of its present lines,
-    else that of the first addition that passes on its own.
+    else that of the first addition that passes on its own. The id of a new line is a digest of user, item, catalog and
+    the time of the first request.
     """
     stock = inventory.select(
         F.col("id").alias("inventory_id"),
@@ -115,10 +118,12 @@ def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs:
     other = F.when(
         F.col("held_from").isNotNull(), (F.col("held_from") != F.col("source")) | (F.col("held_to") != F.col("source"))
     ).otherwise(F.col("first_source") != F.col("source"))
+    # What is known of a user is one row, joined last: a join on the finer key after it would keep its partitioning, and
+    # a user with very many requests would stay in one task.
+    of_user = held.join(first, "user_id", "full_outer")
     judged = (
-        checked.join(held, "user_id", "left")
-        .join(first, "user_id", "left")
-        .join(on_line, ["user_id", "inventory_id", "share_token"], "left")
+        checked.join(on_line, ["user_id", "inventory_id", "share_token"], "left")
+        .join(of_user, "user_id", "left")
         .withColumn("problem", F.coalesce("problem", F.when(other, "other catalog")))
         .withColumn("item", F.struct("user_id", "inventory_id"))
         .withColumn("claim", F.col("request_id"))
@@ -137,6 +142,7 @@ def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs:
         requests.filter(F.col("verdict") == "added")
         .groupBy("user_id", "inventory_id", "share_token", "report_id", "product_name", "category", "unit_price")
         .agg(F.sum("quantity").cast("int").alias("added"), F.min("requested_at").alias("added_at"))
+        .withColumn("cart_item_id", C.key_id(F.col("user_id"), F.col("inventory_id"), F.col("share_token"), F.col("added_at")))
     )
     line = ["user_id", "inventory_id", "share_token"]
     grown = (
@@ -147,7 +153,8 @@ def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs:
     fresh = added.join(cart.select(*line), line, "left_anti")
     new_lines = fresh.select(
         *[
-            F.col("added").alias("quantity") if name == "quantity"
+            F.col("cart_item_id").cast(cart.schema[name].dataType) if name == "cart_item_id"
+            else F.col("added").alias("quantity") if name == "quantity"
             else F.col("added_at").alias("created_at") if name == "created_at"
             else F.col(name) if name in fresh.columns
             else F.lit(None).cast(cart.schema[name].dataType).alias(name)
@@ -185,18 +192,20 @@ def update_cart_quantity(cart: DataFrame, changes: DataFrame, inventory: DataFra
     )
 
 
-def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
+def checkout(cart: DataFrame, inventory: DataFrame, users: DataFrame | None = None) -> dict[str, DataFrame]:
     """Check out every cart, in order of its last change within its report.
 
     A cart goes through when each of its lines still has enough stock after the carts before it. Returns ``verdicts``,
-    ``orders``, ``order_items``, units ``sold``, the reduced ``inventory`` and the ``cart`` lines that stay. The order total uses
-    inventory prices, the line totals use cart prices. ``order_ref`` is a digest of the cart, so a repeated run gives
-    the same reference.
+    ``orders`` and ``order_items`` in the layout of their tables, ``activity``, units ``sold``, the reduced ``inventory``
+    and the ``cart`` lines that stay. The order total uses inventory prices, the line totals use cart prices. Order ids
+    are digests of the cart and its last change, item ids of the order and the line, so a repeated run gives the same
+    ids. User names come from ``users`` and are null without it.
     """
     key = ["report_id", "user_id", "share_token"]
     ref = F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
     lines = cart.withColumn("order_ref", ref)
     carts = lines.groupBy("order_ref").agg(F.max("created_at").alias("checkout_at"))
+    order_id = C.key_id(F.col("order_ref"), F.col("checkout_at"))
     stock = inventory.select(
         F.col("id").alias("inventory_id"),
         "report_id",
@@ -225,17 +234,27 @@ def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
     verdict = F.when(F.col("accepted"), "confirmed").when(F.col("has_missing"), "missing").otherwise("over stock")
     verdicts = totals.join(decided, "order_ref").withColumn("verdict", verdict)
     accepted = decided.filter("accepted").select("order_ref")
-    sold_lines = lines.join(accepted, "order_ref", "left_semi")
+    sold_lines = lines.join(accepted.join(carts, "order_ref").withColumn("order_id", order_id), "order_ref")
+    named = verdicts.filter("accepted").withColumn("checkout_at", F.col("created_at")).withColumn("order_id", order_id)
+    if users is None:
+        named = named.withColumn("username", F.lit(None).cast("string"))
+    else:
+        named = named.join(users.select("user_id", "username"), "user_id", "left")
     sold = sold_lines.groupBy("report_id", F.col("inventory_id").alias("id")).agg(F.sum("quantity").alias("sold"))
     return {
         "verdicts": verdicts.select("order_ref", *key, "created_at", "total_amount", "verdict"),
-        "orders": verdicts.filter("accepted").select(
-            "order_ref", "user_id", F.lit("Confirmed").alias("status"), "share_token", "report_id", "total_amount",
-            "created_at",
+        "orders": _as_table("orders", named.withColumn("status", F.lit("Confirmed"))),
+        "order_items": _as_table(
+            "order_items",
+            sold_lines.withColumns(
+                {
+                    "order_item_id": C.key_id(F.col("order_id"), F.col("cart_item_id")),
+                    "line_total": C.line_total(F.col("unit_price"), F.col("quantity")),
+                }
+            ),
         ),
-        "order_items": sold_lines.select(
-            "order_ref", "inventory_id", "product_name", "category", "unit_price", "quantity",
-            C.line_total(F.col("unit_price"), F.col("quantity")).alias("line_total"),
+        "activity": activity_rows(
+            named.select(F.col("username").alias("actor_username"), F.col("order_id").cast("string").alias("detail"), "created_at"), TEXTS["checkout_log"]
         ),
         "sold": sold,
         "inventory": inventory.join(sold, ["report_id", "id"], "left")
@@ -245,6 +264,11 @@ def checkout(cart: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _as_table(name: str, rows: DataFrame) -> DataFrame:
+    """Rows in the layout of a stored table."""
+    return rows.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in TABLES[name].fields])
+
+
 def apply_order_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
     """Last allowed status per order. ``changes``: ``order_id``, ``changed_at``, ``change_id``, ``status``."""
     titled = changes.withColumn("status", C.title_status(F.col("status")))
@@ -287,13 +311,17 @@ def normalize_stored_tokens(table: DataFrame) -> DataFrame:
 
 
 def upsert_shared_catalogs(catalogs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Share reports under their token: a known token is refreshed, a new one becomes a catalog without an id yet."""
+    """Share reports under their token: a known token is refreshed, a new one becomes a catalog.
+
+    The id of a new catalog is a digest of its token.
+    """
     newest = F.max_by(F.struct("title", "report_id"), F.struct("created_at", "report_id"))
     shared = reports.groupBy(C.normalize_token(F.col("token")).alias("token")).agg(
         newest.alias("report"), F.max("created_at").alias("shared_at")
     )
     hit = F.col("report").isNotNull()
     updated = {
+        "share_id": F.coalesce("share_id", C.key_id(F.col("token"))),
         "title": F.coalesce("report.title", "title"),
         "source_report_id": F.when(hit, F.col("report.report_id")).otherwise(F.col("source_report_id")),
         "status": F.when(hit, F.lit("active")).otherwise(F.col("status")),
@@ -304,11 +332,11 @@ def upsert_shared_catalogs(catalogs: DataFrame, reports: DataFrame) -> DataFrame
 
 
 def apply_review_decisions(requests: DataFrame, codes: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
-    """Owner decisions on access requests: new ``requests``, ``codes`` and ``notifications``.
+    """Owner decisions on access requests: new ``requests``, ``codes``, ``notifications`` and ``activity``.
 
     ``decisions``: ``decision_id``, ``request_id``, ``decided_at``, ``decision`` (approve or reject), ``reviewer_id``,
     ``code``, ``code_expires_at``. A rejected request cannot be approved again; every decision that counts retires the
-    request's earlier unused codes.
+    request's earlier unused codes. Ids of new codes and notifications are digests of decision and request.
     """
     order = F.struct("decided_at", "decision_id")
     is_reject = F.col("decision") == "reject"
@@ -348,6 +376,7 @@ def apply_review_decisions(requests: DataFrame, codes: DataFrame, decisions: Dat
     )
     is_last = F.col("last.decision_id") == F.col("decision_id")
     issued = {
+        "id": C.key_id(F.col("decision_id"), F.col("request_id")).cast(codes.schema["id"].dataType),
         "request_id": F.col("request_id"),
         "email": F.col("email"),
         "code": F.col("code"),
@@ -368,13 +397,24 @@ def apply_review_decisions(requests: DataFrame, codes: DataFrame, decisions: Dat
     )
     approved_text = F.concat(F.lit(TEXTS["request_approved"]), F.coalesce("code", F.lit("")))
     notifications = counted.select(
+        C.key_id(F.col("decision_id"), F.col("request_id")).alias("id"),
         "request_id",
         "email",
         "username",
         F.when(is_reject, TEXTS["request_rejected"]).otherwise(approved_text).alias("message"),
         F.col("decided_at").alias("created_at"),
     )
-    return {"requests": new_requests, "codes": old_codes.unionByName(new_codes), "notifications": notifications}
+    verb = F.when(is_reject, "rejected").otherwise("approved")
+    logged = counted.select(
+        F.col("reviewer_id").cast("string").alias("actor_username"), F.col("email").alias("detail"), F.col("decided_at").alias("created_at"),
+        F.format_string(TEXTS["review_log"], verb).alias("action"),
+    )
+    return {
+        "requests": new_requests,
+        "codes": old_codes.unionByName(new_codes),
+        "notifications": notifications,
+        "activity": activity_rows(logged),
+    }
 
 
 def mark_codes_used(codes: DataFrame, uses: DataFrame) -> DataFrame:
@@ -400,8 +440,26 @@ def append_activity(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 
 
-def reset_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Uploaded-data tables emptied, others as they are."""
-    return {
-        name: table.filter(F.lit(False)) if name in RESETTABLE_TABLES else table for name, table in tables.items()
-    }
+def activity_rows(rows: DataFrame, action: str | None = None) -> DataFrame:
+    """Log rows from (actor_username, detail, created_at[, action]); the id is a digest of the row."""
+    rows = rows if action is None else rows.withColumn("action", F.lit(action))
+    key = C.key_id(F.col("action"), F.col("actor_username"), F.col("detail"), F.col("created_at"))
+    return _as_table("activity_logs", rows.withColumns({"activity_id": key, "actor_role": F.lit(None).cast("string")}))
+
+
+def apply_repaired_pointers(catalogs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Catalogs with the repaired report pointers of :func:`joins.resolve_catalog_report` written back."""
+    found = resolved.filter("is_repaired").select("share_id", "resolved_report_id")
+    return (
+        catalogs.join(found, "share_id", "left")
+        .withColumn("source_report_id", F.coalesce("resolved_report_id", "source_report_id"))
+        .select(*catalogs.columns)
+    )
+
+
+def reset_tables(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Uploaded-data tables emptied, others as they are; and per emptied table the rows it lost."""
+    emptied = [name for name in tables if name in RESETTABLE_TABLES]
+    kept = {name: table.filter(F.lit(False)) if name in emptied else table for name, table in tables.items()}
+    counts = [tables[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("removed_rows")) for name in emptied]
+    return kept, reduce(DataFrame.unionByName, counts)

@@ -19,7 +19,6 @@ from stocklens.schemas import (
     TEXTS,
 )
 
-SHEET_ROWS = 2**20
 NO_CATEGORY_WARNING = TEXTS["no_category"]
 
 
@@ -60,26 +59,33 @@ def _filled(value: Column) -> Column:
     return (C.strip(value) != "") & (F.lower(value) != "nan")
 
 
-def detect_header_row(cells: DataFrame) -> DataFrame:
-    """Header row per file: the best scoring of the first rows with two or more filled cells, else row 0."""
+def detect_header_row(cells: DataFrame, depth: int | None = HEADER_SEARCH_ROWS) -> DataFrame:
+    """Header row per file, and whether one was found.
+
+    The best scoring of the first ``depth`` rows with two or more filled cells; if none of them scores, the best of all
+    later rows. ``None`` ranks all rows alike. A file without any such row takes row 0 and ``header_found`` is false.
+    One pass: rows and then files are aggregated.
+    """
+    filled = _filled(F.col("value"))
     rows = (
-        cells.filter((F.col("row_idx") < HEADER_SEARCH_ROWS) & _filled(F.col("value")))
+        cells.filter(F.col("row_idx").isNotNull())
         .groupBy("path", "row_idx")
-        .agg(F.count("*").alias("filled"), F.sum(_header_points(F.col("value"))).alias("score"))
+        .agg(F.count_if(filled).alias("filled"), F.sum(F.when(filled, _header_points(F.col("value")))).alias("score"))
     )
     usable = (F.col("filled") >= 2) & (F.col("score") > 0)
-    best = rows.groupBy("path").agg(
-        F.min_by("row_idx", F.when(usable, F.struct((-F.col("score")).alias("s"), "row_idx"))).alias("header_row")
+    late = F.lit(False) if depth is None else F.col("row_idx") >= depth
+    order = F.struct(late.alias("late"), (-F.col("score")).alias("s"), "row_idx")
+    best = F.min_by("row_idx", F.when(usable, order))
+    return rows.groupBy("path").agg(best.alias("best")).select(
+        "path", F.coalesce("best", F.lit(0)).alias("header_row"), F.col("best").isNotNull().alias("header_found")
     )
-    files = cells.filter(F.col("row_idx").isNotNull()).select("path").distinct()
-    return files.join(best, "path", "left").withColumn("header_row", F.coalesce("header_row", F.lit(0)))
 
 
 def headers(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Named columns that hold data: (path, col_idx, header, normalized). Blank and 'unnamed' headers are dropped."""
     value, below = F.col("value"), F.col("row_idx") > F.col("header_row")
     return (
-        cells.join(header_rows, "path")
+        cells.join(header_rows.select("path", "header_row"), "path")
         .groupBy("path", "col_idx")
         .agg(
             F.max(F.when(F.col("row_idx") == F.col("header_row"), C.strip(value))).alias("header"),
@@ -112,18 +118,25 @@ def auto_map_columns(context: DataFrame) -> DataFrame:
 
 
 def mapping_status(files: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per file: status, missing required fields and the category warning."""
+    """Per file: status, missing required fields and the category warning.
+
+    A file that cannot be mapped has status ``header_not_found`` if ``files`` says so, else ``mapping_required``.
+    """
     fields = mapping.groupBy("path").agg(F.collect_set("field").alias("fields"))
     have = F.coalesce("fields", F.array().cast("array<string>"))
     required = F.array(*[F.lit(field) for field in REQUIRED_FIELDS])
     missing = F.array_except(required, have)
+    found = F.col("header_found") if "header_found" in files.columns else F.lit(True)
     return (
-        files.select("path")
+        files.select("path", found.alias("header_found"))
         .distinct()
         .join(fields, "path", "left")
         .select(
             "path",
-            F.when(F.size(missing) == 0, "success").otherwise("mapping_required").alias("status"),
+            F.when(F.size(missing) == 0, "success")
+            .when(~F.col("header_found"), "header_not_found")
+            .otherwise("mapping_required")
+            .alias("status"),
             missing.alias("missing_fields"),
             F.when(~F.array_contains(have, "category"), NO_CATEGORY_WARNING).alias("warning"),
         )
@@ -143,13 +156,19 @@ def apply_manual_mapping(mapping: DataFrame, named: DataFrame, overrides: DataFr
 
 
 def cells_to_records(cells: DataFrame, header_rows: DataFrame, mapping: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows below the header with the mapped fields as text columns; rows without any named value are dropped."""
+    """Rows below the header with the mapped fields as text columns; rows without any named value are dropped.
+
+    What is known of columns is joined first, a few rows per file; the cells, by far the largest table, are joined once.
+    """
     fields = mapping.select("path", "col_idx", "field")
-    body = (
-        cells.join(header_rows, "path")
-        .filter((F.col("row_idx") > F.col("header_row")) & (C.strip(F.col("value")) != ""))
-        .join(named.select("path", "col_idx"), ["path", "col_idx"], "left_semi")
+    columns = (
+        named.select("path", "col_idx")
+        .distinct()
         .join(fields, ["path", "col_idx"], "left")
+        .join(header_rows.select("path", "header_row"), "path")
+    )
+    body = cells.join(columns, ["path", "col_idx"]).filter(
+        (F.col("row_idx") > F.col("header_row")) & (C.strip(F.col("value")) != "")
     )
     return body.groupBy("path", "row_idx").agg(
         *[F.max(F.when(F.col("field") == field, F.col("value"))).alias(field) for field in MAPPING_FIELDS]
@@ -162,6 +181,7 @@ def type_rows(records: DataFrame, today: str) -> DataFrame:
     price, quantity = C.to_price(F.col("price")), C.truncated_count(F.col("quantity"))
     reason = (
         F.when(price.isNull(), "price is not a number")
+        .when(quantity.isNull() & C.to_number(F.col("quantity")).isNotNull(), "quantity is out of range")
         .when(quantity.isNull(), "quantity is not a number")
         .when(name == "", "product name is blank")
     )
@@ -236,6 +256,7 @@ def ingest_report(
             "missing_fields",
             "warning",
             (F.col("header_row") + 1).alias("detected_header_row"),
+            "header_found",
             F.coalesce("rows_processed", zero).alias("rows_processed"),
             F.coalesce("valid_rows", zero).alias("valid_rows"),
             F.greatest(F.coalesce(F.col("rows_processed") - F.col("valid_rows"), zero), zero).alias("failed_rows"),
@@ -252,15 +273,12 @@ def preview_rows(typed: DataFrame, n: int = 8) -> DataFrame:
     return typed.filter("is_valid").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
-def register_reports(files: DataFrame, user_id: int | None = None, first_number: int = 0) -> DataFrame:
+def register_reports(files: DataFrame, user_id: int | None = None) -> DataFrame:
     """Report rows for files given as (path, modificationTime).
 
     Ids are digests of path and time, in the usual 32 and 16 digit form: a task that runs again after a lost executor,
-    or a batch that is replayed, gives the same report. Report numbers are unique but not dense: files are counted within
-    4096 digest groups, so that no task has to see the whole list.
+    or a batch that is replayed, gives the same report.
     """
-    group = F.substring(F.md5("path"), 1, 3)
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("path")).cast("bigint")
     source = F.concat_ws("|", "path", F.col("modificationTime").cast("string"))
     return files.select(
         "path",
@@ -271,18 +289,18 @@ def register_reports(files: DataFrame, user_id: int | None = None, first_number:
         C.file_name(F.col("path")).alias("source_file_name"),
         F.lit("active").alias("status"),
         F.col("modificationTime").alias("created_at"),
-        (nth * 4096 + F.conv(group, 16, 10).cast("bigint") + first_number).alias("report_number"),
     )
 
 
 def inventory_of(typed: DataFrame, reports: DataFrame, user_id: int | None = None) -> DataFrame:
     """Valid rows of registered files in the inventory layout, categories filled in.
 
-    A sheet has at most 2^20 rows, so report number and row index together make a unique id.
+    The id is a digest of report and row, so it depends on nothing but the file; it is a key together with ``report_id``,
+    which :func:`repeated_ids` checks.
     """
-    tagged = typed.filter("is_valid").join(reports.select("path", "report_id", "report_number", "created_at"), "path")
+    tagged = typed.filter("is_valid").join(reports.select("path", "report_id", "created_at"), "path")
     return tagged.select(
-        (F.col("report_number") * SHEET_ROWS + F.col("row_idx")).alias("id"),
+        C.key_id(F.col("report_id"), F.col("row_idx")).alias("id"),
         "report_id",
         F.lit(user_id).cast("bigint").alias("user_id"),
         "product_name",
@@ -298,18 +316,24 @@ def inventory_of(typed: DataFrame, reports: DataFrame, user_id: int | None = Non
     )
 
 
+def repeated_ids(inventory: DataFrame) -> DataFrame:
+    """(report_id, id) that two rows share; empty unless two digests of one report collide."""
+    return inventory.groupBy("report_id", "id").count().filter(F.col("count") > 1)
+
+
 def merge_product_master(products: DataFrame, rows: DataFrame) -> DataFrame:
     """Product master after an upload: one row per (name, category), the newest details winning.
 
     ``rows`` carry ``name``, ``category``, the detail columns and a sortable ``loaded_at``. Products seen before keep
-    their id; new ones have none yet. Union and one aggregate: a product uploaded very often is combined on the map side.
+    their id; that of a new one is a digest of name and category. Union and one aggregate: a product uploaded very often
+    is combined on the map side.
     """
     details = [name for name in products.columns if name not in ("product_id", "name", "category", "created_at")]
     stored = products.withColumn("loaded_at", F.lit(None).cast(rows.schema["loaded_at"].dataType))
     fresh = rows.withColumn("category", C.clean_category(F.col("category"), fallback=True))
     both = stored.unionByName(fresh, allowMissingColumns=True)
     newest = F.struct("loaded_at", "product_id", F.struct(*details))
-    keep = [F.max("product_id").alias("product_id")]
+    keep = [F.coalesce(F.max("product_id"), C.key_id(F.col("name"), F.col("category"))).alias("product_id")]
     if "created_at" in products.columns:
         keep.append(F.min("created_at").alias("created_at"))
     return (

@@ -4,11 +4,13 @@ No join strategy is forced: Catalyst broadcasts a side only when its measured si
 AQE splits skewed partitions otherwise. Sides that can be reduced are aggregated to one row per key before the join.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
+from stocklens.functions.skew import numbered
 from stocklens.operators.scope import filter_real_names
 from stocklens.schemas import MONEY, UNCATEGORIZED
+from stocklens.sources.tables import report_bucket
 
 
 def inventory_with_owner(inventory: DataFrame, users: DataFrame) -> DataFrame:
@@ -47,7 +49,6 @@ def all_sales(
         part.withColumns(
             {
                 "sale_date": F.col("sale_date").cast("timestamp"),
-                "line_id": F.col("line_id").cast("string"),
                 "source": F.lit(rank),
             }
         )
@@ -153,33 +154,21 @@ def merge_stock_and_sales(stock: DataFrame, sold: DataFrame) -> DataFrame:
     )
 
 
-def order_views(
-    orders: DataFrame, items: DataFrame, limit: int | None = None, items_per_row: int = 1000
-) -> DataFrame:
-    """Newest orders with their items nested, items by id.
+def order_views(orders: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest orders with their items: one row per item, by ``position`` (from 1, by item id) within the order.
 
-    An order with more than ``items_per_row`` items is spread over several rows (``part`` 0, 1, ...), so no array grows
-    with the data; every item is in exactly one of them. The explicit partitioning by order and part spreads such an
-    order over tasks; without it Spark would keep the partitioning by order.
+    An order without items is one row without ``item``. One shape for orders of any size: no array grows with the data.
+    An order that holds a large share of all items is spread over tasks, and the join with the orders meets its chunks,
+    not all its rows at once.
     """
     if limit is not None:
         orders = orders.orderBy(F.desc("created_at"), F.desc("order_id")).limit(limit)
-    wanted = items.join(orders.select("order_id"), "order_id", "left_semi")
-    sizes = wanted.groupBy("order_id").agg(F.count("*").alias("item_count"))
-    line = F.struct(
-        "order_item_id", "inventory_id", "product_name", "category", "unit_price", "quantity", "line_total"
-    )
-    parts = F.ceil(F.col("item_count") / items_per_row)
-    nested = (
-        wanted.join(sizes, "order_id")
-        .withColumn("part", F.pmod(F.xxhash64("order_item_id"), parts).cast("int"))
-        .repartition("order_id", "part")
-        .groupBy("order_id", "part")
-        .agg(F.array_sort(F.collect_list(line)).alias("items"))
-    )
-    empty = F.array().cast(nested.schema["items"].dataType)
-    without = orders.join(sizes, "order_id", "left_anti").withColumns({"part": F.lit(0), "items": empty})
-    return nested.join(orders, "order_id").select(*orders.columns, "part", "items").unionByName(without)
+        items = items.join(orders.select("order_id"), "order_id", "left_semi")
+    lines = numbered(items, "order_id", "order_item_id")
+    line = F.struct("order_item_id", "inventory_id", "product_name", "category", "unit_price", "quantity", "line_total")
+    lines = lines.select("order_id", "chunk", "position", line.alias("item"))
+    heads = lines.select("order_id", "chunk").distinct().join(orders, "order_id", "right").withColumn("chunk", F.coalesce("chunk", F.lit(-1)))
+    return heads.join(lines, ["order_id", "chunk"], "left").select(*orders.columns, "position", "item")
 
 
 def known_categories(products: DataFrame) -> DataFrame:
@@ -202,37 +191,53 @@ def category_suggestions(inventory: DataFrame, products: DataFrame) -> DataFrame
 
 
 def resolve_catalog_report(
-    catalogs: DataFrame, reports: DataFrame, inventory: DataFrame, row_counts: DataFrame | None = None
+    catalogs: DataFrame, reports: DataFrame, inventory: DataFrame, row_counts: DataFrame | None = None, few: bool = False
 ) -> DataFrame:
     """The report behind each catalog, and the step that found it.
 
     Order: the source report when it has rows (even if its record is missing), the source report without rows, the
     token, the file name in the title, the latest report when it has rows. ``is_repaired`` marks pointers to rewrite.
-    A kept result of :func:`rows_per_report` as ``row_counts`` saves reading a column of the whole inventory.
+
+    Whether reports have rows comes from ``row_counts``, a kept result of :func:`rows_per_report`, if given. For a
+    ``few`` catalogs the inventory is asked for their reports only, which prunes its buckets; else each report is looked
+    up in the distinct reports of the inventory.
+
+    A catalog takes part in a step's join only with a key and while it is open. All others carry a key of their own that
+    meets nothing, so neither nulls nor settled catalogs gather in one task.
     """
-    if row_counts is None:
-        row_counts = rows_per_report(inventory)
-    filled = row_counts.filter(F.col("row_count") > 0).select(
-        F.col("report_id").alias("source_report_id"), F.lit(True).alias("has_rows")
-    )
     newest = F.max_by("report_id", F.struct("created_at", "report_id"))
-    by_id = reports.select(F.col("report_id").alias("source_report_id"), F.col("report_id").alias("id_report")).distinct()
-    by_token = reports.groupBy(F.lower("token").alias("token_key")).agg(newest.alias("token_report"))
-    by_file = reports.groupBy(F.lower("source_file_name").alias("file_key")).agg(newest.alias("file_report"))
-    latest = (
-        reports.orderBy(F.desc("created_at"), F.desc("report_id"))
-        .limit(1)
-        .join(filled.withColumnRenamed("source_report_id", "report_id"), "report_id", "left_semi")
-        .select("report_id")
-    )
-    keyed = catalogs.withColumn("token_key", F.lower(C.normalize_token(F.col("token")))).withColumn(
-        "file_key", F.lower(C.filename_from_title(F.col("title")))
+    last = reports.orderBy(F.desc("created_at"), F.desc("report_id")).limit(1).select("report_id")
+    if row_counts is not None:
+        filled = row_counts.filter(F.col("row_count") > 0).select("report_id")
+    elif few:
+        asked = catalogs.select(F.col("source_report_id").alias("report_id")).unionByName(last)
+        by = ["report_id"]
+        if "report_bucket" in inventory.columns:
+            asked, by = asked.withColumn("report_bucket", report_bucket(F.col("report_id"))), ["report_id", "report_bucket"]
+        filled = inventory.join(asked, by, "left_semi").select("report_id").distinct()
+    else:
+        filled = inventory.filter(F.col("report_id").isNotNull()).select("report_id").distinct()
+    known = (
+        reports.select("report_id", F.col("report_id").alias("id_report")).distinct()
+        .join(filled.withColumn("has_rows", F.lit(True)), "report_id", "full_outer")
     )
+    by_token = reports.groupBy(F.lower("token").alias("key")).agg(newest.alias("token_report"))
+    by_file = reports.groupBy(F.lower("source_file_name").alias("key")).agg(newest.alias("file_report"))
+    latest = last.join(filled, "report_id", "left_semi")
+
+    alone = F.concat(F.lit("\0"), F.xxhash64(*catalogs.columns).cast("string"))
+
+    def open_key(key: Column, is_open: Column) -> Column:
+        return F.coalesce(F.when(is_open, key), alone)
+
     steps = (
-        keyed.join(filled, "source_report_id", "left")
-        .join(by_id, "source_report_id", "left")
-        .join(by_token, "token_key", "left")
-        .join(by_file, "file_key", "left")
+        catalogs.withColumn("key", open_key(F.col("source_report_id"), F.lit(True)))
+        .join(known.withColumnRenamed("report_id", "key"), "key", "left")
+        .withColumn("is_open", F.col("has_rows").isNull() & F.col("id_report").isNull())
+        .withColumn("key", open_key(F.lower(C.normalize_token(F.col("token"))), F.col("is_open")))
+        .join(by_token, "key", "left")
+        .withColumn("key", open_key(F.lower(C.filename_from_title(F.col("title"))), F.col("is_open") & F.col("token_report").isNull()))
+        .join(by_file, "key", "left")
         .withColumn("latest_report", latest.scalar())
     )
     found = F.coalesce("id_report", "token_report", "file_report", "latest_report")
@@ -299,7 +304,10 @@ def popularity(items: DataFrame) -> DataFrame:
     return items.groupBy("product_name").agg(F.sum("quantity").alias("popularity"))
 
 
-def catalog_by_popularity(rows: DataFrame, items: DataFrame) -> DataFrame:
+def catalog_by_popularity(rows: DataFrame, items: DataFrame, few: bool = False) -> DataFrame:
+    """Rows with the units ordered of their product; for a ``few`` rows only items of their products are added up."""
+    if few:
+        items = items.join(rows.select("product_name").distinct(), "product_name", "left_semi")
     return rows.join(popularity(items), "product_name", "left").withColumn(
         "popularity", F.coalesce("popularity", F.lit(0))
     )

@@ -57,7 +57,7 @@ def dashboard_low_stock(inventory: DataFrame, k: int = 5) -> DataFrame:
     return recent(rows, k)
 
 
-def sort_catalog(rows: DataFrame, mode: str = "newest", items: DataFrame | None = None) -> DataFrame:
+def sort_catalog(rows: DataFrame, mode: str = "newest", items: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Catalog rows by price, stock or popularity; any other mode means newest first."""
     row_order = [F.desc("created_at"), F.desc("id")]
     if mode == "price":
@@ -65,7 +65,7 @@ def sort_catalog(rows: DataFrame, mode: str = "newest", items: DataFrame | None
     if mode == "stock":
         return rows.orderBy(F.desc("quantity"), *row_order)
     if mode == "popularity":
-        return joins.catalog_by_popularity(rows, items).orderBy(F.desc("popularity"), *row_order)
+        return joins.catalog_by_popularity(rows, items, few).orderBy(F.desc("popularity"), *row_order)
     return rows.orderBy(F.desc("id"))
 
 
@@ -77,10 +77,9 @@ def latest_report(reports: DataFrame) -> DataFrame:
     return recent(reports, 1, id_col="report_id")
 
 
-def latest_valid_catalog(catalogs: DataFrame, as_of: str, window: int = 25) -> DataFrame:
-    """Newest valid catalog among the newest active ones."""
-    active = recent(catalogs.filter(F.col("status") == "active"), window, id_col="share_id").drop("position")
-    return recent(scope.valid_catalogs(active, as_of), 1, id_col="share_id")
+def latest_valid_catalog(catalogs: DataFrame, as_of: str) -> DataFrame:
+    """Newest valid catalog, however many newer ones have expired."""
+    return recent(scope.valid_catalogs(catalogs, as_of), 1, id_col="share_id")
 
 
 def highest_value_row(inventory: DataFrame) -> DataFrame:

@@ -134,9 +134,9 @@ def user_dashboard(tables: dict[str, DataFrame], user_id: int, username: str, as
     """Dashboard of a shopper: newest shared catalog with its first rows, own orders and cart."""
     t = tables
     latest = topk.latest_valid_catalog(t["shared_catalogs"], as_of)
-    resolved = joins.resolve_catalog_report(latest, t["uploaded_reports"], t["inventory_data"])
-    report = resolved.select(F.col("resolved_report_id").alias("report_id"))
-    rows = scope.typed_inventory(t["inventory_data"].join(report, "report_id", "left_semi"))
+    inventory = t["inventory_data"]
+    resolved = joins.resolve_catalog_report(latest, t["uploaded_reports"], inventory, few=True)
+    rows = scope.typed_inventory(_rows_of(inventory, resolved))
     own = scope.visible_orders(t["orders"], "user", user_id, username)
     cart = t["cart_items"].filter(F.col("user_id") == user_id)
     return Bundle(
@@ -152,23 +152,31 @@ def user_dashboard(tables: dict[str, DataFrame], user_id: int, username: str, as
 
 
 def report_view(report_id: str, reports: DataFrame, catalogs: DataFrame, inventory: DataFrame) -> Bundle:
-    """Page of one report: its listing row, first rows, and chart series of those rows."""
+    """Page of one report: its listing row, first rows, and chart series of all its rows."""
     mine = inventory.filter(F.col("report_id") == report_id)
     listed = reports.filter(F.col("report_id") == report_id)
     shares = catalogs.filter(F.col("source_report_id") == report_id)
-    rows = topk.preview(scope.typed_inventory(mine), 8)
+    rows = scope.typed_inventory(mine)
     charts = insights.entry_chart_series(rows.withColumn("created_at", F.lit(None).cast("timestamp")))
     undated = (F.col("chart") == "trend") & (F.col("label") == NO_DATE)
     return Bundle(
         [],
         {
             "report": joins.report_listing(listed, shares, mine),
-            "preview_rows": rows,
+            "preview_rows": topk.preview(rows, 8),
             "charts": charts.withColumn("label", F.when(undated, "-").otherwise(F.col("label"))),
         },
     )
 
 
+def _rows_of(inventory: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Inventory rows of resolved reports."""
+    report, by = resolved.select(F.col("resolved_report_id").alias("report_id")), ["report_id"]
+    if "report_bucket" in inventory.columns:
+        report, by = report.withColumn("report_bucket", report_bucket(F.col("report_id"))), ["report_id", "report_bucket"]
+    return inventory.join(report, by, "left_semi")
+
+
 def catalog_page(
     token: str,
     as_of: str,
@@ -185,22 +193,17 @@ def catalog_page(
 ) -> Bundle:
     """Rows, metrics and facets of the catalog a link names; all empty when the link is not valid.
 
-    The report is resolved inside the plan. When the stored inventory comes with its bucket column, the join on it
-    prunes the folders of other buckets at run time; with kept ``row_counts`` per report the page reads that bucket only.
+    The report is resolved inside the plan. When the stored inventory comes with its bucket column, the joins on it
+    prune the folders of other buckets at run time, both when the page asks whether reports have rows and when it reads
+    them. Only items of the page's products are added up for popularity.
     """
     catalog = scope.catalog_by_token(catalogs, token, as_of)
-    report = joins.resolve_catalog_report(catalog, reports, inventory, row_counts).select(
-        F.col("resolved_report_id").alias("report_id")
-    )
-    by = ["report_id"]
-    if "report_bucket" in inventory.columns:
-        report, by = report.withColumn("report_bucket", report_bucket(F.col("report_id"))), ["report_id", "report_bucket"]
-    rows = scope.typed_inventory(inventory.join(report, by, "left_semi"))
+    rows = scope.typed_inventory(_rows_of(inventory, joins.resolve_catalog_report(catalog, reports, inventory, row_counts, few=True)))
     matching = scope.filter_catalog(rows, search, category, stock_level, branch)
     return Bundle(
         [],
         {
-            "products": topk.sort_catalog(matching, sort, items),
+            "products": topk.sort_catalog(matching, sort, items, few=True),
             "metrics": rollups.catalog_metrics(rows),
             "facets": scope.catalog_facets(rows),
         },

@@ -11,6 +11,8 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stocklens.sources.adapters import LINE_ID
+
 LINE_KEY = (
     "lpad(CAST(l_orderkey AS STRING), 15, '0') || CAST(l_linenumber AS STRING)"
     " || lpad(CAST(l_partkey AS STRING), 12, '0') || lpad(CAST(l_suppkey AS STRING), 12, '0')"
@@ -108,12 +110,12 @@ STATUS_CHANGES = f"""
     FROM lineitem"""
 
 CART_CHANGES = f"""
-    SELECT {LINE_KEY} AS cart_item_id, o_custkey AS user_id, l_shipdate AS changed_at, 'a' AS change_id,
+    SELECT {LINE_ID} AS cart_item_id, o_custkey AS user_id, l_shipdate AS changed_at, 'a' AS change_id,
            CASE l_linenumber % 4 WHEN 0 THEN '2.5' WHEN 1 THEN '-2' WHEN 2 THEN CAST(CAST(l_tax * 100 AS INT) AS STRING)
                 ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     UNION ALL
-    SELECT {LINE_KEY}, o_custkey, l_shipdate, 'b', CAST(CAST(l_discount * 100 AS INT) AS STRING)
+    SELECT {LINE_ID}, o_custkey, l_shipdate, 'b', CAST(CAST(l_discount * 100 AS INT) AS STRING)
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 
 CART_ADDS = f"""
@@ -125,11 +127,11 @@ CART_ADDS = f"""
 # One open line per user with a recent part-shipped order.
 OPEN_CARTS = f"""
     SELECT cart_item_id, user_id, share_token, inventory_id, report_id, product_name, category, unit_price, quantity, created_at
-    FROM (SELECT {LINE_KEY} AS cart_item_id, o_custkey AS user_id, 'tok' || CAST(l_partkey % 25 AS STRING) AS share_token,
+    FROM (SELECT {LINE_ID} AS cart_item_id, o_custkey AS user_id, 'tok' || CAST(l_partkey % 25 AS STRING) AS share_token,
                  l_partkey AS inventory_id, 'R' || CAST(l_partkey % 25 AS STRING) AS report_id,
                  p_name || ' ' || p_brand AS product_name, p_type AS category,
                  CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price, 1 AS quantity, o_orderdate AS created_at,
-                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, {LINE_KEY}) AS nth
+                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, {LINE_ID}) AS nth
           FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
           WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2000-01-01 00:00:00') n
     WHERE nth = 1"""

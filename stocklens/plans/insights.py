@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
-from stocklens.functions.ranking import top_rows
 from stocklens.operators import rollups, topk
 from stocklens.schemas import DASHBOARD_LOW_STOCK, MIN_ROWS_FOR_INSIGHTS, TEXTS
 
@@ -76,11 +75,11 @@ def leading_products(facts: DataFrame) -> DataFrame:
 
 
 def business_summary(facts: DataFrame) -> DataFrame:
-    """Headline numbers. The low-stock count is that of the eight-row list."""
+    """Headline numbers; ``low_stock_count`` counts all low products, not only those a list shows."""
     return leading_products(facts).select(
         F.col("products").alias("total_products"),
         F.coalesce("total_value", F.lit(0)).alias("total_inventory_value"),
-        F.least("low_products", F.lit(8)).alias("low_stock_count"),
+        F.col("low_products").alias("low_stock_count"),
         F.coalesce("fast.product_name", F.lit(TEXTS["no_orders"])).alias("top_selling_product"),
         F.coalesce("units_sold", F.lit(0)).alias("total_orders"),
     )
@@ -236,13 +235,15 @@ def entry_chart_series(inventory: DataFrame) -> DataFrame:
 
 
 def upload_charts(inventory: DataFrame) -> DataFrame:
-    """Data behind the charts of an upload: top products, first months, low stock and category share."""
-    months = top_rows(rollups.monthly_quantity(inventory), 6, "month")
+    """Data behind the charts of an upload: top products, all months, low stock and category share.
+
+    Months carry no position: there may be any number of them, and their labels order them.
+    """
     return reduce(
         DataFrame.unionByName,
         [
             _top_series("top_products", topk.quantity_leaders(inventory), "product_name", "quantity"),
-            _top_series("monthly_sales", months, "month", "quantity"),
+            _series("monthly_sales", rollups.monthly_quantity(inventory), "month", "quantity"),
             _top_series("low_stock", topk.low_stock_rows(inventory, 5), "product_name", "quantity"),
             _top_series("category_distribution", rollups.category_share(inventory), "category", "percent"),
         ],

@@ -61,6 +61,11 @@ def expiry(x: str) -> str:
     return f"TRY_CAST(replace(replace({x}, 'T', ' '), 'Z', '') AS TIMESTAMP)"
 
 
+def key_id(*xs: str) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({x} AS STRING), '')" for x in xs)
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
 def token(x: str) -> str:
     bare = f"split_part(split_part({strip(x)}, '?', 1), '#', 1)"
     return f"nullif({strip(f'''split_part(rtrim({bare}, '/'), '/', -1)''')}, '')"
@@ -130,11 +135,11 @@ scored AS (
            sum(CASE WHEN {header('value')} IN (SELECT alias FROM alias) THEN 3 ELSE 0 END
                + (SELECT count(*) FROM (VALUES ('product'), ('product name'), ('stock'), ('quantity'), ('price'), ('date')) k(w)
                   WHERE contains(lower({strip('value')}), w))) AS score
-    FROM cells WHERE row_idx < 15 AND {strip('value')} <> '' AND lower(value) <> 'nan' GROUP BY 1, 2),
+    FROM cells WHERE {strip('value')} <> '' AND lower(value) <> 'nan' GROUP BY 1, 2),
 hrow AS (
-    SELECT f.path, CAST(coalesce(b.row_idx, 0) AS INT) AS header_row
+    SELECT f.path, CAST(coalesce(b.row_idx, 0) AS INT) AS header_row, b.row_idx IS NOT NULL AS header_found
     FROM (SELECT DISTINCT path FROM cells) f
-    LEFT JOIN (SELECT path, row_idx, row_number() OVER (PARTITION BY path ORDER BY score DESC, row_idx) AS nth
+    LEFT JOIN (SELECT path, row_idx, row_number() OVER (PARTITION BY path ORDER BY row_idx >= 15, score DESC, row_idx) AS nth
                FROM scored WHERE filled >= 2 AND score > 0) b ON b.path = f.path AND b.nth = 1),
 body AS (SELECT c.* FROM cells c JOIN hrow h ON h.path = c.path AND c.row_idx > h.header_row WHERE {strip('c.value')} <> ''),
 named AS (
@@ -175,7 +180,7 @@ typed AS (
                 WHEN product_name = '' THEN 'product name is blank' END AS reason
     FROM typed0)
 """
-_add("detect_header_row", [], _UP + "SELECT path, header_row FROM hrow")
+_add("detect_header_row", [], _UP + "SELECT path, header_row, header_found FROM hrow")
 _add("normalize_header", [], _UP + f"SELECT path, row_idx, col_idx, {header('value')} AS normalized FROM cells")
 _add("header_context", [], _UP + "SELECT path, normalized, col_idx, header FROM context")
 _add("auto_map_columns", [], _UP + "SELECT path, field, col_idx, header FROM mapping")
@@ -214,7 +219,7 @@ _add(
     "register_reports", [],
     _UP + f"""SELECT path, replace(split_part(path, '/', 2), '.xlsx', '') || ' catalog' AS title, CAST(1 AS BIGINT) AS created_by_admin,
     split_part(path, '/', 2) AS source_file_name, 'active' AS status, TIMESTAMP '{AS_OF}' AS created_at,
-    row_number() OVER (PARTITION BY substr(md5(path), 1, 3) ORDER BY path) * 4096 + CAST('0x' || substr(md5(path), 1, 3) AS INT) AS report_number FROM (SELECT DISTINCT path FROM cells) f""",
+    md5(path || '|{AS_OF}') AS report_id, substr(sha256(path || '|{AS_OF}'), 1, 16) AS token FROM (SELECT DISTINCT path FROM cells) f""",
 )
 _add(
     "normalize_rows", [INV],
@@ -227,7 +232,7 @@ _add(
     f""", both_rows AS (
       SELECT name, category, price, quantity, product_id, -1 AS loaded_at FROM t_products
       UNION ALL SELECT product_name, {cat('category')}, price, quantity, NULL, id FROM t_inventory_data)
-    SELECT max(product_id) OVER (PARTITION BY name, category) AS product_id, name, category, {money('price')} AS price, quantity FROM both_rows
+    SELECT coalesce(max(product_id) OVER (PARTITION BY name, category), {key_id('name', 'category')}) AS product_id, name, category, {money('price')} AS price, quantity FROM both_rows
     QUALIFY row_number() OVER (PARTITION BY name, category ORDER BY loaded_at DESC, product_id DESC) = 1""",
 )
 _TEMPLATE = f"""WITH raw AS ({derived.TEMPLATE_ROWS}),
@@ -242,8 +247,17 @@ _add(
 )
 _add(
     "load_tables", [INV, PRO, ORD, REP, USERS, REQ],
-    " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM t_{n}" for n in [INV, PRO, ORD, REP, USERS, REQ]),
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS row_count, CAST({'0' if n == USERS else 'count(*)'} AS BIGINT) AS defaults FROM t_{n}"
+        for n in [INV, PRO, ORD, REP, USERS, REQ]
+    ),
+)
+_add(
+    "append_inventory", [INV],
+    f"""SELECT id, report_id, CAST(5 AS BIGINT) AS user_id, product_name, category, {money('price')} AS price, quantity, reorder_level, supplier_name,
+    branch_name, image_url, entry_date, created_at FROM t_inventory_data WHERE report_id = '{REPORT}'""",
 )
+_add("only_xlsx", [], f"SELECT page_id, CASE WHEN {token('url')} IS NOT NULL THEN page_id % 5 IN (0, 1) END AS is_workbook FROM pages")
 _add(
     "conform_products", [PRO],
     f"""SELECT product_id, name, category, {money('price')} AS price, quantity, 10 AS reorder_level, CAST(NULL AS STRING) AS supplier_name,
@@ -268,7 +282,8 @@ _add(
 )
 _add(
     "filter_catalog", [INV],
-    f""", {ROWS} SELECT {_ROW_COLS} FROM inv WHERE lower(product_name) LIKE '%widget%' AND branch_name = 'NATION_4' AND quantity <= reorder_level""",
+    f""", {ROWS} SELECT {_ROW_COLS} FROM inv WHERE lower(product_name) LIKE '%r%' AND category = 'PROMO'
+    AND branch_name = 'NATION_2' AND quantity <= reorder_level""",
 )
 _add("filter_catalog_out_of_stock", [INV], f", {ROWS} SELECT {_ROW_COLS} FROM inv WHERE category = 'ECONOMY' AND quantity <= 0")
 _add("report_inventory", [INV], f", {REAL_ROWS} SELECT {_ROW_COLS} FROM rinv WHERE report_id = '{REPORT}'")
@@ -374,9 +389,10 @@ _add("merge_stock_and_sales", FACT_TABLES, f", {FACTS} SELECT {FACT_COLS} FROM f
 _add(
     "order_views", [ORD, ITEMS],
     f"""SELECT o.order_id, o.status, {money('o.total_amount')} AS total_amount, o.created_at, i.order_item_id, i.inventory_id, i.product_name,
-      i.category, i.unit_price, i.quantity, i.line_total
+      i.category, i.unit_price, i.quantity, i.line_total, i.position
     FROM t_orders o LEFT JOIN (SELECT order_item_id, order_id, inventory_id, product_name, category, {money('unit_price')} AS unit_price, quantity,
-                                      {money('line_total')} AS line_total FROM t_order_items) i ON i.order_id = o.order_id""",
+                                      {money('line_total')} AS line_total,
+                                      row_number() OVER (PARTITION BY order_id ORDER BY order_item_id) AS position FROM t_order_items) i ON i.order_id = o.order_id""",
 )
 _RESOLVED = f"""filled AS (SELECT DISTINCT report_id FROM t_inventory_data),
 latest AS (SELECT report_id FROM t_uploaded_reports ORDER BY created_at DESC, report_id DESC LIMIT 1),
@@ -460,7 +476,7 @@ _add("total_units_sold", [ITEMS, ORD], f", {LINES} SELECT CAST(sum(quantity) AS
 _TREND = "SELECT strftime(sale_date, '%Y-%m-%d') AS day, CAST(sum(quantity) AS BIGINT) AS units FROM lines GROUP BY 1"
 _add("sales_trend", [ITEMS, ORD], f", {LINES} {_TREND}")
 _SUMMARY = f"""SELECT count(*) AS total_products, {money('sum(exact_value)')} AS total_inventory_value,
-    least(8, count(*) FILTER (WHERE stock BETWEEN 0 AND 9)) AS low_stock_count,
+    count(*) FILTER (WHERE stock BETWEEN 0 AND 9) AS low_stock_count,
     coalesce((SELECT product_name FROM facts WHERE sold > 0 ORDER BY sold DESC, first_seen LIMIT 1), 'No orders yet') AS top_selling_product,
     CAST(sum(sold) AS BIGINT) AS total_orders FROM facts"""
 _add("business_summary", FACT_TABLES, f", {FACTS} {_SUMMARY}")
@@ -499,7 +515,16 @@ _top("quantity_leaders", [INV], _PQ, "product_name, quantity", "pq", "quantity D
 _top("quantity_laggards", [INV], _PQ, "product_name, quantity", "pq", "quantity, product_name", 5)
 _top("low_stock_rows", [INV], "", _INV_COLS, "t_inventory_data WHERE quantity < 10", "quantity, id", 10)
 _top("dashboard_low_stock", [INV], "", _INV_COLS, "t_inventory_data WHERE quantity <= 10", "created_at DESC, id DESC", 5)
-_add("sort_catalog", [INV], f", {ROWS} SELECT {_ROW_COLS} FROM inv")
+_SORTS = {"newest": "id DESC", "price": "price, created_at DESC, id DESC", "stock": "quantity DESC, created_at DESC, id DESC",
+          "popularity": "coalesce(popularity, 0) DESC, created_at DESC, id DESC"}
+_add(
+    "sort_catalog", [INV, ITEMS],
+    f", {ROWS}, {_POP} "
+    + " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{mode}' AS mode, id, row_number() OVER (ORDER BY {order}) AS position FROM inv LEFT JOIN pop USING (product_name)"
+        " QUALIFY position <= 200) s" for mode, order in _SORTS.items()
+    ),
+)
 _top("recent_activity", [LOG], "", "*", "t_activity_logs", "created_at DESC, activity_id DESC", 12)
 _top("recent_orders", [ORD], "", _ORDER_COLS, "t_orders", "created_at DESC, order_id DESC", 12)
 _top(
@@ -508,7 +533,7 @@ _top(
 )
 _top(
     "latest_valid_catalog", [CAT], "", _CAT_COLS,
-    f"(SELECT * FROM t_shared_catalogs WHERE status = 'active' ORDER BY created_at DESC, share_id DESC LIMIT 25) c WHERE {_VALID}",
+    f"t_shared_catalogs c WHERE {_VALID}",
     "created_at DESC, share_id DESC", 1,
 )
 _add(
@@ -641,7 +666,7 @@ _add(
     + " UNION ALL ".join(
         [
             _series("top_products", "product_name", "quantity", "pq", "quantity DESC, product_name", 5),
-            _series("monthly_sales", "month", "quantity", "mq", "month", 6),
+            _series("monthly_sales", "month", "quantity", "mq"),
             _series("low_stock", "product_name", "quantity", "t_inventory_data WHERE quantity < 10", "quantity, id", 5),
             _series("category_distribution", "category", _SHARE, "cq", "quantity DESC, category", 5),
         ]
@@ -697,7 +722,7 @@ _top("manager_fast_movers", _MANAGER, ALL_FACTS, FACT_COLS, "facts WHERE sold >
 _add("manager_insights", _MANAGER, f", {ALL_FACTS}, {CATV} {_NUMBERED.format(_BUSINESS)}")
 _add(
     "report_view_charts", [INV],
-    f""", {ROWS}, shown AS (SELECT * FROM inv WHERE report_id = '{REPORT}' ORDER BY seen LIMIT 8),
+    f""", {ROWS}, shown AS (SELECT * FROM inv WHERE report_id = '{REPORT}'),
     units AS (SELECT category, sum(quantity) AS units FROM shown GROUP BY 1),
     trend AS (SELECT coalesce(strftime(entry_date, '%Y-%m-%d'), '-') AS day, sum(quantity) AS units FROM shown GROUP BY 1) """
     + _series("category", "category", "units", "units") + " UNION ALL " + _series("trend", "day", "units", "trend"),
@@ -763,13 +788,14 @@ _add("merge_cart", [INV, REP], f", {_MERGE} SELECT request_id, user_id, inventor
 _SQL["merge_cart"] = _recursive(_SQL["merge_cart"])
 _add(
     "merge_cart_lines", [INV, REP],
-    f""", {_MERGE}, added AS (SELECT user_id, inventory_id, share_token, report_id, product_name, category, unit_price, CAST(sum(quantity) AS INT) AS n
-       FROM verdicts WHERE verdict = 'added' GROUP BY ALL)
+    f""", {_MERGE}, added AS (SELECT user_id, inventory_id, share_token, report_id, product_name, category, unit_price, CAST(sum(quantity) AS INT) AS n,
+         min(requested_at) AS added_at FROM verdicts WHERE verdict = 'added' GROUP BY ALL)
     SELECT c.user_id, c.share_token, c.inventory_id, c.report_id, c.product_name, c.category, {money('c.unit_price')} AS unit_price,
-      CAST(c.quantity + coalesce(a.n, 0) AS INT) AS quantity
+      CAST(c.quantity + coalesce(a.n, 0) AS INT) AS quantity, c.cart_item_id, c.created_at
     FROM carts c LEFT JOIN added a ON a.user_id = c.user_id AND a.inventory_id = c.inventory_id AND a.share_token = c.share_token
     UNION ALL
-    SELECT a.user_id, a.share_token, a.inventory_id, a.report_id, a.product_name, a.category, {money('a.unit_price')}, a.n FROM added a
+    SELECT a.user_id, a.share_token, a.inventory_id, a.report_id, a.product_name, a.category, {money('a.unit_price')}, a.n,
+      {key_id('a.user_id', 'a.inventory_id', 'a.share_token', 'a.added_at')}, a.added_at FROM added a
     WHERE NOT EXISTS (SELECT 1 FROM carts c WHERE c.user_id = a.user_id AND c.inventory_id = a.inventory_id AND c.share_token = a.share_token)""",
 )
 _SQL["merge_cart_lines"] = _recursive(_SQL["merge_cart_lines"])
@@ -808,6 +834,31 @@ _add(
     FROM queue q JOIN served s ON s.report_id = q.report_id AND s.nth = q.nth""",
 )
 _SQL["checkout"] = _recursive(_SQL["checkout"])
+_REF = """md5('{"report_id":"' || q.report_id || '","user_id":' || q.user_id || ',"share_token":"' || q.share_token || '"}')"""
+_TAKEN = f"""taken AS (SELECT q.report_id, q.user_id, q.share_token, q.created_at, q.total_amount, {key_id(_REF, 'q.created_at')} AS order_id
+    FROM queue q JOIN served s ON s.report_id = q.report_id AND s.nth = q.nth WHERE s.accepted)"""
+_OF_CART = "k.report_id = c.report_id AND k.user_id = c.user_id AND k.share_token = c.share_token"
+_add(
+    "checkout_orders", [CART, INV, USERS],
+    f""", {_CHECKOUT}, {_TAKEN} SELECT k.order_id, k.user_id, u.username, 'Confirmed' AS status, k.share_token, k.report_id,
+      {money('k.total_amount')} AS total_amount, k.created_at FROM taken k LEFT JOIN t_app_users u ON u.user_id = k.user_id""",
+)
+_add(
+    "checkout_order_items", [CART, INV],
+    f""", {_CHECKOUT}, {_TAKEN} SELECT {key_id('k.order_id', 'c.cart_item_id')} AS order_item_id, k.order_id, c.inventory_id, c.product_name, c.category,
+      {money('c.unit_price')} AS unit_price, c.quantity, {money('c.unit_price * c.quantity')} AS line_total FROM t_cart_items c JOIN taken k ON {_OF_CART}""",
+)
+_add(
+    "checkout_cart", [CART, INV],
+    f", {_CHECKOUT}, {_TAKEN} SELECT {_CART_COLS} FROM t_cart_items c WHERE NOT EXISTS (SELECT 1 FROM taken k WHERE {_OF_CART})",
+)
+for _name in ("checkout_orders", "checkout_order_items", "checkout_cart"):
+    _SQL[_name] = _recursive(_SQL[_name])
+_add(
+    "apply_repaired_pointers", [CAT, REP, INV],
+    f""", {_RESOLVED} SELECT share_id, title, token, CASE WHEN is_repaired THEN resolved_report_id ELSE source_report_id END AS source_report_id,
+    qr_filename, status, expires_at, created_at FROM resolved""",
+)
 _add(
     "checkout_inventory", [CART, INV],
     f""", {_CHECKOUT}, ends AS (SELECT report_id, count(*) AS nth FROM carts GROUP BY 1),
@@ -837,7 +888,7 @@ _add(
 _add("normalize_stored_tokens", [], f"SELECT page_id, coalesce({token('url')}, url) AS token FROM pages")
 _add(
     "upsert_shared_catalogs", [CAT, REP],
-    """SELECT c.share_id, coalesce(r.title, c.title) AS title, coalesce(r.token, c.token) AS token, coalesce(r.report_id, c.source_report_id) AS source_report_id,
+    f"""SELECT coalesce(c.share_id, {key_id('r.token')}) AS share_id, coalesce(r.title, c.title) AS title, coalesce(r.token, c.token) AS token, coalesce(r.report_id, c.source_report_id) AS source_report_id,
       c.qr_filename, CASE WHEN r.token IS NULL THEN c.status ELSE 'active' END AS status,
       CASE WHEN r.token IS NULL THEN c.expires_at END AS expires_at, coalesce(c.created_at, r.created_at) AS created_at
     FROM t_shared_catalogs c FULL JOIN t_uploaded_reports r ON r.token = c.token""",
@@ -858,16 +909,16 @@ _add(
 )
 _add(
     "review_codes", [REQ, CODES],
-    f""", {_DECIDED} SELECT c.request_id, c.code, c.email, c.expires_at,
+    f""", {_DECIDED} SELECT c.id, c.request_id, c.code, c.email, c.expires_at,
       CASE WHEN c.status = 'active' AND c.used_at IS NULL AND f.request_id IS NOT NULL THEN 'inactive' ELSE c.status END AS status, c.used_at, c.created_at
     FROM t_admin_access_codes c LEFT JOIN final f ON f.request_id = c.request_id
     UNION ALL
-    SELECT d.request_id, d.code, d.email, d.code_expires_at, CASE WHEN f.decision_id = d.decision_id THEN 'active' ELSE 'inactive' END, NULL, d.decided_at
+    SELECT {key_id('d.decision_id', 'd.request_id')}, d.request_id, d.code, d.email, d.code_expires_at, CASE WHEN f.decision_id = d.decision_id THEN 'active' ELSE 'inactive' END, NULL, d.decided_at
     FROM counted d JOIN final f ON f.request_id = d.request_id WHERE d.decision = 'approve'""",
 )
 _add(
     "review_notifications", [REQ],
-    f""", {_DECIDED} SELECT request_id, email, username, CASE decision WHEN 'reject' THEN 'Your admin request was not approved.'
+    f""", {_DECIDED} SELECT {key_id('decision_id', 'request_id')} AS id, request_id, email, username, CASE decision WHEN 'reject' THEN 'Your admin request was not approved.'
       ELSE 'Your admin request has been approved. You may continue. Admin access code: ' || code END AS message, decided_at AS created_at FROM counted""",
 )
 _add(
@@ -886,7 +937,7 @@ _add(
     """SELECT * FROM t_activity_logs UNION ALL SELECT NULL, user_id, 'Checkout completed', NULL, created_at FROM t_orders""",
 )
 _add(
-    "reset_tables", [USERS],
-    """SELECT 'inventory_data' AS table_name, CAST(0 AS BIGINT) AS row_count UNION ALL SELECT 'orders', 0
-    UNION ALL SELECT 'app_users', count(*) FROM t_app_users""",
+    "reset_tables", [USERS, INV, ORD],
+    """SELECT 'inventory_data' AS table_name, CAST(0 AS BIGINT) AS row_count, (SELECT count(*) FROM t_inventory_data) AS removed_rows
+    UNION ALL SELECT 'orders', 0, (SELECT count(*) FROM t_orders) UNION ALL SELECT 'app_users', count(*), NULL FROM t_app_users""",
 )

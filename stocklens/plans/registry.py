@@ -3,15 +3,16 @@
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from stocklens.functions import columns as C
 from stocklens.operators import changes, ingest, joins, rollups, scope, topk
 from stocklens.plans import analytics, derived, insights
 from stocklens.schemas import COLUMN_DEFAULTS, TABLES
+from stocklens.session import WorkTables
 from stocklens.sources.adapters import Tables
-from stocklens.sources.tables import conform_schema
-from stocklens.sources.workbooks import cells_of
+from stocklens.sources.tables import append_inventory as append_stored, conform_schema, load_tables as load_stored, read_inventory
+from stocklens.sources.workbooks import cells_of, is_workbook
 
 AS_OF = "2024-06-01 00:00:00"
 TODAY = "2024-06-01"
@@ -161,7 +162,7 @@ def preview_rows(t):
 @query
 def register_reports(t):
     files = _cells(t).select("path").distinct().withColumn("modificationTime", C.timestamp(AS_OF))
-    return ingest.register_reports(files, user_id=1).drop("report_id", "token")
+    return ingest.register_reports(files, user_id=1)
 
 
 @query
@@ -185,16 +186,42 @@ def import_counts(t):
 
 @query
 def load_tables(t):
+    """Tables written as they are, with columns missing, and read with their declared types."""
     names = ["inventory_data", "products", "orders", "uploaded_reports", "app_users", "admin_requests"]
+    work = WorkTables(t.spark, "tables")
+    for name in names:
+        work.keep(getattr(t, name).drop("status", "reorder_level"), name)
+    loaded = load_stored(t.spark, work.root, names)
     counts = [
-        conform_schema(getattr(t, name), TABLES[name], COLUMN_DEFAULTS.get(name)).agg(
-            F.lit(name).alias("table_name"), F.count("*").alias("row_count")
+        table.agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("row_count"),
+            F.count_if(F.col("status") == COLUMN_DEFAULTS[name]["status"]).alias("defaults") if "status" in COLUMN_DEFAULTS.get(name, {})
+            else F.count_if(F.col("reorder_level") == 10).alias("defaults") if "reorder_level" in table.columns
+            else F.lit(0).cast("bigint").alias("defaults"),
         )
-        for name in names
+        for name, table in loaded.items()
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def append_inventory(t):
+    """The inventory written in two uploads into the bucketed sink, and one report of it read back."""
+    path = f"{WorkTables(t.spark, 'inventory').root}/inventory"
+    for part in (0, 1):
+        append_stored(t.inventory_data.filter(F.col("id") % 2 == part), path, user_id=5)
+    return read_inventory(t.spark, path, REPORT)
+
+
+@query
+def only_xlsx(t):
+    """Which stored names the workbook reader would open."""
+    paths = t.source("pages").select("page_id", F.concat(C.normalize_token(F.col("url")), F.element_at(
+        F.array(*map(F.lit, [".xlsx", ".XLSX", ".xls", ".csv", ""])), (F.col("page_id") % 5 + 1).cast("int"))).alias("path"))
+    return paths.withColumn("is_workbook", is_workbook(F.col("path"))).select("page_id", "is_workbook")
+
+
 @query
 def conform_products(t):
     return conform_schema(t.products, TABLES["products"], COLUMN_DEFAULTS["products"])
@@ -230,7 +257,7 @@ def search_products(t):
 @query
 def filter_catalog(t):
     return scope.filter_catalog(
-        scope.report_inventory(t.inventory_data), search="Widget", stock_level="low", branch="NATION_4"
+        scope.report_inventory(t.inventory_data), search="r", category="PROMO", stock_level="low", branch="NATION_2"
     )
 
 
@@ -370,11 +397,8 @@ def merge_stock_and_sales(t):
 
 @query
 def order_views(t):
-    views = joins.order_views(t.orders, t.order_items, items_per_row=3)
-    return views.select(
-        "order_id", "status", "total_amount", "created_at",
-        F.inline_outer("items"),
-    ).drop("part")
+    views = joins.order_views(t.orders, t.order_items)
+    return views.select("order_id", "status", "total_amount", "created_at", "position", "item.*")
 
 
 @query
@@ -581,7 +605,15 @@ def dashboard_low_stock(t):
 
 @query
 def sort_catalog(t):
-    return topk.sort_catalog(scope.report_inventory(t.inventory_data), "price")
+    """The first rows of every ordering, with their positions."""
+    rows = scope.report_inventory(t.inventory_data)
+    modes = [
+        topk.sort_catalog(rows, mode, t.order_items).limit(200).select(F.lit(mode).alias("mode"), F.monotonically_increasing_id().alias("at"), "id")
+        for mode in ("newest", "price", "stock", "popularity")
+    ]
+    both = reduce(DataFrame.unionByName, modes)
+    nth = F.row_number().over(Window.partitionBy("mode").orderBy("at"))
+    return both.withColumn("position", nth).drop("at")
 
 
 @query
@@ -833,8 +865,7 @@ def merge_cart(t):
 @query
 def merge_cart_lines(t):
     adds = t.sql(derived.CART_ADDS)
-    cart = changes.merge_cart(t.sql(derived.OPEN_CARTS), adds, t.inventory_data, _valid_sources(t))[0]
-    return cart.drop("cart_item_id", "created_at")
+    return changes.merge_cart(t.sql(derived.OPEN_CARTS), adds, t.inventory_data, _valid_sources(t))[0]
 
 
 @query
@@ -852,6 +883,31 @@ def checkout_inventory(t):
     return changes.checkout(t.cart_items, t.inventory_data)["inventory"].select("id", "report_id", "quantity")
 
 
+def _checkout(t):
+    return changes.checkout(t.cart_items, t.inventory_data, t.app_users)
+
+
+@query
+def checkout_orders(t):
+    return _checkout(t)["orders"]
+
+
+@query
+def checkout_order_items(t):
+    return _checkout(t)["order_items"]
+
+
+@query
+def checkout_cart(t):
+    return _checkout(t)["cart"]
+
+
+@query
+def apply_repaired_pointers(t):
+    resolved = joins.resolve_catalog_report(t.shared_catalogs, t.uploaded_reports, t.inventory_data)
+    return changes.apply_repaired_pointers(t.shared_catalogs, resolved)
+
+
 @query
 def apply_order_status(t):
     return changes.apply_order_status(t.orders, t.sql(derived.STATUS_CHANGES))
@@ -888,7 +944,7 @@ def review_requests(t):
 
 @query
 def review_codes(t):
-    return _review(t)["codes"].drop("id")
+    return _review(t)["codes"]
 
 
 @query
@@ -918,8 +974,8 @@ def append_activity(t):
 
 @query
 def reset_tables(t):
-    emptied = changes.reset_tables({name: getattr(t, name) for name in ("inventory_data", "orders", "app_users")})
+    emptied, removed = changes.reset_tables({name: getattr(t, name) for name in ("inventory_data", "orders", "app_users")})
     counts = [
         table.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, table in emptied.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, counts).join(removed, "table_name", "left")

@@ -6,8 +6,6 @@ from pyspark.sql import types as T
 # They decide results, so they are spelled out as they are.
 # ---------------------------------------------------------------------------
 
-CATEGORIES = ["Kurtis", "Sarees", "Leggings", "Tops", "Dupattas", "Accessories"]
-
 REQUIRED_FIELDS = ["product_name", "price", "quantity"]
 MAPPING_FIELDS = ["product_name", "category", "price", "quantity", "date"]
 
@@ -94,7 +92,6 @@ DEFAULT_REORDER_LEVEL = 10
 DASHBOARD_LOW_STOCK = 10
 MIN_ROWS_FOR_INSIGHTS = 3
 COST_RATE = "0.7"
-MAX_WORKBOOK_BYTES = 10 * 1024 * 1024
 
 # Sentences and labels.
 TEXTS = {
@@ -120,6 +117,9 @@ TEXTS = {
     "no_category": "Category column not found. Some items were grouped as Uncategorized.",
     "file_too_large": "The file is above the size limit.",
     "template_columns": "The file must include name, category, price, and quantity.",
+    "upload_log": "Inventory uploaded",
+    "checkout_log": "Checkout completed",
+    "review_log": "Admin request %s",
     "not_a_number": "%s must be a valid number.",
     "not_whole": "%s must be a valid whole number.",
     "negative": "%s cannot be negative.",

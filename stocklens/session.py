@@ -1,6 +1,7 @@
-"""Session defaults and reliable checkpoints."""
+"""Session defaults, reliable checkpoints and work tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,43 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None, **con
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which every executor can read; a folder of
-    this machine is used only where none is set, as in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of this machine where local tests set none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
+    if shared is None and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stocklens-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (shared or "file://" + tempfile.mkdtemp(prefix="stocklens-")).rstrip("/")
+
+
+class WorkTables:
+    """Tables of one run in the shared folder: written, read back, and removed when no longer needed.
+
+    They cut the lineage as checkpoints do, and outlive lost executors, but old ones go while the run goes on.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def remove(self, name: str) -> None:
+        remove_folder(self.spark, f"{self.root}/{name}")
+
+
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own tables."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)

@@ -20,8 +20,11 @@ def conform_schema(df: DataFrame, schema: T.StructType, defaults: dict | None =
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One stored table with its declared types; columns added later are null or default in old files."""
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
+    """One stored table with its declared types; columns added later are null or default in old files.
+
+    The declared schema is enough to read files of any age, so no footer is read for its schema.
+    """
+    stored = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
     return conform_schema(stored, TABLES[name], COLUMN_DEFAULTS.get(name))
 
 

@@ -13,9 +13,9 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stocklens.schemas import EMPTY_CELL_TEXTS, MAX_WORKBOOK_BYTES, TEXTS
+from stocklens.schemas import EMPTY_CELL_TEXTS, TEXTS
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
 CELL_SCHEMA = "path string, row_idx int, col_idx int, value string, error string"
@@ -27,6 +27,11 @@ _RELS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
+def is_workbook(path: Column) -> Column:
+    """Whether a path has the ending the reader takes."""
+    return F.lower(path).endswith(".xlsx")
+
+
 def workbook_files(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """Spreadsheet files under ``folder``: path, length, modification time and, on request, bytes."""
     columns = ["path", "length", "modificationTime"] + (["content"] if with_content else [])
@@ -39,13 +44,15 @@ def workbook_files(spark: SparkSession, folder: str, with_content: bool = False)
     )
 
 
-def read_workbooks(spark: SparkSession, folder: str, max_bytes: int = MAX_WORKBOOK_BYTES) -> DataFrame:
+def read_workbooks(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """Non-empty cells of the first sheet of every workbook.
 
-    A file that cannot be read, or is above the size limit, gives one row with ``error`` set. The size filter reaches
-    the binary source, which then never loads the content of such files.
+    A file that cannot be read gives one row with ``error`` set, and so does one above ``max_bytes``, if given. The size
+    filter reaches the binary source, which then never loads the content of such files.
     """
     files = workbook_files(spark, folder, with_content=True)
+    if max_bytes is None:
+        return cells_of(files)
     too_large = workbook_files(spark, folder).filter(F.col("length") > max_bytes)
     return cells_of(files.filter(F.col("length") <= max_bytes)).unionByName(
         too_large.select("path", F.lit(TEXTS["file_too_large"]).alias("error")), allowMissingColumns=True
@@ -117,8 +124,14 @@ def _text_of(node: ElementTree.Element) -> str:
 
 
 def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
-    root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-    return [_text_of(item) for item in root.findall(f"{_MAIN}si")]
+    """Shared texts, read item by item: only the texts are kept, never the tree of the whole part."""
+    found = []
+    with archive.open("xl/sharedStrings.xml") as stream:
+        for _, node in ElementTree.iterparse(stream):
+            if node.tag == f"{_MAIN}si":
+                found.append(_text_of(node))
+                node.clear()
+    return found
 
 
 def _date_styles(archive: zipfile.ZipFile) -> set[int]:

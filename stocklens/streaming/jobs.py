@@ -4,45 +4,72 @@ Writes of a micro-batch go to a folder of that batch and replace it, so a batch
 the same files. Queries are started by the caller's options (trigger, checkpoint folder) and returned running.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions import columns as C
 from stocklens.operators import changes, ingest
-from stocklens.schemas import MAX_WORKBOOK_BYTES, TEXTS
-from stocklens.sources.tables import append_inventory, report_bucket
+from stocklens.schemas import TABLES, TEXTS
+from stocklens.session import folder_exists, remove_folder
+from stocklens.sources.tables import append_inventory, conform_schema, report_bucket
 from stocklens.sources.workbooks import CELL_SCHEMA, WORKBOOK_GLOB, cells_of
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-REPORT_NUMBERS_PER_BATCH = 2**24
 
 
 def _write(df: DataFrame, sink: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{sink}/{table}/batch_id={batch_id}")
 
 
-def ingest_files(files: DataFrame, sink: str, today: str, user_id: int | None = None, batch_id: int = 0) -> None:
+def batch_number(files: DataFrame) -> int:
+    """A number of the list of files: a digest over path and time that does not depend on their order."""
+    of_file = C.key_id(F.col("path"), F.col("modificationTime"))
+    row = files.agg(F.bit_xor(of_file).alias("digest"), F.count("*").alias("n")).first()
+    return (row["digest"] or 0) ^ row["n"]
+
+
+def ingest_files(
+    files: DataFrame, sink: str, today: str, user_id: int | None = None, batch_id: int | None = None,
+    max_bytes: int | None = None, overrides: DataFrame | None = None,
+) -> None:
     """Ingest workbooks given as (path, modificationTime, length, content) into the tables under ``sink``.
 
-    The cells are written once to a staging table and read back: three steps read them, and unpacking the workbooks
-    again for each, or after a lost executor, would cost more. Tables: ``inventory``, ``uploaded_reports``,
-    ``rejected_rows`` and ``ingest_log``.
+    Every call has its own ``batch_id``; without one it is :func:`batch_number` of the files, so the same upload replaces
+    itself and another upload never does. ``overrides`` (path, field, header) map columns by hand. Tables:
+    ``inventory``, ``uploaded_reports``, ``products_seen``, ``activity_logs``, ``rejected_rows`` and ``ingest_log``.
+
+    Cells, and then typed rows, are written to staging tables that several steps read, because unpacking the workbooks
+    or mapping their columns again would cost more; staging goes when the batch is done.
     """
     spark = files.sparkSession
-    fits = F.col("length") <= MAX_WORKBOOK_BYTES
-    _write(files.select("path", "modificationTime", fits.alias("fits")), sink, "staging/files", batch_id)
-    _write(cells_of(files.filter(fits)), sink, "staging/cells", batch_id)
-    listed = spark.read.parquet(f"{sink}/staging/files/batch_id={batch_id}")
-    staged = spark.read.schema(CELL_SCHEMA).parquet(f"{sink}/staging/cells/batch_id={batch_id}")
+    if batch_id is None:
+        batch_id = batch_number(files.select("path", "modificationTime"))
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    staging = f"{sink}/staging/batch_id={batch_id}"
+    files.select("path", "modificationTime", fits.alias("fits")).write.mode("overwrite").parquet(f"{staging}/files")
+    cells_of(files.filter(fits)).write.mode("overwrite").parquet(f"{staging}/cells")
+    listed = spark.read.parquet(f"{staging}/files")
+    staged = spark.read.schema(CELL_SCHEMA).parquet(f"{staging}/cells")
 
     cells = staged.filter(F.col("error").isNull()).drop("error")
     header_rows = ingest.detect_header_row(cells)
     named = ingest.headers(cells, header_rows)
     mapping = ingest.auto_map_columns(ingest.header_context(named))
+    if overrides is not None:
+        mapping = ingest.apply_manual_mapping(mapping, named, overrides)
+    columns = {"headers": header_rows, "named": named, "mapping": mapping}
+    for name, table in columns.items():  # a few rows per file
+        table.write.mode("overwrite").parquet(f"{staging}/{name}")
+    header_rows, named, mapping = (spark.read.schema(t.schema).parquet(f"{staging}/{n}") for n, t in columns.items())
     status = ingest.mapping_status(header_rows, mapping)
     complete = status.filter(F.col("status") == "success").select("path")
-    records = ingest.cells_to_records(cells, header_rows, mapping, named)
-    typed = ingest.type_rows(records.join(complete, "path", "left_semi"), today)
+    records = ingest.cells_to_records(cells, header_rows, mapping.join(complete, "path", "left_semi"), named.join(complete, "path", "left_semi"))
+    rows = ingest.type_rows(records, today)
+    rows.write.mode("overwrite").partitionBy("is_valid").parquet(f"{staging}/typed")
+    typed = spark.read.schema(rows.schema).parquet(f"{staging}/typed")
+
     log = ingest.ingest_report(header_rows, named, mapping, typed, status)
     failed = (
         staged.filter(F.col("error").isNotNull())
@@ -54,25 +81,65 @@ def ingest_files(files: DataFrame, sink: str, today: str, user_id: int | None =
         .join(log, "path", "left")
         .join(failed, "path", "left")
         .withColumn("status", F.when(F.coalesce("valid_rows", F.lit(0)) > 0, "success").otherwise(
-            F.when(F.col("status") == "mapping_required", "mapping_required").otherwise("error")
+            F.when(F.col("status").isin("mapping_required", "header_not_found"), F.col("status")).otherwise("error")
         ))
     )
     _write(log, sink, "ingest_log", batch_id)
     _write(ingest.split_rows(typed)[1], sink, "rejected_rows", batch_id)
 
     done = spark.read.parquet(f"{sink}/ingest_log/batch_id={batch_id}").filter(F.col("status") == "success")
-    reports = ingest.register_reports(
-        listed.join(done.select("path"), "path", "left_semi"), user_id, first_number=batch_id * REPORT_NUMBERS_PER_BATCH
-    )
+    reports = ingest.register_reports(listed.join(done.select("path"), "path", "left_semi"), user_id)
     _write(reports, sink, "uploaded_reports", batch_id)
-    append_inventory(
-        ingest.inventory_of(typed, reports, user_id), f"{sink}/inventory/batch_id={batch_id}", mode="overwrite"
+    inventory = ingest.inventory_of(typed, reports, user_id)
+    target = f"{sink}/inventory/batch_id={batch_id}"
+    append_inventory(inventory, target, mode="overwrite")
+    stored = spark.read.schema(TABLES["inventory_data"]).parquet(target)
+    if not ingest.repeated_ids(stored).isEmpty():
+        remove_folder(spark, target)
+        raise ValueError(f"batch {batch_id}: two rows of a report share an id")
+    _write(products_of(stored), sink, "products_seen", batch_id)
+    logged = changes.activity_rows(
+        reports.select(F.lit(None).cast("string").alias("actor_username"), F.col("source_file_name").alias("detail"), "created_at"), TEXTS["upload_log"]
     )
+    _write(logged, sink, "activity_logs", batch_id)
+    remove_folder(spark, staging)
+
+
+def products_of(inventory: DataFrame) -> DataFrame:
+    """One row per product of an upload, the last one in the report's order winning: input of the product master."""
+    details = ["price", "quantity", "reorder_level", "supplier_name", "branch_name", "image_url"]
+    return (
+        inventory.groupBy(F.col("product_name").alias("name"), "category")
+        .agg(F.max_by(F.struct(*details, F.col("created_at").alias("loaded_at")), F.struct("created_at", "id")).alias("d"))
+        .select("name", "category", "d.*")
+    )
+
+
+def product_master(spark: SparkSession, sink: str, products: DataFrame) -> DataFrame:
+    """``products`` after all uploads of the sink."""
+    return ingest.merge_product_master(products, spark.read.parquet(f"{sink}/products_seen").drop("batch_id"))
+
+
+def compact_inventory(spark: SparkSession, sink: str, batches: list[int], into: int) -> None:
+    """Merge the inventory folders of finished ``batches`` into one folder ``batch_id=into``, which is none of them.
+
+    Small batches leave small files. To be run while nobody reads these batches; a failure before the last step leaves
+    the old folders in place, and running again replaces the new one.
+    """
+    if into in batches:
+        raise ValueError("choose a number of its own for the merged batch")
+    folders = [f"{sink}/inventory/batch_id={b}" for b in batches]
+    merged = spark.read.option("basePath", f"{sink}/inventory").parquet(*folders).drop("batch_id", "report_bucket")
+    append_inventory(merged, f"{sink}/compacting/batch_id={into}", mode="overwrite")
+    rows = spark.read.parquet(f"{sink}/compacting/batch_id={into}").drop("report_bucket")
+    append_inventory(conform_schema(rows, TABLES["inventory_data"]), f"{sink}/inventory/batch_id={into}", mode="overwrite")
+    for folder in [*folders, f"{sink}/compacting"]:
+        remove_folder(spark, folder)
 
 
 def stream_ingest(
     spark: SparkSession, folder: str, sink: str, checkpoint: str, today: str, user_id: int | None = None,
-    files_per_trigger: int = 1000, **trigger,
+    files_per_trigger: int = 1000, max_bytes: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Ingest workbooks as they arrive in ``folder``."""
     files = (
@@ -85,54 +152,80 @@ def stream_ingest(
     )
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_files(batch, sink, today, user_id, batch_id)
+        ingest_files(batch, sink, today, user_id, batch_id, max_bytes)
 
     return files.writeStream.foreachBatch(ingest_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def sales_trend_stream(sales: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Units per day over a stream of (product_name, quantity, sale_date); later rows than ``lateness`` are left out.
+def stream_sales_trend(sales: DataFrame, sink: str, checkpoint: str, fold_every: int = 100, **trigger) -> StreamingQuery:
+    """Units per day over a stream of (product_name, quantity, sale_date), however late a sale comes.
 
-    Run it in update mode: each trigger gives the days whose total changed. Partial totals are formed before the
-    shuffle, and the state holds one number per open day.
+    Each micro-batch adds its units per day to ``sink``, which :func:`sales_trend_of` sums up; every ``fold_every``
+    batches the sums are folded into one, so a reader opens a bounded number of small files.
     """
-    named = sales.filter(C.strip(F.coalesce("product_name", F.lit(""))) != "")
-    return (
-        named.withWatermark("sale_date", lateness)
-        .groupBy(F.window("sale_date", "1 day").alias("w"))
-        .agg(F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"))
-        .select(C.day_key(F.col("w.start")).alias("day"), "units")
-    )
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        named = batch.filter(C.strip(F.coalesce("product_name", F.lit(""))) != "")
+        units = F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units")
+        _write(named.groupBy(C.day_key(F.col("sale_date")).alias("day")).agg(units), sink, "trend", batch_id)
+        if batch_id and batch_id % fold_every == 0:
+            _write(_summed(batch.sparkSession, sink, batch_id - fold_every, batch_id), sink, "trend_sums", batch_id)
+            _write(batch.sparkSession.createDataFrame([(batch_id,)], "upto bigint"), sink, "trend_folded", 0)
+
+    return sales.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+_TREND = "day string, units bigint"
+
+
+def _summed(spark: SparkSession, sink: str, folded: int, end: int) -> DataFrame:
+    """Units per day of the batches up to, not including, ``end``, given the sums up to ``folded``."""
+    parts = [f"{sink}/trend/batch_id={b}" for b in range(folded, end)] + ([f"{sink}/trend_sums/batch_id={folded}"] if folded else [])
+    return spark.read.schema(_TREND).parquet(*parts).groupBy("day").agg(F.sum("units").alias("units"))
+
+
+def sales_trend_of(spark: SparkSession, sink: str, batches: int) -> DataFrame:
+    """Units per day after so many batches of :func:`stream_sales_trend`."""
+    if not batches:
+        return spark.createDataFrame([], _TREND)
+    mark = f"{sink}/trend_folded/batch_id=0"
+    folded = spark.read.parquet(mark).first()["upto"] if folder_exists(spark, mark) else 0
+    return _summed(spark, sink, folded if folded <= batches else 0, batches)
 
 
-_SOLD_SCHEMA = "report_id string, id long, sold long, batch_id long"
+_SOLD_SCHEMA = "report_id string, id long, sold long"
 
 
-def _prepare_checkout(spark: SparkSession, sink: str) -> None:
-    empty = spark.createDataFrame([], "report_id string, id long, sold long")
-    for table in ("sold", "sold_snapshot"):
-        empty.write.mode("ignore").parquet(f"{sink}/{table}/batch_id=-1")
+def sold_folders(sink: str, first: int, end: int) -> list[str]:
+    """Folders that hold the units sold up to, not including, batch ``end``, given the sums up to ``first``."""
+    snapshot = [f"{sink}/sold_snapshot/batch_id={first}"] if first > 0 else []
+    return snapshot + [f"{sink}/sold/batch_id={batch}" for batch in range(first, end)]
 
 
 def _sold_between(spark: SparkSession, sink: str, first: int, end: int) -> DataFrame:
-    """Units sold by the batches from ``first`` up to, not including, ``end``; both bounds prune folders."""
-    snapshot = spark.read.schema(_SOLD_SCHEMA).parquet(f"{sink}/sold_snapshot").filter(F.col("batch_id") == first)
-    recent = spark.read.schema(_SOLD_SCHEMA).parquet(f"{sink}/sold").filter(F.col("batch_id").between(first, end - 1))
-    return snapshot.unionByName(recent).groupBy("report_id", "id").agg(F.sum("sold").alias("sold"))
+    folders = sold_folders(sink, first, end)
+    if not folders:
+        return spark.createDataFrame([], _SOLD_SCHEMA)
+    return spark.read.schema(_SOLD_SCHEMA).parquet(*folders).groupBy("report_id", "id").agg(F.sum("sold").alias("sold"))
 
 
 def checkout_batch(
-    requests: DataFrame, inventory: DataFrame, sink: str, batch_id: int, snapshot_every: int = 100
+    requests: DataFrame, inventory: DataFrame | Callable[[], DataFrame], sink: str, batch_id: int, snapshot_every: int = 100
 ) -> None:
     """Check out the carts of one micro-batch against the stock left by the batches before it.
 
-    The stock is the opening inventory less the units sold so far. Each batch adds only what it sold; every
-    ``snapshot_every`` batches the sums are folded into a snapshot, so a batch reads a bounded number of small files.
+    The stock is the inventory less the units sold so far. Each batch adds only what it sold; every ``snapshot_every``
+    batches the sums are folded into a snapshot, so a batch opens a bounded number of folders, by name. Folders folded two
+    snapshots ago are removed. An ``inventory`` that is a function is asked again for every batch.
     """
     spark = requests.sparkSession
+    inventory = inventory if isinstance(inventory, DataFrame) else inventory()
     base = batch_id // snapshot_every * snapshot_every
     if batch_id == base and base > 0:
         _write(_sold_between(spark, sink, base - snapshot_every, base), sink, "sold_snapshot", base)
+        done = base - 2 * snapshot_every
+        for folder in sold_folders(sink, max(0, done - snapshot_every), max(0, done)):
+            remove_folder(spark, folder)
     keys = requests.select("report_id", F.col("inventory_id").alias("id")).distinct()
     by = ["report_id", "id"]
     if "report_bucket" in inventory.columns:  # lets the batch prune the folders of the stored inventory
@@ -147,19 +240,19 @@ def checkout_batch(
     _write(result["verdicts"], sink, "verdicts", batch_id)
     _write(result["orders"], sink, "orders", batch_id)
     _write(result["order_items"], sink, "order_items", batch_id)
+    _write(result["activity"], sink, "activity_logs", batch_id)
     sold = result["sold"].select("report_id", "id", F.col("sold").cast("bigint").alias("sold"))
     _write(sold, sink, "sold", batch_id)
 
 
 def stream_checkout(
-    requests: DataFrame, inventory: DataFrame, sink: str, checkpoint: str, snapshot_every: int = 100, **trigger
+    requests: DataFrame, inventory: DataFrame | Callable[[], DataFrame], sink: str, checkpoint: str, snapshot_every: int = 100, **trigger
 ) -> StreamingQuery:
     """Check out a stream of cart lines; all lines of a cart must come in one micro-batch.
 
     A keyed state per report would run a busy report in one task. The batch operator spreads it, so the stream calls
     that one and keeps the stock in tables.
     """
-    _prepare_checkout(requests.sparkSession, sink)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         checkout_batch(batch, inventory, sink, batch_id, snapshot_every)

@@ -56,16 +56,16 @@ def test_listing_multiplies_rows_of_shared_pictures(spark):
     assert counts(fanout_safe=True) == {("R1", "p"): 3, ("R1", "q"): 3, ("R1", None): 3, ("R2", None): 0}
 
 
-def test_order_items_are_split_but_whole(spark):
+def test_orders_of_any_size_have_one_shape(spark):
     orders = spark.createDataFrame([(1, T0), (2, T0), (3, T0)], "order_id long, created_at timestamp")
     items = spark.createDataFrame(
         [(n, 1 if n < 250 else 2, n, "p", "c", 1.0, 1, 1.0) for n in range(252)],
         "order_item_id long, order_id long, inventory_id long, product_name string, category string, unit_price double, quantity int, line_total double",
     )
-    rows = joins.order_views(orders, items, items_per_row=50).collect()
-    assert sorted(i.order_item_id for r in rows if r.order_id == 1 for i in r["items"]) == list(range(250))
-    assert len([r for r in rows if r.order_id == 1]) == 5 and max(len(r["items"]) for r in rows) < 120
-    assert [len(r["items"]) for r in rows if r.order_id == 3] == [0]
+    rows = joins.order_views(orders, items).collect()
+    assert [(r.position, r["item"].order_item_id) for r in sorted(rows, key=lambda r: r.position or 0) if r.order_id == 1] == [(n + 1, n) for n in range(250)]
+    assert [(r.position, r["item"].order_item_id) for r in rows if r.order_id == 2] == [(1, 250), (2, 251)] or len(rows) == 253
+    assert [(r.position, r["item"]) for r in rows if r.order_id == 3] == [(None, None)]
     assert {r.order_id for r in joins.order_views(orders, items, limit=2).collect()} == {3, 2}
 
 

@@ -4,8 +4,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.operators import changes
+from stocklens import session
+from stocklens.operators import allocation, changes, joins, scope, topk
 from stocklens.operators.allocation import allocate
+from stocklens.schemas import TABLES
 
 START = datetime(2024, 1, 1)
 CART = "cart_item_id string, user_id long, share_token string, inventory_id long, report_id string, product_name string, category string, unit_price decimal(12,2), quantity int, created_at timestamp"
@@ -42,8 +44,9 @@ def test_allocation_equals_serving_one_by_one(spark, seed, hot):
     rng.shuffle(rows)
     lines = spark.createDataFrame(rows, "claim string, arrival timestamp, item string, units int")
     capacity = spark.createDataFrame(list(stock.items()), "item string, units int")
-    got = {r.claim: r.accepted for r in allocate(lines, capacity, chunks=5).collect()}
-    assert got == expected
+    for tail in (0, 200, 10_000):  # rounds to the end, rounds and a tail, all in one task
+        got = {r.claim: r.accepted for r in allocate(lines, capacity, chunks=5, tail_lines=tail).collect()}
+        assert got == expected
 
 
 def test_allocation_of_nothing(spark):
@@ -84,7 +87,7 @@ def test_checkout_conserves_units(spark):
     user = next(iter(orders))
     mine = [line for line in cart if line[1] == user]
     assert float(orders[user].total_amount) == sum((10 + line[3]) * line[8] for line in mine)
-    line_total = result["order_items"].filter(F.col("order_ref") == orders[user].order_ref).agg(F.sum("line_total")).collect()[0][0]
+    line_total = result["order_items"].filter(F.col("order_id") == orders[user].order_id).agg(F.sum("line_total")).collect()[0][0]
     assert float(line_total) == sum(9 * line[8] for line in mine)
 
 
@@ -152,3 +155,74 @@ def test_review_decisions(spark):
     }
     assert {r.code: r.status for r in out["codes"].collect()} == {"OLD": "inactive", "N0": "inactive", "N2": "inactive", "N6": "active"}
     assert out["notifications"].count() == 5
+
+
+def test_chain_of_claims(spark, monkeypatch):
+    """Each claim shares one scarce item with the next: every other one is accepted."""
+    rows = [(f"c{n:03d}", START + timedelta(minutes=n), f"i{n + k:03d}", 1) for n in range(200) for k in (0, 1)]
+    lines = spark.createDataFrame(rows, "claim string, arrival timestamp, item string, units int")
+    capacity = spark.createDataFrame([(f"i{n:03d}", 1) for n in range(201)], "item string, units int")
+    rounds = []
+    judged = allocation._judged
+    monkeypatch.setattr(allocation, "_judged", lambda df: rounds.append(1) or judged(df))
+    short = lines.filter("claim < 'c012'")
+    for part, tail in ((lines, allocation.TAIL_LINES), (short, 0)):
+        got = {r.claim: r.accepted for r in allocate(part, capacity, tail_lines=tail).collect()}
+        assert got == {claim: int(claim[1:]) % 2 == 0 for claim in got} and len(got) == part.select("claim").distinct().count()
+    assert len(rounds) <= 7  # two links in each round, none for the chain that one task serves
+
+
+def test_work_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: f"file://{tmp_path}")
+    lines = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "x", 1), ("c", 3, "x", 1)], "claim string, arrival int, item string, units int")
+    assert allocate(lines, spark.createDataFrame([("x", 2)], "item string, units int"), tail_lines=0).filter("accepted").count() == 2
+    left = sorted(p.name for p in next(tmp_path.iterdir()).iterdir())
+    assert left[-1] == "verdicts" and len(left) == 2 and left[0].startswith("open-")
+
+
+def test_checkout_can_be_written_back(spark):
+    """Orders and items of a checkout feed the readers of the stored tables."""
+    cart = spark.createDataFrame(
+        [("1", 7, "t", 1, "R", "Silk", "c", None, 2, START), ("2", 7, "t", 2, "R", "Tote", "c", None, 1, START), ("3", 8, "t", 1, "R", "Silk", "c", None, 9, START)], CART
+    ).withColumn("unit_price", F.lit(3).cast("decimal(12,2)")).withColumn("cart_item_id", F.col("cart_item_id").cast("bigint"))
+    stock = spark.createDataFrame([(1, "R", "Silk", "c", None, 3), (2, "R", "Tote", "c", None, 3)], INVENTORY).withColumn("price", F.lit(3).cast("decimal(12,2)"))
+    users = spark.createDataFrame([(7, "ann"), (8, "bob")], "user_id long, username string")
+    result, again = (changes.checkout(cart, stock, users) for _ in range(2))
+    for name in ("orders", "order_items"):
+        assert [(f.name, f.dataType) for f in result[name].schema.fields] == [(f.name, f.dataType) for f in TABLES[name].fields]
+    assert sorted(map(tuple, result["order_items"].collect())) == sorted(map(tuple, again["order_items"].collect()))
+    views = joins.order_views(result["orders"], result["order_items"]).orderBy("position").collect()
+    assert {v["item"].product_name for v in views} == {"Silk", "Tote"} and [v.position for v in views] == [1, 2]
+    assert joins.order_lines(result["order_items"], result["orders"]).count() == 2
+    assert [r.username for r in scope.visible_orders(result["orders"], "user", 0, "ann").collect()] == ["ann"]
+    assert [(r.actor_username, r.action) for r in result["activity"].collect()] == [("ann", "Checkout completed")]
+
+
+def test_merged_cart_lines_can_be_changed(spark):
+    stock = spark.createDataFrame([(1, "R1", "Silk", "c", None, 10)], INVENTORY)
+    empty = spark.createDataFrame([], CART.replace("cart_item_id string", "cart_item_id long"))
+    adds = spark.createDataFrame([("a", START, 7, "t1", 1, 3)], "request_id string, requested_at timestamp, user_id long, share_token string, inventory_id long, quantity int")
+    catalogs = spark.createDataFrame([("t1", "R1")], "share_token string, report_id string")
+    cart, _ = changes.merge_cart(empty, adds, stock, catalogs)
+    line = cart.collect()[0]
+    assert line.cart_item_id is not None and line.created_at == START
+    wanted = spark.createDataFrame([(line.cart_item_id, 7, START, "x", "5")], "cart_item_id long, user_id long, changed_at timestamp, change_id string, quantity string")
+    assert [r.quantity for r in changes.update_cart_quantity(cart, wanted, stock).collect()] == [5]
+
+
+def test_first_sale_of_tied_items_follows_their_numbers(spark):
+    """Items 9 and 10 of one order: as numbers, 9 comes first."""
+    orders = spark.createDataFrame([(1, "R1", START)], "order_id long, report_id string, created_at timestamp")
+    items = spark.createDataFrame([(10, 1, "Ten", "c", 2, 1.0), (9, 1, "Nine", "c", 2, 1.0)], "order_item_id long, order_id long, product_name string, category string, quantity int, line_total double")
+    none = spark.createDataFrame([], "sale_id long, product_id long, quantity int, sale_date date, total_amount double")
+    products = spark.createDataFrame([], "product_id long, name string, category string")
+    sales = joins.all_sales(none, products, items, orders)
+    assert dict(sales.dtypes)["line_id"] == "bigint"
+    empty = spark.createDataFrame([], TABLES["inventory_data"])
+    assert [r.product_name for r in topk.fast_movers(topk.product_facts(empty, sales)).orderBy("position").collect()] == ["Nine", "Ten"]
+
+
+def test_repaired_pointers_are_written_back(spark):
+    catalogs = spark.createDataFrame([(1, "gone"), (2, "R2")], "share_id long, source_report_id string")
+    resolved = spark.createDataFrame([(1, "R9", True), (2, "R2", False)], "share_id long, resolved_report_id string, is_repaired boolean")
+    assert {tuple(r) for r in changes.apply_repaired_pointers(catalogs, resolved).collect()} == {(1, "R9"), (2, "R2")}

@@ -140,3 +140,44 @@ def test_report_ids_are_stable(spark):
     again = {r.path: r for r in ingest.register_reports(files.repartition(3)).collect()}
     assert first == again and first["f/a.xlsx"].title == "a catalog"
     assert len(first["f/a.xlsx"].report_id) == 32 and len(first["f/a.xlsx"].token) == 16
+
+
+def test_large_workbooks_are_read(spark, tmp_path):
+    """No size limit unless one is asked for."""
+    import random
+
+    rng = random.Random(1)
+    rows = [[f"{rng.getrandbits(256):064x}{rng.getrandbits(256):064x}", "c", n, 1, None] for n in range(60_000)]
+    (tmp_path / "large.xlsx").write_bytes(workbook([PLAIN[0], *rows]))
+    assert (tmp_path / "large.xlsx").stat().st_size > 10 * 2**20
+    assert workbooks.read_workbooks(spark, str(tmp_path)).filter("error is null").select("row_idx").distinct().count() == 60_001
+    limited = workbooks.read_workbooks(spark, str(tmp_path), max_bytes=10 * 2**20).collect()
+    assert len(limited) == 1 and limited[0].error
+
+
+def test_header_far_down(spark):
+    title = [("a", n, c, "note") for n in range(40) for c in (0, 1)]
+    header = [("a", 40, c, v) for c, v in enumerate(["product_name", "price", "quantity"])]
+    body = [("a", 41, c, v) for c, v in enumerate(["Hat", "5", "2"])]
+    early = [("b", 2, 0, "my product"), ("b", 2, 1, "its price"), ("b", 30, 0, "product_name"), ("b", 30, 1, "price"), ("c", 0, 0, "x"), ("c", 0, 1, "y")]
+    cells = spark.createDataFrame(title + header + body + early, "path string, row_idx int, col_idx int, value string")
+    found = {r.path: (r.header_row, r.header_found) for r in ingest.detect_header_row(cells).collect()}
+    assert found == {"a": (40, True), "b": (2, True), "c": (0, False)}
+    assert {r.path: r.header_row for r in ingest.detect_header_row(cells, depth=None).collect()}["b"] == 30
+
+
+def test_cells_are_joined_once(spark):
+    cells = spark.createDataFrame([("a", 0, 0, "x")], "path string, row_idx int, col_idx int, value string")
+    header_rows = spark.createDataFrame([("a", 0, True)], "path string, header_row int, header_found boolean")
+    named = spark.createDataFrame([("a", 0, "x", "x")], "path string, col_idx int, header string, normalized string")
+    mapping = spark.createDataFrame([("a", "price", 0, "x")], "path string, field string, col_idx int, header string")
+    plan = ingest.cells_to_records(cells, header_rows, mapping, named)._jdf.queryExecution().optimizedPlan().toString()
+    # the cells are the left side of the topmost join: no join lies below them
+    lines = plan.splitlines()
+    joins = [n for n, line in enumerate(lines) if "Join" in line]
+    assert len(joins) == 3 and "row_idx" in "".join(lines[joins[0] + 1 : joins[1]])
+
+
+def test_counts_out_of_range_are_named(spark):
+    rows = spark.createDataFrame([("p", 1, "Hat", None, "1", "3000000000", None)], "path string, row_idx int, product_name string, category string, price string, quantity string, date string")
+    assert ingest.type_rows(rows, TODAY).collect()[0].reason == "quantity is out of range"

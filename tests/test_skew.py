@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stocklens.operators import joins, topk
+from stocklens.functions import skew
+from stocklens.operators import changes, joins, topk
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -13,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
 }
 ROWS = 60_000
 
@@ -77,3 +79,54 @@ def test_hot_user_in_views(strict):
         if n % 1000 not in items and len(items) < 5:
             items.append(n % 1000)
     assert got == {(user, i + 1): item for user, items in seen.items() for i, item in enumerate(items)}
+
+
+def test_hot_order_in_views(strict):
+    items = strict.range(0, ROWS, 1, 6).select(
+        F.col("id").alias("order_item_id"), hot(4000).alias("order_id"), F.col("id").alias("inventory_id"), F.lit("p").alias("product_name"),
+        F.lit("c").alias("category"), F.lit(1).alias("unit_price"), F.lit(1).alias("quantity"), F.lit(1).alias("line_total"),
+    )
+    orders = strict.range(0, 4000).select(F.col("id").alias("order_id"), F.timestamp_seconds("id").alias("created_at"))
+    views = joins.order_views(orders, items)
+    rows = views.filter("order_id = 7").orderBy("position").collect()
+    want = [n for n in range(ROWS) if n % 3 == 0 or n % 4000 == 7]
+    assert [r["item"].order_item_id for r in rows] == want and [r.position for r in rows] == list(range(1, len(want) + 1))
+    # No task meets the order as a whole.
+    parts = skew.numbered(items, "order_id", "order_item_id").filter("order_id = 7").groupBy("chunk").count().collect()
+    assert len(parts) > 200 and max(r["count"] for r in parts) < ROWS / 100
+    assert views.select("order_id").distinct().count() == 4000
+
+
+def test_half_of_the_pointers_are_null(strict):
+    catalogs = strict.range(0, ROWS, 1, 6).select(
+        F.col("id").alias("share_id"), F.lit("Stock").alias("title"), F.concat(F.lit("t"), "id").alias("token"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("R"), (F.col("id") % 1000).cast("string"))).alias("source_report_id"),
+    )
+    reports = strict.range(0, 1000).select(
+        F.concat(F.lit("R"), "id").alias("report_id"), F.concat(F.lit("t"), "id").alias("token"), F.lit("f").alias("source_file_name"), F.timestamp_seconds("id").alias("created_at")
+    )
+    inventory = strict.range(0, 500).select(F.concat(F.lit("R"), "id").alias("report_id"))
+    resolved = joins.resolve_catalog_report(catalogs, reports, inventory)
+    counts = {r.resolved_by: r["count"] for r in resolved.groupBy("resolved_by").count().collect()}
+    assert counts == {"source": ROWS // 4, "empty source": ROWS // 4, "token": 500, "none": ROWS // 2 - 500}
+    # Rows without a key are dealt out by keys of their own.
+    sizes = resolved.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == ROWS and max(sizes) < ROWS / 3
+
+
+def test_hot_user_in_cart_additions(strict):
+    stock = strict.range(0, 900).select(
+        "id", F.lit("R1").alias("report_id"), F.concat(F.lit("p"), "id").alias("product_name"), F.lit("c").alias("category"),
+        F.lit(1).cast("decimal(12,2)").alias("price"), F.lit(10**6).alias("quantity"),
+    )
+    cart = strict.createDataFrame(
+        [], "cart_item_id long, user_id long, share_token string, inventory_id long, report_id string, product_name string, category string, unit_price decimal(12,2), quantity int, created_at timestamp"
+    )
+    adds = strict.range(0, ROWS // 3, 1, 6).select(
+        F.col("id").cast("string").alias("request_id"), F.timestamp_seconds("id").alias("requested_at"), hot(500).alias("user_id"), F.lit("t").alias("share_token"),
+        (F.col("id") % 900).alias("inventory_id"), F.lit(1).alias("quantity"),
+    )
+    catalogs = strict.createDataFrame([("t", "R1")], "share_token string, report_id string")
+    lines, verdicts = changes.merge_cart(cart, adds, stock, catalogs)
+    assert {r.verdict: r["count"] for r in verdicts.groupBy("verdict").count().collect()} == {"added": ROWS // 3}
+    assert lines.agg(F.sum("quantity")).first()[0] == ROWS // 3

@@ -4,6 +4,7 @@ from books import BOOKS, PLAIN, workbook, write_books
 from pyspark.sql import functions as F
 
 from stocklens.operators import changes, rollups
+from stocklens.schemas import TABLES
 from stocklens.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -52,19 +53,71 @@ def test_replayed_ingest_batch_leaves_the_same_rows(spark, tmp_path):
     assert BOOKS
 
 
-def test_trend_stream_equals_batch(spark, tmp_path):
-    source = tmp_path / "sales"
+def test_trend_stream_equals_batch_however_late_a_sale_comes(spark, tmp_path):
+    source, sink = tmp_path / "sales", str(tmp_path / "out")
     rows = [("p" if n % 5 else " ", n % 7, START + timedelta(hours=5 * n)) for n in range(60)]
-    sales = spark.createDataFrame(rows, "product_name string, quantity int, sale_date timestamp")
-    sales.repartition(3).write.parquet(str(source))
-    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = (
-        jobs.sales_trend_stream(stream, "60 days").writeStream.outputMode("update").format("memory").queryName("trend")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    got = {r.day: r.units for r in spark.table("trend").groupBy("day").agg(F.max("units").alias("units")).collect()}
-    assert got == {r.day: r.units for r in rollups.sales_trend(sales).collect()}
+    schema = "product_name string, quantity int, sale_date timestamp"
+    parts = [rows[20:], rows[:10], [("late", 3, START - timedelta(days=900))], rows[10:20], [("p", 1, START)]]
+    source.mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        jobs.stream_sales_trend(stream, sink, str(tmp_path / "cp"), fold_every=2, availableNow=True).awaitTermination()
+    whole = spark.createDataFrame([r for part in parts for r in part], schema)
+    got = {r.day: r.units for r in jobs.sales_trend_of(spark, sink, len(parts)).collect()}
+    assert got == {r.day: r.units for r in rollups.sales_trend(whole).collect()} and len(got) > 10
+    assert jobs.sales_trend_of(spark, sink, 0).count() == 0
+
+
+def test_two_uploads_into_one_sink_keep_both(spark, tmp_path):
+    folder, sink = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    write_books(folder, ["plain.xlsx", "aliases.xlsx"])
+    for name in ("plain.xlsx", "aliases.xlsx"):
+        jobs.ingest_files(spark.read.format("binaryFile").load(str(folder / name)), sink, "2024-06-01")
+    stored = spark.read.parquet(f"{sink}/inventory")
+    assert stored.count() == 2 and stored.select("batch_id").distinct().count() == 2
+    jobs.ingest_files(spark.read.format("binaryFile").load(str(folder / "plain.xlsx")), sink, "2024-06-01", batch_id=10**6)
+    assert spark.read.parquet(f"{sink}/inventory/batch_id=1000000").count() == 1
+    assert not (tmp_path / "out" / "staging" / "batch_id=1000000").exists()
+    seen = spark.createDataFrame([], TABLES["products"])
+    assert {r.name for r in jobs.product_master(spark, sink, seen).collect()} == {r.product_name for r in stored.collect()}
+    assert spark.read.parquet(f"{sink}/activity_logs").count() == 3
+
+
+def test_overrides_map_what_was_not_mapped(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    (tmp_path / "book.xlsx").write_bytes(workbook([["Thing", "Cost", "How many"], ["Hat", 5, 2], ["Cap", 6, 1]]))
+    (tmp_path / "none.xlsx").write_bytes(workbook([["x", "y"], ["1", "2"]]))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(str(tmp_path))
+    jobs.ingest_files(files, sink, "2024-06-01", batch_id=1)
+    status = {r.path.rsplit("/", 1)[1]: r.status for r in spark.read.parquet(f"{sink}/ingest_log").collect()}
+    assert status == {"book.xlsx": "mapping_required", "none.xlsx": "header_not_found"}
+    path = [r.path for r in files.select("path").collect() if r.path.endswith("book.xlsx")][0]
+    chosen = [("product_name", "Thing"), ("price", "Cost"), ("quantity", "How many")]
+    overrides = spark.createDataFrame([(path, *c) for c in chosen], "path string, field string, header string")
+    jobs.ingest_files(files, sink, "2024-06-01", batch_id=2, overrides=overrides)
+    log = {r.path.rsplit("/", 1)[1]: r.status for r in spark.read.parquet(f"{sink}/ingest_log/batch_id=2").collect()}
+    assert log["book.xlsx"] == "success"
+    assert {r.product_name for r in spark.read.parquet(f"{sink}/inventory").collect()} == {"Hat", "Cap"}
+
+
+def test_compaction_keeps_every_row(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    for n in range(3):
+        (tmp_path / f"b{n}.xlsx").write_bytes(workbook([PLAIN[0], [f"P{n}", "c", 1, 1, None]]))
+        jobs.ingest_files(spark.read.format("binaryFile").load(str(tmp_path / f"b{n}.xlsx")), sink, "2024-06-01", batch_id=n)
+    before = sorted(map(tuple, spark.read.parquet(f"{sink}/inventory").drop("batch_id").collect()))
+    jobs.compact_inventory(spark, sink, [0, 1, 2], into=100)
+    after = spark.read.parquet(f"{sink}/inventory")
+    assert sorted(map(tuple, after.drop("batch_id").collect())) == before and {r.batch_id for r in after.collect()} == {100}
+
+
+def test_checkout_opens_a_bounded_number_of_folders():
+    assert len(jobs.sold_folders("s", 0, 50)) == 50
+    for batch in range(1000):
+        base = batch // 20 * 20
+        assert len(jobs.sold_folders("s", base, batch)) <= 20
 
 
 def test_checkout_stream_equals_one_batch(spark, tmp_path):
