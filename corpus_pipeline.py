@@ -10,11 +10,13 @@ Every stage works on all rows of the one before, which are written as Parquet an
 return the columns of ``documents``. The stages' own rules for nulls, empty texts and repeated rows hold.
 """
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stocklens.llm import bpe, mixing, quality, secrets, simhash
-from stocklens.llm.common import written
+from stocklens.llm.common import short_batches, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +41,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def staged(function):
+    """A stage with short batches between Spark and Python."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(short_batches(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", keep_good),
-    ("SimHash near-dedup", drop_near_copies),
-    ("secret scans", redact_secrets),
-    ("mixing sources to target weights", mix_sources),
-    ("BPE encoding and decoding", encode),
+    ("quality classifier", staged(keep_good)),
+    ("SimHash near-dedup", staged(drop_near_copies)),
+    ("secret scans", staged(redact_secrets)),
+    ("mixing sources to target weights", staged(mix_sources)),
+    ("BPE encoding and decoding", staged(encode)),
 ]
 
 #: Learned models, hashed fingerprints and merges have no SQL; tests hold the stages against brute force.

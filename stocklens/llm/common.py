@@ -38,6 +38,17 @@ class Memo(dict):
         self[key] = value
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> SparkSession:
+    """Let Spark hand documents to Python in shorter batches, unless the session says how many.
+
+    Ten thousand documents, the default, are tens of megabytes in the JVM and again in Python, for every running task.
+    """
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``; local sessions may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stocklens.llm import bpe, ctph, extract, langid, mixing, quality, secrets, simhash, tokenfiles, topk
-from stocklens.llm.common import shared_folder
+from stocklens.llm.common import shared_folder, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return short_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
