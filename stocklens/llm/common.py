@@ -74,6 +74,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 <<
             yield batch.slice(at, step)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows or ``size`` bytes, put together from shorter ones or cut from longer ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in slices(batches, rows, size):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of non-null texts, the words of all texts as numbers of them, and where each text's begin (and end).
 

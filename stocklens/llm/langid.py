@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import held_out, slices, split_words, text
+from stocklens.llm.common import held_out, slices, split_words, text, together
 
 #: First code points of script blocks; letters between two belong to the earlier one.
 SCRIPTS = {
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = SWITCH, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value or Model(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros((len(SCRIPTS) + 1, 1), bool), 0)
         count, languages = len(model.languages), np.array(model.languages, object)
-        for batch in slices(batches, 2000):
+        for batch in together(batches):
             distinct, words, borders = split_words(batch.column(1))
             scores, letters = model.score_words(distinct)
             labels = viterbi(scores, words, borders, penalty)

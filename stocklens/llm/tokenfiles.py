@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stocklens.llm import pfor
-from stocklens.llm.common import Memo, gather, partitions, slices, split_words, text
+from stocklens.llm.common import Memo, gather, partitions, split_words, text, together
 
 MAGIC = b"SLTOKEN1"
 HEAD = np.dtype([("magic", "S8"), ("docs", "<u8"), ("ids", "<u8"), ("id_bytes", "<u8"), ("length_bytes", "<u8")])
@@ -174,7 +174,7 @@ def write_files(
                 out.write(file_bytes(keys, np.concatenate(counts), np.concatenate(ids), share))
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": f"{folder}/{name}", "n_docs": len(keys), "n_ids": held}], schema=manifest)
 
-        for batch in slices(batches, 2000):
+        for batch in together(batches):
             some, each = encoder.encode(batch.column(1))
             keys += batch.column(0).to_pylist()
             counts.append(each)
