@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from stocklens.operators import joins, rollups, scope, topk
 from stocklens.plans import insights
 from stocklens.schemas import NO_DATE
+from stocklens.session import WorkTables
 from stocklens.sources.tables import report_bucket
 
 
@@ -26,16 +27,21 @@ def _shared(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def business_analytics(inventory: DataFrame, sales: DataFrame, share: bool = True) -> Bundle:
+def business_analytics(inventory: DataFrame, sales: DataFrame, share: bool | WorkTables = True) -> Bundle:
     """Movers, low stock, values, trend, summary, insights and chart series of one report (or of all data).
 
     The product facts feed six parts, the category rollup two and the day totals two. They are aggregates, far smaller
-    than the rows below them, and are kept while the bundle is in use.
+    than the rows below them, and are kept while the bundle is in use: cached, or as tables of a run if ``share`` names
+    one. Each is computed once, so the rows below are read three times, whatever the number of parts.
     """
     facts = topk.product_facts(inventory, sales)
     categories = rollups.category_value(inventory)
     trend = rollups.sales_trend(sales)
-    shared = [_shared(table) for table in (facts, categories, trend)] if share else []
+    shared = []
+    if isinstance(share, WorkTables):
+        facts, categories, trend = (share.keep(table, name) for name, table in (("facts", facts), ("categories", categories), ("trend", trend)))
+    elif share:
+        shared = [_shared(table) for table in (facts, categories, trend)]
     return Bundle(
         shared,
         {
@@ -53,7 +59,7 @@ def business_analytics(inventory: DataFrame, sales: DataFrame, share: bool = Tru
 
 
 def report_analytics(
-    inventory: DataFrame, items: DataFrame, orders: DataFrame, report_id: str | None = None, share: bool = True
+    inventory: DataFrame, items: DataFrame, orders: DataFrame, report_id: str | None = None, share: bool | WorkTables = True
 ) -> Bundle:
     """:func:`business_analytics` over the real-name rows and the order lines of one report."""
     return business_analytics(
@@ -114,7 +120,7 @@ def admin_dashboard(tables: dict[str, DataFrame], as_of: str) -> Bundle:
     return Bundle([], parts)
 
 
-def manager_dashboard(tables: dict[str, DataFrame], share: bool = True) -> Bundle:
+def manager_dashboard(tables: dict[str, DataFrame], share: bool | WorkTables = True) -> Bundle:
     """Dashboard of a manager: here sales are recorded sales and order lines of all reports together."""
     t = tables
     sales = joins.all_sales(t["sales"], t["products"], t["order_items"], t["orders"], role="manager")

@@ -595,15 +595,13 @@ def _say(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-_add(
-    "inventory_insights", [INV],
-    f""", {_RAW_UNITS} SELECT CAST(1 AS BIGINT) AS position, (SELECT coalesce(category, 'None') || ' is your strongest category right now with ' || units || ' units in stock.'
+_INVENTORY_INSIGHTS = """SELECT CAST(1 AS BIGINT) AS position, (SELECT coalesce(category, 'None') || ' is your strongest category right now with ' || units || ' units in stock.'
         FROM units ORDER BY units DESC, seen LIMIT 1) AS message
     UNION ALL SELECT 2, (SELECT 'Low stock alert: ' || product_name || ' has only ' || quantity || ' units left.' FROM t_inventory_data
         WHERE quantity <= 10 ORDER BY created_at DESC, id DESC LIMIT 1)
     UNION ALL SELECT 3, (SELECT product_name || ' carries one of the highest inventory values and should stay visible in promotions.'
-        FROM t_inventory_data ORDER BY price * quantity DESC, created_at DESC, id DESC LIMIT 1)""",
-)
+        FROM t_inventory_data ORDER BY price * quantity DESC, created_at DESC, id DESC LIMIT 1)"""
+_add("inventory_insights", [INV], f", {_RAW_UNITS} {_INVENTORY_INSIGHTS}")
 _BUSINESS = _say(
     "SELECT CAST(1 AS BIGINT) AS position, (SELECT product_name || ' is the fastest-moving item with ' || sold || ' units sold.' FROM facts WHERE sold > 0 ORDER BY sold DESC, first_seen LIMIT 1) AS message",
     "SELECT 2, (SELECT product_name || ' is slow-moving with ' || sold || ' sold and ' || stock || ' still in stock.' FROM facts WHERE stock > 0 ORDER BY sold, stock DESC, first_seen LIMIT 1)",
@@ -710,6 +708,72 @@ _add(
     ),
 )
 
+_add(
+    "dashboard", [INV],
+    f", {_RAW_UNITS} "
+    + " UNION ALL ".join(
+        [
+            f"SELECT 'metrics' AS part, 'value' AS label, {money('sum(price * quantity)')} AS value FROM t_inventory_data",
+            _flat("category_totals", "category", "units", "units"),
+            "SELECT * FROM (SELECT 'top_categories', category, CAST(row_number() OVER (ORDER BY units DESC, seen) AS DOUBLE) AS n FROM units QUALIFY n <= 5) x",
+            _flat("trend_points", _DAY, "sum(quantity)", f"t_inventory_data GROUP BY {_DAY}"),
+            "SELECT * FROM (SELECT 'low_stock', CAST(id AS STRING), CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS DOUBLE) AS n FROM t_inventory_data WHERE quantity <= 10 QUALIFY n <= 5) x",
+            f"SELECT 'insights', message, CAST(position AS DOUBLE) FROM ({_INVENTORY_INSIGHTS}) x",
+            "SELECT * FROM (SELECT 'recent_rows', CAST(id AS STRING), CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS DOUBLE) AS n FROM t_inventory_data QUALIFY n <= 8) x",
+        ]
+    ),
+)
+
+
+def _newest(part: str, key: str, table: str, k: int, condition: str = "true") -> str:
+    return (
+        f"SELECT * FROM (SELECT '{part}' AS part, CAST({key} AS STRING) AS label, CAST(row_number() OVER (ORDER BY created_at DESC, {key} DESC) AS DOUBLE) AS value"
+        f" FROM {table} WHERE {condition} QUALIFY value <= {k}) x"
+    )
+
+
+def _views(k: int, condition: str = "true") -> str:
+    return (
+        f"SELECT 'orders', CAST(o.order_id AS STRING), coalesce(CAST(row_number() OVER (PARTITION BY o.order_id ORDER BY i.order_item_id) AS DOUBLE)"
+        " * CASE WHEN i.order_id IS NULL THEN 0 ELSE 1 END, 0)"
+        f" FROM (SELECT * FROM t_orders WHERE {condition} ORDER BY created_at DESC, order_id DESC LIMIT {k}) o LEFT JOIN t_order_items i ON i.order_id = o.order_id"
+    )
+
+
+_add(
+    "admin_dashboard", [INV, ORD, ITEMS, CAT, LOG, REP, USERS],
+    f", {_PQ}, listed AS ("
+    + """SELECT r.report_id, count(d.id) AS row_count FROM t_uploaded_reports r LEFT JOIN t_shared_catalogs s ON s.source_report_id = r.report_id
+    LEFT JOIN t_inventory_data d ON d.report_id = r.report_id GROUP BY r.report_id, r.created_at, s.qr_filename
+    ORDER BY r.created_at DESC, r.report_id DESC, s.qr_filename NULLS FIRST LIMIT 6) """
+    + " UNION ALL ".join(
+        [
+            _newest("users", "user_id", "t_app_users", 6),
+            "SELECT 'reports', report_id, CAST(row_count AS DOUBLE) FROM listed",
+            "SELECT 'total_reports', 'reports', CAST(count(*) AS DOUBLE) FROM t_uploaded_reports",
+            _newest("latest_report", "report_id", "t_uploaded_reports", 1),
+            _newest("latest_share", "share_id", "t_shared_catalogs", 1, _VALID),
+            _newest("shared_catalogs", "share_id", "t_shared_catalogs", 5),
+            _views(8),
+            _newest("recent_activity", "activity_id", "t_activity_logs", 8),
+            _flat("fast_items", "product_name", "quantity", "pq", "quantity DESC, product_name", 5),
+        ]
+    ),
+)
+_add(
+    "user_dashboard", [INV, ORD, ITEMS, CAT, REP, CART],
+    f""", {_RESOLVED}, shared AS (SELECT * FROM resolved WHERE {_VALID} ORDER BY created_at DESC, share_id DESC LIMIT 1) """
+    + " UNION ALL ".join(
+        [
+            "SELECT 'latest_share' AS part, resolved_report_id AS label, CAST(share_id AS DOUBLE) AS value FROM shared",
+            _newest("products", "id", "t_inventory_data", 8, "report_id IN (SELECT resolved_report_id FROM shared)"),
+            _views(8, "user_id = 7 OR username = 'Customer#000000007'"),
+            f"SELECT 'cart', CAST(c.cart_item_id AS STRING), CAST(i.quantity AS DOUBLE) FROM {_STOCK_JOIN} WHERE c.user_id = 7",
+            f"SELECT 'cart_summary', CAST(user_id AS STRING), {money('sum(unit_price * quantity)')} FROM t_cart_items WHERE user_id = 7 GROUP BY user_id",
+        ]
+    ),
+)
+
 ALL_LINES = f"""lines AS (
     SELECT i.product_name, i.quantity, o.created_at AS sale_date, i.order_item_id AS line_id, 1 AS source
     FROM t_order_items i JOIN t_orders o ON o.order_id = i.order_id WHERE {real('i.product_name')}
@@ -760,7 +824,7 @@ checked AS (
     SELECT a.*, r.report_id, i.product_name, {cat('i.category')} AS category, i.price AS unit_price, i.quantity AS available,
       CASE WHEN r.report_id IS NULL THEN 'invalid catalog' WHEN a.quantity <= 0 THEN 'quantity too small' WHEN i.id IS NULL THEN 'not in catalog'
            WHEN NOT {real('i.product_name')} THEN 'not available' WHEN a.quantity > i.quantity THEN 'over stock' END AS own_problem
-    FROM adds a LEFT JOIN t_uploaded_reports r ON r.token = a.share_token
+    FROM adds a LEFT JOIN (SELECT DISTINCT token, resolved_report_id AS report_id FROM resolved WHERE {_VALID}) r ON r.token = a.share_token
     LEFT JOIN t_inventory_data i ON i.id = a.inventory_id AND i.report_id = r.report_id),
 firsts AS (SELECT user_id, share_token FROM checked WHERE own_problem IS NULL
            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY requested_at, request_id) = 1),
@@ -784,11 +848,11 @@ def _recursive(sql: str) -> str:
     return "WITH RECURSIVE" + sql[len("WITH"):]
 
 
-_add("merge_cart", [INV, REP], f", {_MERGE} SELECT request_id, user_id, inventory_id, quantity, verdict FROM verdicts")
+_add("merge_cart", [INV, REP, CAT], f", {_RESOLVED}, {_MERGE} SELECT request_id, user_id, inventory_id, quantity, verdict FROM verdicts")
 _SQL["merge_cart"] = _recursive(_SQL["merge_cart"])
 _add(
-    "merge_cart_lines", [INV, REP],
-    f""", {_MERGE}, added AS (SELECT user_id, inventory_id, share_token, report_id, product_name, category, unit_price, CAST(sum(quantity) AS INT) AS n,
+    "merge_cart_lines", [INV, REP, CAT],
+    f""", {_RESOLVED}, {_MERGE}, added AS (SELECT user_id, inventory_id, share_token, report_id, product_name, category, unit_price, CAST(sum(quantity) AS INT) AS n,
          min(requested_at) AS added_at FROM verdicts WHERE verdict = 'added' GROUP BY ALL)
     SELECT c.user_id, c.share_token, c.inventory_id, c.report_id, c.product_name, c.category, {money('c.unit_price')} AS unit_price,
       CAST(c.quantity + coalesce(a.n, 0) AS INT) AS quantity, c.cart_item_id, c.created_at

@@ -73,12 +73,13 @@ def _cells(t: Tables) -> DataFrame:
 
 
 class _Upload:
-    """Ingestion steps over the derived workbooks."""
+    """Ingestion steps over the derived workbooks; the few rows known of each file are kept, as in ingestion."""
 
     def __init__(self, t: Tables):
+        work = WorkTables(t.spark, "upload")
         self.cells = _cells(t)
-        self.header_rows = ingest.detect_header_row(self.cells)
-        self.named = ingest.headers(self.cells, self.header_rows)
+        self.header_rows = work.keep(ingest.detect_header_row(self.cells), "headers")
+        self.named = work.keep(ingest.headers(self.cells, self.header_rows), "named")
         self.mapping = ingest.auto_map_columns(ingest.header_context(self.named))
         self.status = ingest.mapping_status(self.header_rows, self.mapping)
         self.records = ingest.cells_to_records(self.cells, self.header_rows, self.mapping, self.named)
@@ -794,7 +795,7 @@ def decision_analytics(t):
 
 @query
 def business_analytics(t):
-    page = analytics.report_analytics(t.inventory_data, t.order_items, t.orders, share=False)
+    page = analytics.report_analytics(t.inventory_data, t.order_items, t.orders, share=WorkTables(t.spark, "page"))
     parts = [
         _flat("fast_items", page["fast_items"], "product_name", "sold"),
         _flat("slow_items", page["slow_items"], "product_name", "stock"),
@@ -808,6 +809,58 @@ def business_analytics(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def dashboard(t):
+    page = analytics.dashboard(t.inventory_data)
+    metrics = page["metrics"].withColumn("label", F.lit("value"))
+    parts = [
+        _flat("metrics", metrics, "label", "total_inventory_value"),
+        _flat("category_totals", page["category_totals"], "category", "units"),
+        _flat("top_categories", page["top_categories"], "category", "position"),
+        _flat("trend_points", page["trend_points"], "day", "units"),
+        _flat("low_stock", page["low_stock"], "id", "position"),
+        _flat("insights", page["insights"], "message", "position"),
+        _flat("recent_rows", page["recent_rows"], "id", "position"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _all(t):
+    names = ("inventory_data", "orders", "order_items", "shared_catalogs", "activity_logs", "uploaded_reports", "app_users", "cart_items")
+    return {name: getattr(t, name) for name in names}
+
+
+@query
+def admin_dashboard(t):
+    page = analytics.admin_dashboard(_all(t), AS_OF)
+    listed = page["reports"].select("report_id", "row_count")
+    parts = [
+        _flat("users", page["users"], "user_id", "position"),
+        _flat("reports", listed, "report_id", "row_count"),
+        _flat("total_reports", page["total_reports"].withColumn("label", F.lit("reports")), "label", "total_reports"),
+        _flat("latest_report", page["latest_report"], "report_id", "position"),
+        _flat("latest_share", page["latest_share"], "share_id", "position"),
+        _flat("shared_catalogs", page["shared_catalogs"], "share_id", "position"),
+        _flat("orders", page["orders"].select("order_id", F.coalesce("position", F.lit(0)).alias("n")), "order_id", "n"),
+        _flat("recent_activity", page["recent_activity"], "activity_id", "position"),
+        _flat("fast_items", page["decision_fast_items"], "product_name", "quantity"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def user_dashboard(t):
+    page = analytics.user_dashboard(_all(t), 7, "Customer#000000007", AS_OF)
+    parts = [
+        _flat("latest_share", page["latest_share"], "resolved_report_id", "share_id"),
+        _flat("products", page["products"], "id", "position"),
+        _flat("orders", page["orders"].select("order_id", F.coalesce("position", F.lit(0)).alias("n")), "order_id", "n"),
+        _flat("cart", page["cart"], "cart_item_id", "current_stock"),
+        _flat("cart_summary", page["cart_summary"], "user_id", "subtotal"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _manager(t):
     names = ("inventory_data", "products", "sales", "orders", "order_items", "shared_catalogs", "activity_logs", "uploaded_reports")
     return analytics.manager_dashboard({name: getattr(t, name) for name in names}, share=False)
@@ -853,7 +906,10 @@ def apply_deletes(t):
 
 
 def _valid_sources(t):
-    return t.uploaded_reports.select(F.col("token").alias("share_token"), "report_id")
+    """Valid shared catalogs and the reports they stand for."""
+    valid = scope.valid_catalogs(t.shared_catalogs, AS_OF)
+    resolved = joins.resolve_catalog_report(valid, t.uploaded_reports, t.inventory_data)
+    return resolved.select(F.col("token").alias("share_token"), F.col("resolved_report_id").alias("report_id"))
 
 
 @query
