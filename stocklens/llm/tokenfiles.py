@@ -39,6 +39,9 @@ FILE_IDS = 4_000_000
 #: Fixed value: how the vocabulary with word ends splits a lower-cased text into pieces (two Latin-1 spaces spelt out).
 PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x{85}\x{a0}\p{L}\p{N}]+)"
 
+#: The same for words of ASCII characters, on character sets that match much faster.
+PIECES_ASCII = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+)"
+
 
 class WordEncoder:
     """Encodes with the ``tokenizers`` library and asks it about each distinct piece of text once.
@@ -81,8 +84,15 @@ class WordEncoder:
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of distinct words."""
         other = pc.match_substring_regex(words, self.other)
-        plain = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(other, "", words)), "[\\x{85}\\x{a0}]", " ")
-        split, chosen, borders = split_words(pc.replace_substring_regex(plain, PIECES, r"\1 "))
+        plain = pc.utf8_lower(pc.if_else(other, "", words))
+        mixed = pc.invert(pc.utf8_is_alpha(plain))  # letters only are one piece
+        for of_kind, pattern in ((pc.string_is_ascii(plain), PIECES_ASCII), (pc.invert(pc.string_is_ascii(plain)), PIECES)):
+            chosen_words = pc.and_(mixed, of_kind)
+            parts = pc.replace_substring_regex(plain.filter(chosen_words), pattern, r"\1 ")
+            if pattern is PIECES:
+                parts = pc.replace_substring_regex(parts, r"[\x{85}\x{a0}]", " ")
+            plain = pc.replace_with_mask(plain, chosen_words, parts)
+        split, chosen, borders = split_words(plain)
         distinct = split.to_pylist()
         fresh = self.learn([p for p in distinct if p and p not in self.pieces and p not in self.pieces.old])
         packed = [fresh[p] if p in fresh else self.pieces[p] if p else b"" for p in distinct]
