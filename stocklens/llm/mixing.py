@@ -139,7 +139,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     id_of, times, copy = unused(docs, "_id", "_times", "_copy")
     share = F.sum(F.col("taken") / F.col("size")) / F.count("*")
     taken = mix(docs, **settings).filter("size > 0").groupBy(F.col("doc_id").alias(id_of)).agg(F.round(share).cast("int").alias(times))
-    joined = docs.join(taken.filter(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(id_of))).filter(word_count("text") > 0)
+    joined = docs.join(taken.filter(F.col(times) > 0).hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_of))).filter(word_count("text") > 0)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

@@ -206,8 +206,9 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     found = near_copies(docs, shingle, radius)
     kept_id, print_of, print_kept = unused(docs, "_kept", "_print", "_print_kept")
     kept = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("times")), "kept")
+    # The ids to keep grow with the input, so they are never broadcast.
     one, several = (
-        docs.join(kept.filter(which).select(kept_id), F.col("doc_id") == F.col(kept_id), "left_semi") for which in ("times = 1", "times > 1")
+        docs.join(kept.filter(which).select(kept_id).hint("merge"), F.col("doc_id") == F.col(kept_id), "left_semi") for which in ("times = 1", "times > 1")
     )
     alone = found.filter("doc_id is null and component_id is null and fp = label").select(F.col("fp").alias(print_kept)).distinct()
     of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(bytes(t), shingle)), "bigint")
