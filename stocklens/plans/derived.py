@@ -9,6 +9,7 @@ from io import BytesIO
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens.sources.adapters import LINE_ID
@@ -85,6 +86,18 @@ FILE_CELLS = " UNION ALL ".join(
     for col, value in ((0, "p_name || ' & ' || p_brand"), (2, "p_type"), (5, "CAST(p_size AS STRING)"))
 )
 
+# Upload files with a header row, a thousand parts each.
+_UPLOAD = "'upload/U' || CAST(CAST(floor(p_partkey / 1000.0) AS BIGINT) AS STRING) || '.xlsx'"
+_UPLOAD_HEADERS = [(0, "'Product Name'"), (1, "'Dept'"), (2, "'Rate'"), (3, "'QTY'")]
+_UPLOAD_BODY = [(0, "p_name || ' ' || p_brand"), (1, "CASE WHEN p_partkey % 3 > 0 THEN p_type END"), (2, _PRICE), (3, _COUNT)]
+UPLOAD_CELLS = " UNION ALL ".join(
+    [f"SELECT {_UPLOAD} AS path, CAST(p_partkey % 1000 AS INT) + 1 AS row_idx, {col} AS col_idx, {value} AS value FROM part" for col, value in _UPLOAD_BODY]
+    + [f"SELECT DISTINCT {_UPLOAD}, 0, {col}, {value} FROM part" for col, value in _UPLOAD_HEADERS]
+)
+UPLOAD_CELLS = f"SELECT path, row_idx, col_idx, value FROM ({UPLOAD_CELLS}) c WHERE value IS NOT NULL"
+# What the uploads hold, file by file.
+UPLOAD_ROWS = f"SELECT {_UPLOAD} AS path, p_name || ' ' || p_brand AS product_name, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS category, {_PRICE} AS price, {_COUNT} AS quantity FROM part"
+
 TEMPLATE_ROWS = f"""
     SELECT CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE ' ' || p_name || ' ' END AS name,
            CASE WHEN p_partkey % 43 = 0 THEN '' ELSE p_type END AS category,
@@ -164,6 +177,21 @@ def pack_workbooks(cells: DataFrame) -> DataFrame:
     return packed.mapInPandas(_pack, "path string, content binary")
 
 
+def save_workbooks(files: DataFrame, folder: str) -> None:
+    """Write (path, content) files below a folder that all tasks share; a repeated task writes the same bytes again."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            store, root = pafs.FileSystem.from_uri(folder)
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                store.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(bytes(content))
+            yield batch[["path"]]
+
+    files.mapInPandas(save, "path string").count()
+
+
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame(

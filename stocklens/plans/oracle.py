@@ -124,6 +124,14 @@ def _top(name: str, tables: list[str], ctes: str, columns: str, source: str, ord
 
 _add("read_workbooks", [], f"SELECT path, row_idx, col_idx, value, CAST(NULL AS STRING) AS error FROM ({derived.FILE_CELLS}) c")
 
+_add(
+    "stream_ingest", [],
+    f"""WITH raw AS ({derived.UPLOAD_ROWS}), typed AS (SELECT split_part(path, '/', 2) AS source_file_name, {strip('product_name')} AS product_name,
+      {cat('category')} AS category, CAST({number('price')} AS DECIMAL(12,2)) AS price, CAST(trunc({number('quantity')}) AS INT) AS quantity FROM raw)
+    SELECT source_file_name, product_name, category, {money('price')} AS price, quantity, CAST(1 AS BIGINT) AS user_id, DATE '{TODAY}' AS entry_date
+    FROM typed WHERE price IS NOT NULL AND quantity IS NOT NULL AND product_name <> ''""",
+)
+
 _aliases = []
 for _field, _names in HEADER_ALIASES.items():
     for _rank, _name in enumerate(_names):
@@ -475,6 +483,7 @@ _add("units_sold", [ITEMS, ORD], f", {LINES} SELECT product_name, CAST(sum(quant
 _add("total_units_sold", [ITEMS, ORD], f", {LINES} SELECT CAST(sum(quantity) AS BIGINT) AS total_orders FROM lines")
 _TREND = "SELECT strftime(sale_date, '%Y-%m-%d') AS day, CAST(sum(quantity) AS BIGINT) AS units FROM lines GROUP BY 1"
 _add("sales_trend", [ITEMS, ORD], f", {LINES} {_TREND}")
+_add("stream_sales_trend", [ITEMS, ORD], f", {LINES} {_TREND}")
 _SUMMARY = f"""SELECT count(*) AS total_products, {money('sum(exact_value)')} AS total_inventory_value,
     count(*) FILTER (WHERE stock BETWEEN 0 AND 9) AS low_stock_count,
     coalesce((SELECT product_name FROM facts WHERE sold > 0 ORDER BY sold DESC, first_seen LIMIT 1), 'No orders yet') AS top_selling_product,
@@ -897,7 +906,7 @@ _add(
       CASE WHEN s.accepted THEN 'confirmed' WHEN q.has_missing THEN 'missing' ELSE 'over stock' END AS verdict
     FROM queue q JOIN served s ON s.report_id = q.report_id AND s.nth = q.nth""",
 )
-_SQL["checkout"] = _recursive(_SQL["checkout"])
+_SQL["checkout"] = _SQL["stream_checkout"] = _recursive(_SQL["checkout"])
 _REF = """md5('{"report_id":"' || q.report_id || '","user_id":' || q.user_id || ',"share_token":"' || q.share_token || '"}')"""
 _TAKEN = f"""taken AS (SELECT q.report_id, q.user_id, q.share_token, q.created_at, q.total_amount, {key_id(_REF, 'q.created_at')} AS order_id
     FROM queue q JOIN served s ON s.report_id = q.report_id AND s.nth = q.nth WHERE s.accepted)"""

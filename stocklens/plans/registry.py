@@ -12,7 +12,8 @@ from stocklens.schemas import COLUMN_DEFAULTS, TABLES
 from stocklens.session import WorkTables
 from stocklens.sources.adapters import Tables
 from stocklens.sources.tables import append_inventory as append_stored, conform_schema, load_tables as load_stored, read_inventory
-from stocklens.sources.workbooks import cells_of, is_workbook
+from stocklens.sources.workbooks import is_workbook, read_workbooks as read_stored
+from stocklens.streaming import jobs
 
 AS_OF = "2024-06-01 00:00:00"
 TODAY = "2024-06-01"
@@ -89,9 +90,50 @@ class _Upload:
 # --- sources and ingestion ---------------------------------------------------
 
 
+def _workbook_folder(t: Tables, cells: str) -> tuple[str, WorkTables]:
+    """A folder of workbook files that hold the cells, and one file of another kind."""
+    work = WorkTables(t.spark, "workbooks")
+    files = derived.pack_workbooks(t.sql(cells))
+    other = files.limit(1).withColumn("path", F.lit("upload/notes.txt"))
+    derived.save_workbooks(files.unionByName(other), f"{work.root}/files")
+    return f"{work.root}/files", work
+
+
 @query
 def read_workbooks(t):
-    return cells_of(derived.pack_workbooks(t.sql(derived.FILE_CELLS)))
+    folder, _ = _workbook_folder(t, derived.FILE_CELLS)
+    return read_stored(t.spark, folder).withColumn("path", F.regexp_extract("path", "upload/[^/]+$", 0))
+
+
+@query
+def stream_ingest(t):
+    """Workbooks read as a stream into the sink: what its inventory then holds."""
+    folder, work = _workbook_folder(t, derived.UPLOAD_CELLS)
+    sink = f"{work.root}/sink"
+    jobs.stream_ingest(t.spark, folder, sink, f"{work.root}/checkpoint", TODAY, user_id=1, availableNow=True).awaitTermination()
+    reports = t.spark.read.parquet(f"{sink}/uploaded_reports").select("report_id", "source_file_name")
+    rows = t.spark.read.schema(TABLES["inventory_data"]).parquet(f"{sink}/inventory")
+    return rows.join(reports, "report_id").select("source_file_name", "product_name", "category", "price", "quantity", "user_id", "entry_date")
+
+
+@query
+def stream_sales_trend(t):
+    work = WorkTables(t.spark, "trend")
+    sales = work.keep(_sales(t), "sales")
+    stream = t.spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 4).parquet(f"{work.root}/sales")
+    run = jobs.stream_sales_trend(stream, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True)
+    run.awaitTermination()
+    batches = t.spark.read.parquet(f"{work.root}/sink/trend").agg(F.max("batch_id").alias("last")).first()["last"]
+    return jobs.sales_trend_of(t.spark, f"{work.root}/sink", 0 if batches is None else batches + 1)
+
+
+@query
+def stream_checkout(t):
+    work = WorkTables(t.spark, "carts")
+    lines = work.keep(t.cart_items, "lines")
+    stream = t.spark.readStream.schema(lines.schema).parquet(f"{work.root}/lines")
+    jobs.stream_checkout(stream, t.inventory_data, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
+    return t.spark.read.parquet(f"{work.root}/sink/verdicts").drop("order_ref", "batch_id")
 
 
 @query
