@@ -3,7 +3,9 @@
 A word's script, told by the code point ranges below, leaves only the languages that were seen in that script. These are
 scored by the logarithms of n-gram probabilities (one to four letters, word borders included). Viterbi then labels the
 words of a document with the best path of languages, where each switch costs a penalty; runs of one label are spans. The
-language of a document is the label with the most letters; the score is its share of the letters.
+language of a document is that of its frame, if it begins and ends in one language that has a fifth of the letters or
+more, because what stands between is then a quotation; else the label with the most letters. The score is the share of
+its letters.
 
 Models are counted over a sample of the labelled documents outside the held-out fold, about ``SAMPLE`` of them by digest
 of their ids, all if there are fewer.
@@ -41,6 +43,8 @@ SAMPLE = 20_000
 #: A language is a candidate in a script that has this share of its letters or more.
 LEAST_SHARE = 0.01
 SWITCH = 12.0
+#: A language at both ends of a text is the text's if it has this share of the letters.
+FRAME_SHARE = 0.2
 NEVER = -30.0
 
 
@@ -214,6 +218,10 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = SWITCH, id_co
             mass = np.bincount(doc * count + labels, weights=known[words], minlength=batch.num_rows * count).reshape(-1, count)
             every = np.bincount(doc, weights=letters[words], minlength=batch.num_rows)
             best = np.where(mass.any(axis=1), mass.argmax(axis=1), model.common)
+            some = np.flatnonzero(np.diff(borders) > 0)
+            first, last = labels[borders[some]], labels[borders[some + 1] - 1]
+            framed = (first == last) & (mass[some, first] >= FRAME_SHARE * np.maximum(every[some], 1))
+            best[some[framed]] = first[framed]
             score = mass[np.arange(batch.num_rows), best] / np.maximum(every, 1)
             # a run of one label is a span; texts without letter have none
             begins = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])])) if len(words) else np.zeros(0, np.int64)

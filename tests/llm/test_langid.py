@@ -69,6 +69,16 @@ def test_mixed_language_spans(spark, documents, model, make_docs):
     assert 0.5 < row.score < 0.8
 
 
+def test_a_quotation_does_not_name_the_document(documents, model, make_docs):
+    texts = {r.lang: r.text for r in documents.filter(F.length("text").between(600, 3000) & F.col("lang").isin("en", "fr") & ~F.col("text").contains("!!")).orderBy("lang", "doc_id").collect()}
+    frame, quotation = texts["en"].split(), texts["fr"].split()
+    around = " ".join([*frame[:25], *quotation[:80], *frame[25:50]])
+    behind = " ".join([*frame[:50], *quotation[:80]])
+    rows = {r.doc_id: r for r in langid.predict(make_docs([(1, around), (2, behind)]), model).collect()}
+    assert rows[1].lang_pred == "en" and 0.2 < rows[1].score < 0.5
+    assert rows[2].lang_pred == "fr" and rows[2].score > 0.5
+
+
 def test_scripts_narrow_the_candidates(spark, make_docs):
     rng = random.Random(2)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
