@@ -29,22 +29,19 @@ ASSIGN_LEAST = 6
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Words that identifiers are put together from.
-PARTS = """account action active address admin amount application array async available balance base batch begin block body
-boolean buffer build button cache call cancel category change check child class clear client close code collection color
-column command commit config connect content context control copy count create current customer data date debug default
-delete description device directory document double element email enable entry error event example expected export
-factory feature field file filter final first float folder format frame function global group handler header height hidden
-history identifier image import index info initial input insert instance integer interface internal invoice item iterator
-language last layout length level library limit line link list loader local location lock logger manager maximum member
-memory message method minimum model module month name network node notification number object observer offset open
-option order output owner package page parameter parent parse partition path pattern payload payment percent period
-pointer policy position prefix previous print priority process product profile project property provider public query
-queue random range read record reference region register release remove render report request reset resource response
-result return role root route row sample schedule schema scope screen search section select sequence server service
-session setting shape shared signature simple single size snapshot socket sort source stack start state static status
-storage store stream string style submit suffix summary support symbol system table target task template test thread
-time timeout title token total trace transaction transform tree type unique unit update upload user utility validate
-value variable vector version view visible warning weight widget width window worker wrapper write zone""".split()
+PARTS = """account action active admin amount application async available balance batch begin block boolean buffer build
+cache call cancel change check child clear client close collection color column commit config connect context
+control copy create current customer date debug default description device directory double element email entry
+error event expected export factory field file filter first float folder frame function global handler header
+height history identifier image index info initial insert instance integer internal invoice item language last
+layout level library limit link list loader location lock logger maximum member memory method minimum model
+month name network notification number object offset open option output owner package parameter parent parse
+path pattern payload percent period pointer position prefix previous priority process product project property
+provider query queue random read record reference register release remove report request reset response result
+return root route row schedule schema scope search section select server service session shape shared signature
+single size snapshot sort source stack state static status store stream string submit suffix summary symbol
+system table task template test time timeout title total trace transaction tree type unique update upload user
+validate value variable version view visible weight widget width worker wrapper write""".split()
 #: Documents that words and values are taken from, at most about this many.
 SAMPLE = 2_000
 #: A candidate is a secret from this log-likelihood ratio on, in sum and for each character.

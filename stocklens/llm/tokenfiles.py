@@ -6,7 +6,8 @@ File format (little endian), one file for a run of documents in ascending id ord
     id blocks | length blocks (ids of each document) | document ids i64 * n_docs | null flags u8 * n_docs
     index: starts of the id blocks u64 * ceil(n_ids / 1024), then of the length blocks u64 * ceil(n_docs / 1024)
 
-A folder of files has a manifest, written by Spark, that lists the files of committed tasks in order; files of lost or
+Files are written and read through Arrow's file systems, so a folder may be on any store that it knows by its address. A
+folder of files has a manifest, written by Spark, that lists the files of committed tasks in order; files of lost or
 repeated attempts have other names, are in no manifest and are never read.
 
 Null texts count as empty: such documents hold the end id only. Null document ids come first. Repeated ids each keep
@@ -15,7 +16,6 @@ their own entry; among them the order follows the text. Other columns are not re
 
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
