@@ -1,6 +1,5 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from stocklens.operators import joins, rollups, scope, topk
 from stocklens.plans import analytics, insights
