@@ -33,9 +33,9 @@ def sparse(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
 
 
 def _blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
-    """Rows packed into blocks of about ``size``: block, ids and weights by row."""
+    """Rows packed into blocks of about ``size``, also where one id has very many: block, and ids and weights by row."""
     count = max(1, -(-total // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(count)))
     return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "weights"))).alias("rows"))
 
 
