@@ -66,12 +66,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Shorter batches: at most ``rows`` rows and about ``size`` bytes, but one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Shorter batches: at most ``rows`` rows and about ``size`` bytes, but one row at least.
+
+    A worker process outlives its task; memory that Arrow holds but does not use goes back in between.
+    """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def together(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
