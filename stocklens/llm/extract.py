@@ -54,6 +54,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
+#: Class names that say what an element is combined with, not what it is.
+ABOUT = re.compile(r"(?:has|with|no|without|not|js)[-_]")
 
 
 @dataclass
@@ -78,8 +80,9 @@ def _around(tag: str, attributes: str, in_article: bool) -> bool:
     if HIDDEN.search(attributes):
         return True
     for found in ATTRIBUTE.finditer(attributes):
-        if not BOILER_WORDS.isdisjoint(WORDS.findall((found[1] or found[2] or found[3] or "").lower())):
-            return True
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            if not BOILER_WORDS.isdisjoint(WORDS.findall(name)) and not ABOUT.match(name):
+                return True
     return False
 
 

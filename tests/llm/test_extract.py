@@ -49,6 +49,7 @@ def test_page_without_semantic_tags(tree):
         ("<article><p title='a > b'>In</p><p cla", "In"),
         ("<article><header><h1>Head</h1></header><p>Text.</p><aside>not this</aside><div class='comments'><p>nor this</p></div></article>", "Head Text."),
         ("<main><ul><li>first</li><li>second</li></ul><table><tr><td>cell</td></tr></table></main>", "first second cell"),
+        ("<article><div class='text with-sidebar'><p>kept</p></div><div class='x share-bar'><p>gone</p></div></article>", "kept"),
         ("<article><div style='display: none'>gone</div><p>here<br>and\n\n there</p></article><header>top</header>", "here and there"),
     ],
 )
