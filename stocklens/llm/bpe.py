@@ -115,8 +115,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter = [next((rank[w[:k]] for k in range(len(w) - 1, 0, -1) if w[:k] in rank), -1) for w in vocabulary.words]
         self.packed = [np.uint32(i).tobytes() for i in vocabulary.ids]
-        self.apart = Memo(lambda pair: vocabulary.stays_apart(*pair), 40_000)
-        self.pieces = Memo(self.encode_piece, 60_000)
+        self.apart = Memo(lambda pair: vocabulary.stays_apart(*pair), 120_000)
+        self.pieces = Memo(self.encode_piece, 150_000)
         self.pattern, self.ascii = regex.compile(SPLIT), regex.compile(SPLIT_ASCII)
         self.added = {s: np.uint32(i).tobytes() for s, i in vocabulary.added.items() if s}
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
