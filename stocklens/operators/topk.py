@@ -4,12 +4,15 @@
 ends in keys that reproduce the first-seen order of the rows, so ties are settled the same way each time.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stocklens.functions import columns as C
 from stocklens.functions.ranking import top_rows
 from stocklens.operators import joins, rollups, scope
 from stocklens.schemas import DASHBOARD_LOW_STOCK
+from stocklens.session import WorkTables
 
 
 def product_facts(inventory: DataFrame, sales: DataFrame) -> DataFrame:
@@ -69,6 +72,21 @@ def sort_catalog(rows: DataFrame, mode: str = "newest", items: DataFrame | None
     return rows.orderBy(F.desc("id"))
 
 
+def positions(orderings: dict[str, DataFrame], work: WorkTables) -> DataFrame:
+    """All rows of ordered tables, with the table's name as ``mode`` and their ``position`` (from 1) in it.
+
+    Spark sorts by ranges, one to a task. The sorted rows are written once, numbered within their ranges, because ranges
+    drawn anew could differ; the sizes of the ranges, one row for each task, give what comes before.
+    """
+    placed = [df.select(F.lit(mode).alias("mode"), F.monotonically_increasing_id().alias("_at"), "*") for mode, df in orderings.items()]
+    # the upper bits number the task, the lower 33 its rows
+    rows = work.keep(reduce(DataFrame.unionByName, placed), "rows").withColumn("_range", F.shiftright("_at", 33))
+    before = Window.partitionBy("mode").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("mode", "_range").count().select("mode", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(offsets), ["mode", "_range"]).withColumn("position", F.col("_before") + within).drop("_at", "_range", "_before")
+
+
 def recent(df: DataFrame, n: int, time_col: str = "created_at", id_col: str = "id") -> DataFrame:
     return top_rows(df, n, F.desc(time_col), F.desc(id_col))
 

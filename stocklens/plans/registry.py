@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stocklens.functions import columns as C
 from stocklens.operators import changes, ingest, joins, rollups, scope, topk
@@ -648,15 +648,10 @@ def dashboard_low_stock(t):
 
 @query
 def sort_catalog(t):
-    """The first rows of every ordering, with their positions."""
+    """Every ordering of all rows, with their positions."""
     rows = scope.report_inventory(t.inventory_data)
-    modes = [
-        topk.sort_catalog(rows, mode, t.order_items).limit(200).select(F.lit(mode).alias("mode"), F.monotonically_increasing_id().alias("at"), "id")
-        for mode in ("newest", "price", "stock", "popularity")
-    ]
-    both = reduce(DataFrame.unionByName, modes)
-    nth = F.row_number().over(Window.partitionBy("mode").orderBy("at"))
-    return both.withColumn("position", nth).drop("at")
+    modes = ("newest", "price", "stock", "popularity")
+    return topk.positions({mode: topk.sort_catalog(rows, mode, t.order_items).select("id") for mode in modes}, WorkTables(t.spark, "sorted"))
 
 
 @query

@@ -1,12 +1,16 @@
 """One key holds a third of all rows, and no side is broadcast."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from stocklens.functions import skew
 from stocklens.operators import changes, joins, topk
+from stocklens.plans import registry
+from stocklens.session import WorkTables
+from stocklens.sources.adapters import Tables
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -130,3 +134,18 @@ def test_hot_user_in_cart_additions(strict):
     lines, verdicts = changes.merge_cart(cart, adds, stock, catalogs)
     assert {r.verdict: r["count"] for r in verdicts.groupBy("verdict").count().collect()} == {"added": ROWS // 3}
     assert lines.agg(F.sum("quantity")).first()[0] == ROWS // 3
+
+
+def test_every_row_of_an_ordering_has_its_position(strict):
+    rows = strict.range(0, 5000, 1, 6).select("id", (F.col("id") * 7919 % 13).alias("price"))
+    work = WorkTables(strict, "sorted")
+    got = topk.positions({"price": rows.orderBy("price", F.desc("id")), "newest": rows.orderBy(F.desc("id")), "none": rows.limit(0)}, work).collect()
+    want = {"price": sorted(range(5000), key=lambda i: (i * 7919 % 13, -i)), "newest": list(range(4999, -1, -1))}
+    assert sorted((r.mode, r.position, r.id) for r in got) == sorted((mode, n, i) for mode, ids in want.items() for n, i in enumerate(ids, 1))
+
+
+def test_sorted_catalogs_have_all_rows(spark, sf_dir):
+    folder = f"{Path(sf_dir).parent}/sf0.01"
+    total = Tables(spark, folder).inventory_data.count()
+    got = registry.queries()["sort_catalog"](spark, folder).groupBy("mode").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("position").alias("places"), F.max("position").alias("last"))
+    assert total > 200 and sorted(got.collect()) == [(mode, total, total, total, total) for mode in ("newest", "popularity", "price", "stock")]
