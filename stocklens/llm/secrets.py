@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and character Markov models.
 
-Three patterns find secrets of known shape. Any other long run of key-like characters is judged by two character Markov
-models, one of random strings and one of ordinary identifiers: it is a secret if the log-likelihood ratio of the two is
+Three patterns find secrets of known shape. Any other long run of key-like characters, or what the patterns leave of one,
+is judged by two character Markov models, one of random strings and one of ordinary identifiers: it is a secret if the log-likelihood ratio of the two is
 high enough, in sum and for each character. Both models are trained from labelled samples: strings drawn at random over
 the usual alphabets, identifiers put together from the parts below, and, from a bounded sample of the documents, words
 that no pattern matches (ordinary) and the values that patterns match (random).
@@ -26,7 +26,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Words that identifiers are put together from.
 PARTS = """account action active admin amount application async available balance batch begin block boolean buffer build
@@ -148,18 +149,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
 
 def spans(whole: str, model: Markov | None) -> list[tuple[int, int, int]]:
-    """Pattern matches and, between them, candidates that the models call random; sorted."""
+    """Pattern matches and what the models call random of the candidates between and around them; sorted.
+
+    What patterns match is cut out of a candidate first; every piece of ``LEAST`` characters or more is judged alone.
+    """
     base = base_spans(whole)
     if model is None:
         return base
-    taken = [(a, b) for a, _, b in base]
-    more = []
+    more, k = [], 0
     for m in CANDIDATE.finditer(whole):
-        if model.is_secret(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-            more.append((m.start(), 3, m.end()))
+        while k < len(base) and base[k][2] <= m.start():
+            k += 1
+        at, n = m.start(), k
+        while n < len(base) and base[n][0] < m.end():
+            more += _random(whole, at, base[n][0], model)
+            at, n = max(at, base[n][2]), n + 1
+        more += _random(whole, at, m.end(), model)
     return sorted(base + more)
 
 
+def _random(whole: str, start: int, end: int, model: Markov) -> list[tuple[int, int, int]]:
+    return [(start, 3, end)] if end - start >= LEAST and model.is_secret(whole[start:end]) else []
+
+
 def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in found)
 
