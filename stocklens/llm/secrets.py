@@ -2,9 +2,9 @@
 
 Three patterns find secrets of known shape. Any other long run of key-like characters, or what the patterns leave of one,
 is judged by two character Markov models, one of random strings and one of ordinary identifiers: it is a secret if the log-likelihood ratio of the two is
-high enough, in sum and for each character. Both models are trained from labelled samples: strings drawn at random over
-the usual alphabets, identifiers put together from the parts below, and, from a bounded sample of the documents, words
-that no pattern matches (ordinary) and the values that patterns match (random).
+high enough, in sum and for each character. Both models are trained from fixed labelled strings, drawn at random over the
+usual alphabets or put together from the parts below, and from all documents: words that no pattern matches (ordinary)
+and the values that patterns match (random). Pairs of characters are summed up by Spark.
 
 Null texts count as empty and have no span. Texts are scanned whole; spans are code points, the end exclusive. Rows are
 independent, so repeated rows give equal results. Columns but id and text are not read, and ``redact`` keeps them all.
@@ -43,8 +43,11 @@ return root route row schedule schema scope search section select server service
 single size snapshot sort source stack state static status store stream string submit suffix summary symbol
 system table task template test time timeout title total trace transaction tree type unique update upload user
 validate value variable version view visible weight widget width worker wrapper write""".split()
-#: Documents that words and values are taken from, at most about this many.
-SAMPLE = 2_000
+#: Words of documents count as ordinary from this length on.
+LEAST_WORD = 4
+#: The number of a character by its byte; 0 for others and for a start.
+_CODES = np.zeros(256, np.int64)
+_CODES[list(CHARACTERS.encode())] = np.arange(1, len(CHARACTERS) + 1)
 #: A candidate is a secret from this log-likelihood ratio on, in sum and for each character.
 LEAST_SUM, LEAST_MEAN = 10.0, 0.45
 
@@ -92,27 +95,29 @@ def identifiers(count: int = 8000, seed: int = 6) -> list[str]:
     return out
 
 
-class Markov:
-    """Log-likelihood ratio of random to ordinary for each pair of neighbouring characters."""
+def pair_counts(texts: list[str], least: int = 1) -> np.ndarray:
+    """How often a character follows another, or (in row 0) begins a run, over all runs of ``least`` characters or more."""
+    n = len(CHARACTERS) + 1
+    codes = _CODES[np.frombuffer("\n".join(["", *texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)]
+    inside = codes > 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    lengths = edges[1::2] - edges[::2]
+    firsts, chars = np.cumsum(lengths) - lengths, codes[inside].astype(np.int64)
+    before = np.concatenate([[0], chars[:-1]])[: len(chars)]
+    before[firsts] = 0
+    kept = np.repeat(lengths >= least, lengths)
+    return np.bincount(before[kept] * n + chars[kept], minlength=n * n).reshape(n, n)
 
-    def __init__(self, random: dict[str, int], ordinary: dict[str, int], smooth: float = 0.5):
-        self.number = {c: k for k, c in enumerate(CHARACTERS, start=1)}
-        a, b = self._logs(random, smooth), self._logs(ordinary, smooth)
-        self.ratio = a - b
 
-    def _logs(self, samples: dict[str, int], smooth: float) -> np.ndarray:
-        counts = np.full((len(CHARACTERS) + 1, len(CHARACTERS) + 1), smooth)
-        for word, times in samples.items():
-            codes = self.codes(word)
-            np.add.at(counts, (codes[:-1], codes[1:]), times)
-        return np.log(counts / counts.sum(axis=1, keepdims=True))
+class Markov:
+    """Log-likelihood ratio of random to ordinary for each pair of neighbouring characters, from the counts of pairs."""
 
-    def codes(self, word: str) -> np.ndarray:
-        """Characters' numbers behind a start; unknown ones are numbered as the start."""
-        return np.array([0, *(self.number.get(c, 0) for c in word)])
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, smooth: float = 0.5):
+        a, b = (np.log((counts + smooth) / (counts + smooth).sum(axis=1, keepdims=True)) for counts in (random, ordinary))
+        self.ratio = a - b
 
     def sum(self, word: str) -> float:
-        codes = self.codes(word)
+        codes = np.concatenate([[0], _CODES[np.frombuffer(word.encode(), np.uint8)]])
         return float(self.ratio[codes[:-1], codes[1:]].sum())
 
     def is_secret(self, word: str) -> bool:
@@ -122,30 +127,37 @@ class Markov:
         return total >= LEAST_SUM and total >= LEAST_MEAN * len(word)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Markov:
-    """Models from the labelled samples; of the documents, those with the lowest digests of their ids up to ``sample``."""
+def train(docs: DataFrame, text_col: str = "text") -> Markov:
+    """Models from the fixed strings and from all documents, of which only sums by pair of characters reach the driver."""
+    n = len(CHARACTERS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, words = [], []
+        sums = np.zeros((2, n, n), np.int64)
+        for batch in slices(batches):
+            values, rest = [], []
             for whole in batch.column(0).to_pylist():
-                rest, at = [], 0
+                at = 0
                 for start, kind, end in base_spans(whole):
-                    values.append((ASSIGN.match(whole, start) or [None] * 3)[2] if not kind else whole[start:end])
-                    rest.append(whole[at:start]) if start > at else None
+                    values.append(whole[start:end] if kind else ASSIGN.match(whole, start)[2])
+                    rest.append(whole[at:start])
                     at = max(at, end)
-                words += [w for part in [*rest, whole[at:]] for w in re.findall(r"[A-Za-z0-9+/_=-]{4,}", part)]
-            for label, found in ((True, values), (False, words)):
-                some = pa.array(found, pa.string()).value_counts()
-                yield pa.RecordBatch.from_arrays([some.field("values"), some.field("counts"), pa.array([label] * len(some), pa.bool_())], names=["word", "times", "random"])
+                rest.append(whole[at:])
+            sums[0] += pair_counts(rest, LEAST_WORD)
+            sums[1] += pair_counts(values)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums.ravel()[found], pa.int64())], names=["pair", "times"])
+
+    counts = docs.select(text(text_col).alias("text")).mapInArrow(run, "pair bigint, times bigint")
+    rows = counts.groupBy("pair").agg(F.sum("times").alias("times")).toPandas()
+    sums = np.zeros(2 * n * n)
+    sums[rows["pair"].to_numpy(int)] = rows["times"].to_numpy(float)
+    ordinary, random = sums.reshape(2, n, n)
+    return Markov(_both(pair_counts(random_strings()), random), _both(pair_counts(identifiers()), ordinary))
+
 
-    total = docs.count()
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("secrets")), F.lit(1_000_003)) * max(total, 1) < sample * 1_000_003)
-    counts = chosen.select(text(text_col).alias("text")).mapInArrow(run, "word string, times bigint, random boolean")
-    # the sample is bounded, and so are its words; per word, once is enough
-    rows = counts.groupBy("word").agg(F.max("random").alias("random")).toPandas()
-    ordinary = dict.fromkeys([*identifiers(), *rows["word"][~rows["random"].astype(bool)]], 1)
-    return Markov(dict.fromkeys([*random_strings(), *rows["word"][rows["random"].astype(bool)]], 1), ordinary)
+def _both(fixed: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Sums of both; those of documents weigh as much as those of the fixed strings at most, so the table's size does not tell."""
+    return fixed + found * min(1.0, fixed.sum() / max(1.0, found.sum()))
 
 
 def spans(whole: str, model: Markov | None) -> list[tuple[int, int, int]]:
@@ -178,7 +190,7 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of the patterns' kinds, digest of their spans, and all spans of every document."""
-    model = train(docs, id_col, text_col)
+    model = train(docs, text_col)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +215,9 @@ def without_spans(whole: str, found: list[tuple[int, int, int]], mark: str) -> s
     return "".join([*parts, whole[at:]])
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """The documents, each span of a secret (overlapping ones together) replaced by ``mark``; null texts stay null."""
-    model = train(docs, id_col, text_col)
+    model = train(docs, text_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stocklens.llm import secrets
@@ -59,6 +60,28 @@ def test_models_tell_held_out_samples_apart(model):
     assert sum(map(model.is_secret, ordinary)) / len(ordinary) < 0.01
 
 
+def test_pair_counts():
+    texts = ["ab-ab é abc", "", "é", "b=b\nabcd."]
+    want = {}
+    for word in re.findall("[A-Za-z0-9+/_=-]{3,}", "\n".join(texts)):
+        for pair in zip([None, *word], word):  # noqa: B905
+            want[pair] = want.get(pair, 0) + 1
+    number = {None: 0} | {c: k for k, c in enumerate(secrets.CHARACTERS, start=1)}
+    got = secrets.pair_counts(texts, 3)
+    assert got.sum() == sum(want.values()) and all(got[number[a], number[b]] == n for (a, b), n in want.items())
+    assert secrets.pair_counts([]).sum() == 0
+
+
+def test_models_come_from_all_documents(make_docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij_", k=rng.randrange(8, 16))) for _ in range(10))) for i in range(3000)]
+    once, twice = (secrets.train(make_docs(r)) for r in (rows, rows + [(i + 3000, t) for i, t in rows]))
+    assert np.allclose(once.ratio, twice.ratio)
+    found = np.array(secrets.pair_counts([t for _, t in rows], 4))
+    whole = secrets.Markov(secrets.pair_counts(secrets.random_strings()), secrets._both(secrets.pair_counts(secrets.identifiers()), found))
+    assert np.allclose(once.ratio, whole.ratio)
+
+
 def test_clean_documents_have_no_more_spans(model, documents):
     texts = [r.text for r in documents.select("text").collect()]
     clean = [t for t in texts if not plain_spans(t)]
