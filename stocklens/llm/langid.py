@@ -7,12 +7,11 @@ language of a document is that of its frame, if it begins and ends in one langua
 more, because what stands between is then a quotation; else the label with the most letters. The score is the share of
 its letters.
 
-Models are counted over a sample of the labelled documents outside the held-out fold, about ``SAMPLE`` of them by digest
-of their ids, all if there are fewer.
+Models are counted over all labelled documents outside the held-out fold.
 
 Texts that are null or have no letter are ``und`` with score 0 and no span. Texts are read whole; words are split at
 ASCII white space. Rows without language do not train. Letters of a script no language was seen in are neutral; a text of
-such letters only gets the commonest language of the sample with score 0. If no row can train, everything with letters
+such letters only gets the commonest labelled language with score 0. If no row can train, everything with letters
 is ``und``. Rows are independent; columns but those named are not read.
 """
 
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import held_out, slices, split_words, text, together
+from stocklens.llm.common import held_out, split_words, text, together
 
 #: First code points of script blocks; letters between two belong to the earlier one.
 SCRIPTS = {
@@ -39,7 +38,8 @@ SCRIPTS = {
 }
 BUCKETS = 1 << 16
 ORDERS = 4
-SAMPLE = 20_000
+#: Languages that a task counts before it hands the sums on.
+HELD = 256
 #: A language is a candidate in a script that has this share of its letters or more.
 LEAST_SHARE = 0.01
 SWITCH = 12.0
@@ -121,8 +121,8 @@ def viterbi(scores: np.ndarray, words: np.ndarray, borders: np.ndarray, penalty:
     starts, lengths = borders[:-1][order], lengths[order]
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # documents longer than t
-    labels = np.zeros(len(words), np.int8)
-    best_before, stayed = np.zeros(len(words), np.int8), np.zeros((len(words), scores.shape[1]), bool)
+    labels = np.zeros(len(words), np.int32)
+    best_before, stayed = np.zeros(len(words), np.int32), np.zeros((len(words), scores.shape[1]), bool)
     value = np.zeros((len(lengths), scores.shape[1]), np.float32)
     for t in range(steps):
         n = active[t]
@@ -135,7 +135,7 @@ def viterbi(scores: np.ndarray, words: np.ndarray, borders: np.ndarray, penalty:
             best_before[at], stayed[at] = best, keep
             now = np.where(keep, now, switched[:, None])
         value[:n] = now + scores[words[at]]
-    current = value.argmax(axis=1).astype(np.int8)
+    current = value.argmax(axis=1).astype(np.int32)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
@@ -149,43 +149,48 @@ def viterbi(scores: np.ndarray, words: np.ndarray, borders: np.ndarray, penalty:
 def _counted(docs: DataFrame) -> DataFrame:
     """Counts of n-gram buckets (n > 0) and of letters by script (n = 0) for each language; ``docs`` has lang and text."""
 
+    def rows(sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (grams, scripts) in sums.items():
+            found, seen = np.flatnonzero(grams), np.flatnonzero(scripts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * (len(found) + len(seen)), pa.string()),
+                    pa.array(np.concatenate([found, seen]), pa.int64()),
+                    pa.array(np.repeat([False, True], [len(found), len(seen)])),
+                    pa.array(np.concatenate([grams[found], scripts[seen]]), pa.int64()),
+                ],
+                names=["lang", "number", "script", "times"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in together(batches):
             langs = batch.column(0)
             for lang in pc.unique(langs).to_pylist():
                 words, chosen, _ = split_words(batch.column(1).filter(pc.equal(langs, lang)))
                 buckets, counts, starts, letters, script = _grams(words)
                 times = np.bincount(chosen, minlength=len(words))
                 by_place = np.repeat(times, np.diff(np.append(starts, buckets.shape[1])))
-                grams = np.zeros(BUCKETS, np.int64)
+                if lang not in sums and len(sums) >= HELD:
+                    yield from rows(sums)
+                    sums = {}
+                grams, scripts = sums.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)))
                 for n in range(ORDERS):
                     grams += np.bincount(buckets[n, counts[n]], weights=by_place[counts[n]], minlength=BUCKETS).astype(np.int64)
-                found = np.flatnonzero(grams)
-                scripts = np.bincount(script, weights=letters * times, minlength=len(SCRIPTS) + 1).astype(np.int64)
-                seen = np.flatnonzero(scripts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * (len(found) + len(seen)), pa.string()),
-                        pa.array(np.concatenate([found, seen]), pa.int64()),
-                        pa.array(np.repeat([False, True], [len(found), len(seen)])),
-                        pa.array(np.concatenate([grams[found], scripts[seen]]), pa.int64()),
-                    ],
-                    names=["lang", "number", "script", "times"],
-                )
+                scripts += np.bincount(script, weights=letters * times, minlength=len(SCRIPTS) + 1).astype(np.int64)
+        yield from rows(sums)
 
     counted = docs.mapInArrow(run, "lang string, number bigint, script boolean, times bigint")
     return counted.groupBy("lang", "number", "script").agg(F.sum("times").alias("times"))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, smooth: float = 0.5) -> Model | None:
-    """The model of a sample of labelled documents outside the held-out fold.
+def train(docs: DataFrame, smooth: float = 0.5) -> Model | None:
+    """The model of all labelled documents outside the held-out fold.
 
     Only counts reach the driver: at most ``BUCKETS`` and the number of scripts for each language.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    total = labelled.count()
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) * max(total, 1) < sample * 1_000_003)
-    rows = _counted(chosen.select(F.col("lang").cast("string").alias("lang"), text("text").alias("text"))).toPandas()
+    rows = _counted(labelled.select(F.col("lang").cast("string").alias("lang"), text("text").alias("text"))).toPandas()
     if not len(rows):
         return None
     languages = sorted(rows["lang"].unique())

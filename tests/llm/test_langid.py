@@ -92,6 +92,21 @@ def test_scripts_narrow_the_candidates(spark, make_docs):
     assert row.lang_pred in ("xx", "yy") and row.score == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    common = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("abc bcd cde").alias("text"), F.lit("xx").alias("lang"))
+    rare = spark.createDataFrame([(10**6 + i, "xyz yzx zxy", "rare") for i in range(6)], "doc_id bigint, text string, lang string")
+    model = langid.train(common.unionByName(rare))
+    assert model.languages == ["rare", "xx"]
+    assert [r.lang_pred for r in langid.predict(rare, model).collect()] == ["rare"] * 6
+
+
+def test_more_languages_than_a_byte_counts():
+    scores = np.full((300, 300), -30, np.float32)
+    np.fill_diagonal(scores, 0)
+    words = np.repeat(np.arange(300), 2)
+    assert langid.viterbi(scores, words, np.array([0, 600]), 1.0).tolist() == words.tolist()
+
+
 def test_odd_rows(odd_docs, no_docs, make_docs):
     rows = langid.identify(odd_docs).collect()
     assert len(rows) == 12
