@@ -9,7 +9,7 @@ digest of their ids, all if there are fewer, of each at most ``SAMPLE_PASSAGES``
 the fit needs is bounded. Scoring reads every passage of every text.
 
 Null and empty texts are one passage without words, scored like any other. Several labels of one document are averaged,
-0.5 counts as 1; null labels and labels of unknown documents do not train. Without any label all scores are 0.5. Rows
+0.5 counts as 1; of several texts of one id, one trains; null labels and labels of unknown documents do not train. Without any label all scores are 0.5. Rows
 are independent, so repeated rows score equally; columns but those named are not read, and ``keep_good`` keeps them all.
 """
 
@@ -172,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text("text").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id bigint, quality int, bag binary")
-    found = rows.toPandas().sort_values(["doc_id", "bag"])  # in an order that does not depend on tasks
+    # of an id that several rows have, one bag, so that the rows on the driver are as many as the ids chosen
+    one_each = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("bag").alias("bag"))
+    found = one_each.toPandas().sort_values("doc_id")  # in an order that does not depend on tasks
     if not len(found):
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, len(CLASSES) + len(OF_WORDS)) for b in found["bag"]]

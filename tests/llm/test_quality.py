@@ -94,3 +94,13 @@ def test_odd_rows(spark, odd_docs, no_docs, make_docs):
     kept = quality.keep_good(odd_docs, labels.limit(0))
     assert kept.columns == odd_docs.columns and kept.count() == 12
     assert quality.keep_good(no_docs, labels).count() == 0
+
+
+def test_of_a_repeated_id_one_text_trains(spark, documents, sf_dir, monkeypatch):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: fitted.append((len(bags), [b.tobytes() for b in bags], y.tolist())))
+    one = documents.join(labels.select("doc_id"), "doc_id", "left_semi").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").orderBy("doc_id").limit(1)
+    for docs in (documents, documents.unionByName(one.crossJoin(spark.range(50)).drop("id"))):
+        quality.train(docs, labels)
+    assert fitted[0] == fitted[1] and fitted[0][0] > 10
