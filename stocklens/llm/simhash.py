@@ -199,21 +199,28 @@ def near_copies(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component, with all columns: that of the smallest id; of repeated rows of that id, one.
+    """One document of each component, with all columns: of the rows of the smallest id, one of the smallest fingerprint.
 
     A component without any id keeps one of its rows of the smallest fingerprint.
     """
     found = near_copies(docs, shingle, radius)
     kept_id, print_of, print_kept = unused(docs, "_kept", "_print", "_print_kept")
-    kept = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("times")), "kept")
+    of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(bytes(t), shingle)), "bigint")
+    is_first = F.col("doc_id") == F.col("component_id")
+    ids = found.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("times"), F.max(is_first).alias("first"))
+    kept = written(ids.filter("first"), "kept")
     # The ids to keep grow with the input, so they are never broadcast.
     one, several = (
         docs.join(kept.filter(which).select(kept_id).hint("merge"), F.col("doc_id") == F.col(kept_id), "left_semi") for which in ("times = 1", "times > 1")
     )
+    # rows that share an id are told apart by their fingerprints
+    firsts = found.filter(is_first).groupBy("label").agg(F.min("doc_id").alias(kept_id), F.min("fp").alias(print_kept)).drop("label")
+    firsts = firsts.join(kept.filter("times > 1").select(kept_id).hint("merge"), kept_id, "left_semi")
+    same = (F.col("doc_id") == F.col(kept_id)) & (F.col(print_of) == F.col(print_kept))
+    several = several.withColumn(print_of, of(utf8("text"))).join(firsts.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", print_of]).drop(print_of)
     alone = found.filter("doc_id is null and component_id is null and fp = label").select(F.col("fp").alias(print_kept)).distinct()
-    of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(bytes(t), shingle)), "bigint")
     without = docs.filter("doc_id is null").withColumn(print_of, of(utf8("text"))).join(alone, F.col(print_of) == F.col(print_kept), "left_semi")
-    return one.unionByName(several.dropDuplicates(["doc_id"])).unionByName(without.dropDuplicates([print_of]).drop(print_of))
+    return one.unionByName(several).unionByName(without.dropDuplicates([print_of]).drop(print_of))
 
 
 def digest(docs: DataFrame) -> DataFrame:

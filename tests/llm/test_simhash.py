@@ -120,3 +120,9 @@ def test_dedup_keeps_one_of_each(odd_docs, no_docs, make_docs):
     assert simhash.dedup(no_docs).count() == 0
     without = simhash.dedup(make_docs([(None, "same words here again"), (None, "Same words here again"), (None, "quite another text it is")]))
     assert without.count() == 2
+
+
+def test_dedup_of_an_id_with_different_texts(make_docs):
+    first, second, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("apple", "river", "stone"))
+    kept = simhash.dedup(make_docs([(1, first), (2, second), (2, first), (2, third), (2, third), (3, second), (4, third)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, first), (2, second), (2, third)]
