@@ -10,7 +10,8 @@ its letters.
 Models are counted over all labelled documents outside the held-out fold.
 
 Texts that are null or have no letter are ``und`` with score 0 and no span. Texts are read whole; words are split at
-ASCII white space. Rows without language do not train. Letters of a script no language was seen in are neutral; a text of
+ASCII white space. A word is scored in pieces where its script changes, and every 8 letters in scripts written without
+spaces; a span counts the words it begins, ends or goes on in, so two spans may share one. Rows without language do not train. Letters of a script no language was seen in are neutral; a text of
 such letters only gets the commonest labelled language with score 0. If no row can train, everything with letters
 is ``und``. Rows are independent; columns but those named are not read.
 """
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import held_out, split_words, text, together
+from stocklens.llm.common import gather, held_out, split_words, text, together
 
 #: First code points of script blocks; letters between two belong to the earlier one.
 SCRIPTS = {
@@ -46,6 +47,10 @@ SWITCH = 12.0
 #: A language at both ends of a text is the text's if it has this share of the letters.
 FRAME_SHARE = 0.2
 NEVER = -30.0
+#: Scripts written without spaces, by number, and the letters that a piece of such a run has.
+UNSPACED = np.array([False, *(name in ("thai", "lao", "tibetan", "myanmar", "khmer", "kana", "han") for name in SCRIPTS)])
+PIECE = 8
+OTHER = list(SCRIPTS).index("other") + 1
 
 
 @lru_cache(maxsize=1)
@@ -90,6 +95,46 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return buckets, counts, starts, letters, script
 
 
+def _pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words cut where the script changes, and in scripts without spaces into ``PIECE`` letters; and the number of pieces of each."""
+    ones = np.ones(len(words), np.int64)
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(points) or points.max() < 0x0370:  # nothing but Latin letters
+        return words, ones
+    scripts = letter_scripts()[points]
+    scripts = np.where(scripts == OTHER, 0, scripts)  # modifier letters and such go with the letters around
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+    at = np.flatnonzero(scripts)
+    word, script = np.repeat(np.arange(len(words)), lengths)[at], scripts[at]
+    fresh = np.concatenate([[True], word[1:] != word[:-1]])[: len(at)]
+    begins = fresh | np.concatenate([[True], script[1:] != script[:-1]])[: len(at)]
+    place = np.arange(len(at))
+    within = place - np.maximum.accumulate(np.where(begins, place, 0)) if len(at) else place
+    cut = (begins & ~fresh) | (UNSPACED[script] & (within > 0) & (within % PIECE == 0))
+    if not cut.any():
+        return words, ones
+    starts = np.cumsum(lengths) - lengths
+    cuts: dict[int, list[int]] = {}
+    for number, point in zip(word[cut].tolist(), (at - starts[word])[cut].tolist(), strict=True):
+        cuts.setdefault(number, [0]).append(point)
+    out = []
+    for number, whole in enumerate(words.to_pylist()):
+        some = cuts.get(number)
+        out += [whole[a:b] for a, b in zip(some, [*some[1:], None], strict=True)] if some else [whole]
+        ones[number] = len(some) if some else 1
+    return pa.array(out, pa.string()), ones
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces, the pieces of all texts as numbers of them, where each text's begin, each piece's word, where each text's words begin."""
+    distinct, words, borders = split_words(texts)
+    pieces, counts = _pieces(distinct)
+    if len(pieces) == len(distinct):
+        return distinct, words, borders, np.arange(len(words)), borders
+    chosen, ends = gather(np.concatenate([[0], np.cumsum(counts)]), np.arange(len(pieces)), words)
+    return pieces, chosen, np.concatenate([[0], ends])[borders], np.repeat(np.arange(len(words)), counts[words]), borders
+
+
 @dataclass
 class Model:
     """Languages, weights by n-gram bucket and language, allowed languages by script, and the commonest language."""
@@ -167,7 +212,7 @@ def _counted(docs: DataFrame) -> DataFrame:
         for batch in together(batches):
             langs = batch.column(0)
             for lang in pc.unique(langs).to_pylist():
-                words, chosen, _ = split_words(batch.column(1).filter(pc.equal(langs, lang)))
+                words, chosen, *_ = _split(batch.column(1).filter(pc.equal(langs, lang)))
                 buckets, counts, starts, letters, script = _grams(words)
                 times = np.bincount(chosen, minlength=len(words))
                 by_place = np.repeat(times, np.diff(np.append(starts, buckets.shape[1])))
@@ -215,7 +260,7 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = SWITCH, id_co
         model = sent.value or Model(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros((len(SCRIPTS) + 1, 1), bool), 0)
         count, languages = len(model.languages), np.array(model.languages, object)
         for batch in together(batches):
-            distinct, words, borders = split_words(batch.column(1))
+            distinct, words, borders, word_of, word_borders = _split(batch.column(1))
             scores, letters = model.score_words(distinct)
             labels = viterbi(scores, words, borders, penalty)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(borders))
@@ -230,10 +275,12 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = SWITCH, id_co
             score = mass[np.arange(batch.num_rows), best] / np.maximum(every, 1)
             # a run of one label is a span; texts without letter have none
             begins = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])])) if len(words) else np.zeros(0, np.int64)
-            begins_in, sizes = doc[begins], np.diff(np.append(begins, len(words)))
+            begins_in = doc[begins]
+            first_word, last_word = word_of[begins], word_of[np.append(begins[1:], len(words)) - 1] if len(words) else begins
+            sizes = last_word - first_word + 1
             kept = every[begins_in] > 0
             offsets = np.concatenate([[0], np.cumsum(np.bincount(begins_in[kept], minlength=batch.num_rows))])
-            parts = [pa.array(languages[labels[begins[kept]]].tolist(), pa.string()), pa.array((begins - borders[begins_in])[kept], pa.int64()), pa.array(sizes[kept], pa.int64())]
+            parts = [pa.array(languages[labels[begins[kept]]].tolist(), pa.string()), pa.array((first_word - word_borders[begins_in])[kept], pa.int64()), pa.array(sizes[kept], pa.int64())]
             spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(span)))
             predicted = pa.array(np.where(every > 0, languages[best], "und").tolist(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), predicted, pa.array(np.where(every > 0, score, 0.0)), spans], names=names)

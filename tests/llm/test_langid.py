@@ -92,6 +92,25 @@ def test_scripts_narrow_the_candidates(spark, make_docs):
     assert row.lang_pred in ("xx", "yy") and row.score == 0
 
 
+def test_script_and_language_change_within_a_word(make_docs):
+    rng = random.Random(4)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = {"xx": ("abcdefgh", 6, 30), "zz": ("中文字学生大小人", 40, 3), "yy": ("春夏秋冬山川花鳥", 40, 3)}
+    rows = [(100 * k + i, " ".join(word(letters, size) for _ in range(count)), "s", lang) for k, (lang, (letters, size, count)) in enumerate(kinds.items()) for i in range(40)]
+    model = langid.train(make_docs(rows))
+    texts = ["abcdefgh" + word(kinds["zz"][0], 60), word(kinds["zz"][0], 64) + word(kinds["yy"][0], 40), "bad cab " + word(kinds["yy"][0], 9)]
+    got = {r.doc_id: r for r in langid.predict(make_docs(list(enumerate(texts))), model).collect()}
+    assert [got[k].lang_pred for k in range(3)] == ["zz", "zz", "yy"]
+    assert [[tuple(s) for s in got[k].spans] for k in range(3)] == [[("xx", 0, 1), ("zz", 0, 1)], [("zz", 0, 1), ("yy", 0, 1)], [("xx", 0, 2), ("yy", 2, 1)]]
+
+
+def test_pieces():
+    words = pa.array(["plain", "Python中文", "м\u02bcята", "абвabc1где", "", "中" * 20, "12中", "été"])
+    pieces, counts = langid._pieces(words)
+    assert counts.tolist() == [1, 2, 1, 3, 1, 3, 1, 1]
+    assert pieces.to_pylist() == ["plain", "Python", "中文", "м\u02bcята", "абв", "abc1", "где", "", "中" * 8, "中" * 8, "中" * 4, "12中", "été"]
+
+
 def test_a_rare_language_is_learned(spark):
     common = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("abc bcd cde").alias("text"), F.lit("xx").alias("lang"))
     rare = spark.createDataFrame([(10**6 + i, "xyz yzx zxy", "rare") for i in range(6)], "doc_id bigint, text string, lang string")
