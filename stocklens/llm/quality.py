@@ -9,8 +9,9 @@ digest of their ids, all if there are fewer, of each at most ``SAMPLE_PASSAGES``
 the fit needs is bounded. Scoring reads every passage of every text.
 
 Null and empty texts are one passage without words, scored like any other. Several labels of one document are averaged,
-0.5 counts as 1; of several texts of one id, one trains; null labels and labels of unknown documents do not train. Without any label all scores are 0.5. Rows
-are independent, so repeated rows score equally; columns but those named are not read, and ``keep_good`` keeps them all.
+0.5 counts as 1; of several texts of one id, one trains; null labels and labels of unknown documents do not train. Without any label all
+scores are 0.5; an empty table gives no rows. Sums are taken in an order that does not depend on the batch, so equal texts
+score equally bit by bit, alone or among others. Columns but those named are not read, and ``keep_good`` keeps them all.
 """
 
 from collections.abc import Iterator
@@ -88,6 +89,14 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([sums[:, : len(CLASSES)] / bytes_of, sums[:, len(CLASSES) :] / some, np.log2(1 + size)[:, None] / 6], axis=1).astype(np.float32), bags
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` summed column by column, so that a row's result does not depend on how many rows there are."""
+    out = np.zeros((len(x), *w.shape[1:]))
+    for column, weights in zip(np.ascontiguousarray(x.T), w, strict=True):
+        out += np.multiply.outer(column, weights)
+    return out
+
+
 def _within_bags(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0)
 
@@ -103,14 +112,14 @@ class Model:
     def forward(self, x: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
         starts = np.cumsum(bags) - bags
-        x = np.clip((x - self.mean) / self.spread, -8, 8)
-        encoded = np.tanh(x @ w["encode"] + w["encode_bias"])
-        tanh, gate = np.tanh(encoded @ w["tanh"]), 1 / (1 + np.exp(-(encoded @ w["gate"])))
-        raw = (tanh * gate) @ w["attend"]
+        x = np.clip((x.astype(np.float64) - self.mean) / self.spread, -8, 8)
+        encoded = np.tanh(_times(x, w["encode"]) + w["encode_bias"])
+        tanh, gate = np.tanh(_times(encoded, w["tanh"])), 1 / (1 + np.exp(-_times(encoded, w["gate"])))
+        raw = _times(tanh * gate, w["attend"])
         raw = np.exp(raw - np.repeat(np.maximum.reduceat(raw, starts), bags))
         attention = raw / np.repeat(_within_bags(raw, starts), bags)
         pooled = _within_bags(attention[:, None] * encoded, starts)
-        score = 1 / (1 + np.exp(-(pooled @ w["score"] + w["score_bias"])))
+        score = 1 / (1 + np.exp(-(_times(pooled, w["score"]) + w["score_bias"])))
         return {"x": x, "encoded": encoded, "tanh": tanh, "gate": gate, "attention": attention, "pooled": pooled, "score": score, "starts": starts}
 
     def gradients(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
@@ -131,7 +140,8 @@ class Model:
         return {k: g + decay * w[k] for k, g in out.items()}
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return self.forward(*passages(texts))["score"] if len(texts) else np.zeros(0)
+        """Scores to nine places; equal texts score equally whatever else is in the batch."""
+        return self.forward(*passages(texts))["score"].round(9) if len(texts) else np.zeros(0)
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-5, seed: int = 1) -> Model:
@@ -141,7 +151,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
     n = every.shape[1]
     layers = {"encode": (n, ENCODING), "encode_bias": (ENCODING,), "tanh": (ENCODING, GATE), "gate": (ENCODING, GATE), "attend": (GATE,), "score": (ENCODING,), "score_bias": (1,)}
     weights = {k: rng.normal(0, 1 / np.sqrt(shape[0]), shape) if "bias" not in k else np.zeros(shape) for k, shape in layers.items()}
-    model = Model(every.mean(axis=0), every.std(axis=0) + 1e-3, weights)
+    model = Model(every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3, weights)
     first, second, step = {k: np.zeros(s) for k, s in layers.items()}, {k: np.zeros(s) for k, s in layers.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))

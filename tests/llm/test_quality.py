@@ -78,6 +78,16 @@ def test_held_out_accuracy(spark, sf_dir, documents):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_scores_do_not_depend_on_the_batch(documents, spark, sf_dir):
+    model = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = [r.text or "" for r in documents.select("text").collect()][:400]
+    alone = np.concatenate([model.forward(*quality.passages(pa.array([t])))["score"] for t in texts])
+    for size in (7, 250):
+        parts = [model.forward(*quality.passages(pa.array(texts[at : at + size])))["score"] for at in range(0, len(texts), size)]
+        assert np.array_equal(alone, np.concatenate(parts))
+    assert np.array_equal(model.score(pa.array(texts)), alone.round(9))
+
+
 def test_fits_agree(documents, spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     first, second = (quality.train(documents.repartition(n), labels) for n in (2, 5))
