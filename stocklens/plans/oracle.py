@@ -531,7 +531,7 @@ _add(
     f", {ROWS}, {_POP} "
     + " UNION ALL ".join(
         f"SELECT * FROM (SELECT '{mode}' AS mode, id, row_number() OVER (ORDER BY {order}) AS position FROM inv LEFT JOIN pop USING (product_name)"
-        " QUALIFY position <= 200) s" for mode, order in _SORTS.items()
+        ") s" for mode, order in _SORTS.items()
     ),
 )
 _top("recent_activity", [LOG], "", "*", "t_activity_logs", "created_at DESC, activity_id DESC", 12)
