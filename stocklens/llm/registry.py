@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, ctph, extract, langid, mixing, quality, secrets, simhash, tokenfiles, topk
+from stocklens.llm import bpe, ctph, extract, langid, mixing, quality, runs, secrets, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.compare_with_next(table(spark, folder, "documents"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse(table(spark, folder, "documents"), edit=runs.repeat_tail)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints, op11_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
