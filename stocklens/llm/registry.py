@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, ctph, extract, langid, mixing, quality, runs, secrets, simhash, tokenfiles, topk
+from stocklens.llm import bpe, ctph, extract, langid, mixing, phrases, quality, runs, secrets, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,13 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse(table(spark, folder, "documents"), edit=runs.repeat_tail)
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints, op11_runs)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints, op11_runs, op12_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": topk.ORACLE_SQL, "op8_mix": mixing.ORACLE_SQL}
+    return {"op4_topk": topk.ORACLE_SQL, "op8_mix": mixing.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL}
