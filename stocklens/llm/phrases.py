@@ -5,17 +5,17 @@ language. Phrases of up to ``LONGEST`` words that occur ``least`` times or more
 
 1. **Sample.** One document in ``SAMPLE`` (by digest of id and text) proposes phrases that are frequent there at a
    lowered threshold. Proposals are a filter of fixed size at most (``FILTER_BITS``), by hash of language and phrase.
-2. **Full pass.** All documents are counted: every word, and every phrase whose two parts of one word less are both
-   proposed. These are the proposed phrases and their negative border. Hash clashes only make it count more.
-3. **Expansion.** A counted phrase that is frequent, but not proposed, is a border failure: longer phrases around it may
-   have been missed. All failures are proposed, and a further pass over all documents counts what it could not before:
-   phrases whose two parts are proposed or counted in this very pass. As it follows its own new phrases up to the
-   greatest length, whatever is frequent has been counted after it: the parts of a frequent phrase are frequent, so they
-   were proposed, failed, or are counted now. Without failures there is no such pass.
-
-Counts are summed by batch, task and shuffle with the phrase itself as key, so they are exact; only phrases that are
-frequent are joined with those of their parts. The best of each language are picked in two steps, within parts of the
-phrases and among what these leave.
+2. **Full pass.** Over all documents, every word is counted, and every phrase whose two parts of one word less are both
+   proposed: the proposed phrases and their negative border. Counts are summed by 64-bit hash, so rows stay short though
+   most of the border is rare. A hash that reaches ``least`` is hot; a phrase with another hash is not frequent.
+3. **Expansion.** A hot phrase that was not proposed is a border failure: longer phrases around it may have been missed.
+   A further pass counts, with the phrase itself as key and so exactly, what is hot, and what the pass before could not
+   count: phrases whose two parts are hot or counted in this very pass. As it follows its own new phrases up to the
+   greatest length, it closes the set: parts of a frequent phrase are frequent, so they are hot or counted now, and so is
+   the phrase itself.
+
+Clashing hashes only make the passes count more. Only phrases that are frequent are joined with those of their parts. The
+best of each language are picked in two steps, within parts of the phrases and among what these leave.
 
 Null texts count as empty, a null language as ``und``; a null id is as good as any. Repeated rows count each time. Ties go
 by the greater count, then by the phrase's bytes; an empty table gives no rows. Other columns are not read.
@@ -37,6 +37,8 @@ FILTER_BITS = 1 << 27
 #: Letters that are lowered, and what ends a piece.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ;:,!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Documents are counted together in batches of about so many rows or bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 COUNTS = "lang string, size int, phrase string, f bigint"
 
 
@@ -114,10 +116,10 @@ class Batch:
             self.hashes = word_hashes(self.texts)[self.words] ^ salt[self.lang]
         self.number = self.lang * max(len(self.texts), 1) + self.words
 
-    def longer(self, places: np.ndarray, size: int) -> np.ndarray:
+    def fits(self, places: np.ndarray, size: int) -> np.ndarray:
         """Which of the places have ``size`` words left in their piece."""
-        places = places[places + size <= len(self.words)]
-        return places[self.piece[places + size - 1] == self.piece[places]]
+        ends = np.minimum(places + size, len(self.words)) - 1
+        return (places + size <= len(self.words)) & (self.piece[ends] == self.piece[places])
 
     def phrase(self, place: int, size: int) -> str:
         return " ".join([self.texts[w] for w in self.words[place : place + size].tolist()])
@@ -129,51 +131,39 @@ class Batch:
         return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), size, np.int32)), phrase, pa.array(times, pa.int64())], names=["lang", "size", "phrase", "f"])
 
 
-def phrase_hashes(phrases: list[str], langs: list[str]) -> np.ndarray:
-    """The hashes that ``Batch`` gives to these phrases of these languages."""
-    out = np.zeros(len(phrases), np.uint64)
-    with np.errstate(over="ignore"):
-        salt = word_hashes(langs) * _STEP
-    for k, phrase in enumerate(phrases):
-        words = word_hashes(phrase.split(" ")) ^ salt[k]
-        for size in range(len(words)):
-            out[k] = words[0] if size == 0 else extended(out[k : k + 1], words[size : size + 1])[0]
-    return out
-
-
-def _proposals(docs: DataFrame, known: Filter | None, longest: int) -> DataFrame:
-    """hash and count by batch: of all words, or (with the frequent words known) of all phrases of such words."""
+def _hash_counts(docs: DataFrame, phrase_places) -> DataFrame:
+    """hash and times: of what ``phrase_places`` yields for each batch, arrays of hashes, summed up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in together(batches):
-            batch = Batch(texts.column(1), texts.column(0))
-            hashes, found = batch.hashes, []
-            if known is None:
-                found.append(hashes)
-            else:
-                good = np.append(known.has(hashes), False)
-                places = np.flatnonzero(good[:-1])
-                now = hashes[places]
-                for size in range(2, longest):
-                    kept = batch.longer(places, size)
-                    kept = kept[good[kept + size - 1]]
-                    now = extended(now[np.searchsorted(places, kept)], hashes[kept + size - 1])
-                    places = kept
-                    found.append(now)
+        for texts in together(batches, BATCH_ROWS, BATCH_BYTES):
+            found = list(phrase_places(Batch(texts.column(1), texts.column(0))))
             distinct, times = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(times, pa.int64())], names=["hash", "times"])
 
-    return docs.mapInArrow(run, "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
+    return docs.select("lang", "text").mapInArrow(run, "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
 
 
 def propose(docs: DataFrame, least: int, longest: int = LONGEST, sample: int = SAMPLE) -> Filter:
     """Phrases of up to ``longest - 1`` words that are frequent in the sample at a threshold lowered by two deviations."""
-    some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0).select("lang", "text")
+    some = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0)
     expected = least / sample
     lowered = max(2, int(expected - 2 * expected**0.5))
-    words = written(_proposals(some, None, longest).filter(F.col("times") >= lowered).select("hash"), "words")
+    words = written(_hash_counts(some, lambda batch: [batch.hashes]).filter(F.col("times") >= lowered).select("hash"), "words")
     known = sized(words.count()).with_hashes(words)
-    phrases = written(_proposals(some, known, longest).filter(F.col("times") >= lowered).select("hash"), "phrases")
+
+    def of_known_words(batch: Batch) -> Iterator[np.ndarray]:
+        good = known.has(batch.hashes)
+        places, hashes = np.flatnonzero(good), batch.hashes[good]
+        for size in range(2, longest):
+            fits = batch.fits(places, size)
+            fits[fits] = good[places[fits] + size - 1]
+            places = places[fits]
+            hashes = extended(hashes[fits], batch.hashes[places + size - 1])
+            yield hashes
+        if longest <= 2:
+            yield hashes[:0]
+
+    phrases = written(_hash_counts(some, of_known_words).filter(F.col("times") >= lowered).select("hash"), "phrases")
     members = words.unionByName(phrases)
     return sized(members.count()).with_hashes(members)
 
@@ -183,58 +173,62 @@ def sized(members: int) -> Filter:
     return Filter(min(FILTER_BITS, 1 << max(16, (32 * members).bit_length())))
 
 
-def count(docs: DataFrame, proposed: Filter, failed: Filter | None = None, longest: int = LONGEST) -> DataFrame:
-    """lang, size, phrase and f by batch, summed up: all words and the proposed phrases with their border.
+def steps(batch: Batch, proposed: Filter, hot: Filter | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size: the places of phrases to go on from, their hashes, whether the full pass counts them, and, as numbers
+    into the size before, where their first and their last part are.
 
-    With ``failed``, the filter that the border failures are in as well: only what the pass without it did not count. Size 0
-    is the number of all words of a language.
+    Without ``hot`` phrases grow from proposed parts, as in the full pass; with it, from parts that are hot or that the
+    full pass did not count.
     """
+    places, hashes, border = np.arange(len(batch.words)), batch.hashes, np.ones(len(batch.words), bool)
+    yield 1, places, hashes, border, places
+    for size in range(2, longest + 1):
+        known = border & proposed.has(hashes)
+        good = known if hot is None else ~border | hot.has(hashes)
+        slot = np.full(len(batch.words) + 1, -1, np.int64)
+        slot[places[good]] = np.flatnonzero(good)
+        at = np.flatnonzero(good)
+        at = at[batch.fits(places[at], size)]
+        behind = slot[places[at] + 1]
+        at, behind = at[behind >= 0], behind[behind >= 0]
+        places, border = places[at], known[at] & known[behind]
+        hashes = extended(hashes[at], batch.hashes[places + size - 1])
+        yield size, places, hashes, border, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in together(batches):
-            batch = Batch(texts.column(1), texts.column(0))
-            if failed is None:
-                yield batch.counted(np.arange(len(batch.langs)), 0, [""] * len(batch.langs), np.bincount(batch.lang, minlength=len(batch.langs)))
-            places, number, hashes = np.arange(len(batch.words)), batch.number, batch.hashes
-            known = proposed.has(hashes)  # was proposed, by the place where a phrase of the size so far begins
-            good = known if failed is None else failed.has(hashes)  # is proposed, or counted now
-            for size in range(1, longest + 1):
-                if size > 1:
-                    kept = batch.longer(places, size)
-                    at = np.searchsorted(places, kept)
-                    behind = np.searchsorted(places, kept + 1)
-                    whole = behind < len(places)
-                    whole[whole] = places[behind[whole]] == kept[whole] + 1
-                    kept, at, behind = kept[whole], at[whole], behind[whole]
-                    border, now = known[at] & known[behind], good[at] & good[behind]
-                    kept, at, border = kept[now], at[now], border[now]
-                    last = batch.words[kept + size - 1]
-                    number = number[at] * len(batch.texts) + last
-                    hashes = extended(hashes[at], batch.hashes[kept + size - 1])
-                    places = kept
-                    known = proposed.has(hashes) & border
-                    good = known if failed is None else failed.has(hashes) | ~border
-                counted = np.arange(len(places)) if failed is None else np.flatnonzero(~border) if size > 1 else np.zeros(0, np.int64)
-                distinct, first, number, times = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-                if failed is not None:
-                    times = np.bincount(number[counted], minlength=len(distinct))
-                some = np.flatnonzero(times)
-                at = places[first[some]]
-                phrases = batch.names.take(pa.array(batch.words[at])) if size == 1 else [batch.phrase(place, size) for place in at.tolist()]
-                yield batch.counted(batch.lang[at], size, phrases, times[some])
 
-    return docs.select("lang", "text").mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+def hot_hashes(docs: DataFrame, proposed: Filter, least: int, longest: int = LONGEST) -> DataFrame:
+    """The full pass: hashes that words, proposed phrases and their border together have ``least`` times or more."""
+
+    def counted(batch: Batch) -> Iterator[np.ndarray]:
+        for _, _, hashes, _, _ in steps(batch, proposed, None, longest):
+            yield hashes
+
+    return _hash_counts(docs, counted).filter(F.col("times") >= least).select("hash")
+
 
+def count(docs: DataFrame, proposed: Filter, hot: Filter, longest: int = LONGEST) -> DataFrame:
+    """lang, size, phrase and f: exact counts of hot phrases, and of those that the full pass did not count.
 
-def _unproposed(frequent: DataFrame, proposed: Filter, longest: int) -> DataFrame:
-    """Hashes of the frequent phrases, short enough to have longer ones, that were not proposed: the border failures."""
+    Size 0 is the number of all words of a language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = phrase_hashes(batch.column(1).to_pylist(), batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[~proposed.has(hashes)].view(np.int64))], names=["hash"])
+        for texts in together(batches, BATCH_ROWS, BATCH_BYTES):
+            batch = Batch(texts.column(1), texts.column(0))
+            yield batch.counted(np.arange(len(batch.langs)), 0, [""] * len(batch.langs), np.bincount(batch.lang, minlength=len(batch.langs)))
+            number = batch.number
+            for size, places, hashes, border, at in steps(batch, proposed, hot, longest):
+                if size > 1:
+                    number = number[at] * len(batch.texts) + batch.words[places + size - 1]
+                wanted = ~border | hot.has(hashes)
+                distinct, first, times = np.unique(number[wanted], return_index=True, return_counts=True)
+                if size < longest:
+                    number = np.where(wanted, np.searchsorted(distinct, number), len(distinct))  # unwanted ones do not grow
+                some = places[wanted][first]
+                phrases = batch.names.take(pa.array(batch.words[some])) if size == 1 else [batch.phrase(place, size) for place in some.tolist()]
+                yield batch.counted(batch.lang[some], size, phrases, times)
 
-    return frequent.filter(F.col("size").between(1, longest - 1)).select("lang", "phrase").mapInArrow(run, "hash bigint")
+    return docs.select("lang", "text").mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:
@@ -243,13 +237,10 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: in
     ``docs`` has id, lang and text, without nulls in the last two.
     """
     proposed = propose(docs, least, longest, sample)
-    keep = (F.col("f") >= least) | (F.col("size") == 0)
-    frequent = written(count(docs, proposed, longest=longest).filter(keep), "frequent")
-    failures = written(_unproposed(frequent, proposed, longest), "failures")
-    if not failures.limit(1).count():
-        return frequent
-    more = count(docs, proposed, proposed.with_hashes(failures), longest)
-    return frequent.unionByName(written(more.filter(keep), "more"))
+    hashes = written(hot_hashes(docs, proposed, least, longest), "hot")
+    hot = sized(hashes.count()).with_hashes(hashes)
+    counts = count(docs, proposed, hot, longest)
+    return written(counts.filter((F.col("f") >= least) | (F.col("size") == 0)), "frequent")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
