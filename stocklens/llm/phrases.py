@@ -206,13 +206,37 @@ def hot_hashes(docs: DataFrame, proposed: Filter, least: int, longest: int = LON
     return _hash_counts(docs, counted).filter(F.col("times") >= least).select("hash")
 
 
+def summed(batches: Iterator[pa.RecordBatch], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The batches' counts added up over a task; what has more than ``rows`` different keys is handed on in between."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > 2 * rows:
+            table = _sum(held)
+            if table.num_rows > rows:
+                yield from table.to_batches()
+                held, size = [], 0
+            else:
+                held, size = table.to_batches(), table.num_rows
+    if held:
+        yield from _sum(held).to_batches()
+
+
+def _sum(held: list[pa.RecordBatch]) -> pa.Table:
+    names = held[0].schema.names
+    table = pa.Table.from_batches(held).group_by(names[:3], use_threads=False).aggregate([("f", "sum")])
+    return pa.table([table.column(n) for n in (*names[:3], "f_sum")], names=names)
+
+
 def count(docs: DataFrame, proposed: Filter, hot: Filter, longest: int = LONGEST) -> DataFrame:
     """lang, size, phrase and f: exact counts of hot phrases, and of those that the full pass did not count.
 
     Size 0 is the number of all words of a language.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in together(batches, BATCH_ROWS, BATCH_BYTES):
             batch = Batch(texts.column(1), texts.column(0))
             yield batch.counted(np.arange(len(batch.langs)), 0, [""] * len(batch.langs), np.bincount(batch.lang, minlength=len(batch.langs)))
@@ -228,6 +252,9 @@ def count(docs: DataFrame, proposed: Filter, hot: Filter, longest: int = LONGEST
                 phrases = batch.names.take(pa.array(batch.words[some])) if size == 1 else [batch.phrase(place, size) for place in some.tolist()]
                 yield batch.counted(batch.lang[some], size, phrases, times)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed(counted(batches))
+
     return docs.select("lang", "text").mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 

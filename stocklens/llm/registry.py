@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stocklens.llm import bpe, ctph, extract, langid, mixing, phrases, quality, runs, secrets, simhash, tokenfiles, topk
+from stocklens.llm import bpe, ctph, extract, langid, mixing, phrases, pii, quality, runs, secrets, simhash, tokenfiles, topk
 from stocklens.llm.common import shared_folder, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,12 @@ def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints, op11_runs, op12_phrases)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_token_files, op4_topk, op5_language, op6_extract, op7_quality, op8_mix, op9_secrets, op10_fingerprints, op11_runs, op12_phrases, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
