@@ -39,6 +39,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ;:,!?\n\x0b\x0c\r\t", b"abc
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Documents are counted together in batches of about so many rows or bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: A task of the last pass reads so many splits at most.
+SPLITS = 8
 COUNTS = "lang string, size int, phrase string, f bigint"
 
 
@@ -255,7 +257,10 @@ def count(docs: DataFrame, proposed: Filter, hot: Filter, longest: int = LONGEST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return summed(counted(batches))
 
-    return docs.select("lang", "text").mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    # hot phrases recur in every split, so a task sums up some splits before the shuffle, as many as leave no core idle
+    splits = docs.rdd.getNumPartitions()
+    some = docs.select("lang", "text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS)))
+    return some.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:

@@ -107,6 +107,24 @@ def test_whatever_the_sample_proposes(spark, monkeypatch, proposed):
     assert {(r.lang, r["size"], r.phrase): r.f for r in phrases.mine(docs, 4).collect()} == expected
 
 
+def test_sums_over_a_task():
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "phrase", "f"])
+
+    rows = [[("en", 1, f"w{k % 5}", k), (["en", "de"][k % 2], 1, f"x{k}", 1)] for k in range(40)]
+    expected = Counter()
+    for lang, size, phrase, f in (r for some in rows for r in some):
+        expected[lang, size, phrase] += f
+    for limit in (3, 30, 1000):
+        out = list(phrases.summed(iter([batch(some) for some in rows]), limit))
+        got = Counter()
+        for b in out:
+            for r in b.to_pylist():
+                got[r["lang"], r["size"], r["phrase"]] += r["f"]
+        assert got == expected and sum(b.num_rows for b in out) <= 80
+    assert list(phrases.summed(iter([]))) == []
+
+
 def test_exact_beyond_64_bits(spark):
     rows = [("en", 0, "", 10**13), ("en", 1, "a", 10**9 + 7), ("en", 1, "b", 3), ("en", 2, "a b", 3)]
     mined = spark.createDataFrame(rows, phrases.COUNTS)
