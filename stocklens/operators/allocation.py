@@ -9,29 +9,33 @@ The claims are therefore settled in rounds over all items at once. In a round, a
 * rejected, if one of its items has too little left already, and then, among the others,
 * accepted, if it fits even when every earlier open claim is accepted.
 
-The earliest open claim always meets one of the two, so the rounds end, and the outcome is exactly that of serving the
-claims one by one. A chain of claims that wait for each other loses two links or more in every round, so there are at
-most half as many rounds as the longest chain is long; chains are short in practice (Blelloch, Fineman and Shun, "Greedy
-sequential maximal independent set and matching are parallel on average", 2012), but with very scarce stock one chain
-may run through many claims. What is left of them is then few: once no more than ``TAIL_LINES`` lines are open, one task
-serves them in order, whatever their chains.
-
-The running totals of a hot item are split as well: claims get a chunk number that grows with their order, totals per
-(item, chunk) are added up first, and a window then runs inside one (item, chunk) only.
+The earliest open claim always meets one of the two, and the outcome is exactly that of serving the claims one by one. An
+item that has enough for all its open claims decides nothing any more, so its lines leave. What is still open hangs
+together only through scarce items: claims and items are a graph whose connected components have no unit in common, so
+each component is served in order by itself, and many at a time. A chain of claims that wait for each other is one such
+component and needs no round per link. Only components of more than ``GROUP_LINES`` lines take a further round, which cuts
+them, because every round takes claims, and with them items that have run out or have enough, out of the graph (rounds
+are few in practice: Blelloch, Fineman and Shun, "Greedy sequential maximal independent set and matching are parallel on
+average", 2012).
+
+Components are found by labels: each claim takes the smallest label of the claims that it shares an item with, and then
+that label's own label, so the steps grow with the logarithm of the longest chain. Totals and smallest labels of a hot
+item are split as well: claims get a chunk number that grows with their order, values per (item, chunk) are made first,
+and what is known of an item goes back to its lines by (item, chunk).
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stocklens.session import WorkTables
 
-#: So many open lines may be served by one task: a few megabytes.
-TAIL_LINES = 100_000
+#: So many open lines, a few megabytes, may be served by one task.
+GROUP_LINES = 100_000
 
 
-def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None, tail_lines: int = TAIL_LINES) -> DataFrame:
+def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None, group_lines: int = GROUP_LINES) -> DataFrame:
     """Decide every claim; returns ``(claim, accepted)``.
 
     ``lines``: ``claim``, ``arrival`` (any sortable value, the same on all lines of a claim), ``item``, ``units``. A claim
@@ -53,20 +57,66 @@ def allocate(lines: DataFrame, capacity: DataFrame, chunks: int | None = None, t
     open_lines = work.keep(placed, "open-0")
     step, before = 0, None
     decided = open_lines.select("claim", F.lit(None).cast("boolean").alias("accepted")).schema
-    while (still_open := open_lines.count()) > tail_lines:
+    while (still_open := open_lines.count()) > group_lines:
         if still_open == before:
             raise ValueError("every claim needs a non-null id and units")
         before, step = still_open, step + 1
         judged = work.keep(_judged(open_lines), f"judged-{step}")
         work.keep(judged.filter("accepted is not null").select("claim", "accepted").distinct(), f"verdicts/step={step}")
-        taken = judged.filter("accepted").groupBy("item").agg(F.sum("units").alias("taken"))
-        waiting = judged.filter("accepted is null").drop("accepted").join(taken, "item", "left")
-        left = waiting.withColumn("free", F.col("free") - F.coalesce("taken", F.lit(0))).drop("taken")
+        waiting = work.keep(_scarce(judged), f"waiting-{step}")
         work.remove(f"open-{step - 1}")
-        open_lines = work.keep(left, f"open-{step}")
         work.remove(f"judged-{step}")
-    work.keep(_serve(open_lines), f"verdicts/step={step + 1}")
-    return spark.read.schema(decided).parquet(f"{work.root}/verdicts")
+        if waiting.count() > group_lines:
+            grouped = _components(waiting, work, f"labels-{step}")
+            # fewer than lines / group_lines labels
+            large = grouped.groupBy("label").count().filter(F.col("count") > group_lines).select("label", F.lit(True).alias("large"))
+            grouped = work.keep(grouped.join(F.broadcast(large), "label", "left"), f"grouped-{step}")
+            work.remove(f"labels-{step}")
+            work.keep(_serve(grouped.filter("large is null").repartition("label")), f"verdicts/step={step}-groups")
+            waiting = grouped.filter("large").drop("label", "large")
+        open_lines = work.keep(waiting, f"open-{step}")
+        work.remove(f"waiting-{step}")
+        work.remove(f"grouped-{step}")
+    work.keep(_serve(open_lines.withColumn("label", F.lit(0)).coalesce(1)), f"verdicts/step={step + 1}")
+    return spark.read.schema(decided).option("recursiveFileLookup", "true").parquet(f"{work.root}/verdicts")
+
+
+def _of_item(lines: DataFrame, **sums: Column) -> DataFrame:
+    """``lines`` with aggregates over all lines of their item: by (item, chunk), then over the chunks of the item.
+
+    An aggregate's name says how the chunks' values are put together: ``low`` is their least, any other their sum.
+    """
+    item = Window.partitionBy("item")
+    parts = lines.groupBy("item", "chunk").agg(*(value.alias(name) for name, value in sums.items()))
+    whole = parts.select("item", "chunk", *((F.min(n) if n == "low" else F.sum(n)).over(item).alias(n) for n in sums))
+    return lines.repartition("item", "chunk").join(whole, ["item", "chunk"])
+
+
+def _scarce(judged: DataFrame) -> DataFrame:
+    """The waiting lines after a round, less those of items that have enough for all who wait."""
+    taken = F.sum(F.when(F.col("accepted"), F.col("units")).otherwise(0))
+    wanted = F.sum(F.when(F.col("accepted").isNull(), F.col("units")).otherwise(0))
+    left = F.col("free") - F.col("taken")
+    lines = _of_item(judged, taken=taken, wanted=wanted).filter(F.col("accepted").isNull() & ((F.col("wanted") > left) | F.col("units").isNull()))
+    return lines.withColumn("free", left).drop("taken", "wanted", "accepted")
+
+
+def _components(lines: DataFrame, work: WorkTables, name: str) -> DataFrame:
+    """``lines`` with ``label``, the same for all claims that items connect; every step is a table."""
+    labelled, step = work.keep(lines.withColumn("label", F.col("claim")), f"{name}/lines-0"), 0
+    while True:
+        near = _of_item(labelled, low=F.min("label")).groupBy("claim").agg(F.min("label").alias("label"), F.min("low").alias("low"))
+        near = work.keep(near.select("claim", "label", "low"), f"{name}/near-{step}")
+        # a label is the claim that gave it, and takes that claim's label
+        roots = near.select(F.col("claim").alias("low"), F.col("low").alias("root"))
+        jumped = near.join(roots, "low", "left").select("claim", F.least("low", "root").alias("to"), (F.col("low") < F.col("label")).alias("moved"))
+        moved = work.keep(jumped, f"{name}/moved-{step}")
+        if moved.filter("moved").isEmpty():
+            return labelled
+        following = work.keep(labelled.drop("label").join(moved.select("claim", F.col("to").alias("label")), "claim"), f"{name}/lines-{step + 1}")
+        for old in (f"{name}/lines-{step}", f"{name}/near-{step}", f"{name}/moved-{step}"):
+            work.remove(old)
+        labelled, step = following, step + 1
 
 
 def _judged(open_lines: DataFrame) -> DataFrame:
@@ -96,13 +146,16 @@ def _judged(open_lines: DataFrame) -> DataFrame:
     return open_lines.join(verdicts, "claim")
 
 
-def _serve(open_lines: DataFrame) -> DataFrame:
-    """Serve a bounded number of open lines one claim after the other, in one task."""
-    kind = open_lines.schema["claim"].dataType.simpleString()
+def _serve(lines: DataFrame) -> DataFrame:
+    """Serve the claims of each ``label`` one after the other, the labels of a partition one after the other as well.
+
+    All lines of a label are in one partition. What is held at a time is the items of one label.
+    """
+    kind = lines.schema["claim"].dataType.simpleString()
 
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: dict = {}
-        claim, wanted, out = None, {}, []
+        group, claim, wanted, out = None, None, {}, []
 
         def close() -> None:
             if wanted:
@@ -112,15 +165,20 @@ def _serve(open_lines: DataFrame) -> DataFrame:
                     left[item] -= units
 
         for batch in batches:
-            for name, item, units, free in zip(batch["claim"], batch["item"], batch["units"], batch["free"], strict=True):
-                left.setdefault(item, free)
-                if name != claim:
+            for label, name, item, units, free in zip(batch["label"], batch["claim"], batch["item"], batch["units"], batch["free"], strict=True):
+                if name != claim or label != group:
                     close()
                     claim, wanted = name, {}
+                if label != group:
+                    group, left = label, {}
+                left.setdefault(item, free)
                 wanted[item] = units
+            if out:
+                yield pd.DataFrame(out, columns=["claim", "accepted"])
+                out = []
         close()
         if out:
             yield pd.DataFrame(out, columns=["claim", "accepted"])
 
-    ordered = open_lines.select("claim", F.to_json(F.struct("item")).alias("item"), "units", "free", "arrival").coalesce(1)
-    return ordered.sortWithinPartitions("arrival", "claim").drop("arrival").mapInPandas(serve, f"claim {kind}, accepted boolean")
+    ordered = lines.select("label", "claim", F.to_json(F.struct("item")).alias("item"), "units", "free", "arrival")
+    return ordered.sortWithinPartitions("label", "arrival", "claim").drop("arrival").mapInPandas(serve, f"claim {kind}, accepted boolean")

@@ -44,8 +44,8 @@ def test_allocation_equals_serving_one_by_one(spark, seed, hot):
     rng.shuffle(rows)
     lines = spark.createDataFrame(rows, "claim string, arrival timestamp, item string, units int")
     capacity = spark.createDataFrame(list(stock.items()), "item string, units int")
-    for tail in (0, 200, 10_000):  # rounds to the end, rounds and a tail, all in one task
-        got = {r.claim: r.accepted for r in allocate(lines, capacity, chunks=5, tail_lines=tail).collect()}
+    for size in (0, 40, 200, 10_000):  # rounds to the end, rounds and groups, all in one task
+        got = {r.claim: r.accepted for r in allocate(lines, capacity, chunks=5, group_lines=size).collect()}
         assert got == expected
 
 
@@ -157,25 +157,51 @@ def test_review_decisions(spark):
     assert out["notifications"].count() == 5
 
 
-def test_chain_of_claims(spark, monkeypatch):
-    """Each claim shares one scarce item with the next: every other one is accepted."""
-    rows = [(f"c{n:03d}", START + timedelta(minutes=n), f"i{n + k:03d}", 1) for n in range(200) for k in (0, 1)]
+@pytest.mark.parametrize("chains,length,size,most", [(1, 200, 100_000, 0), (6, 200, 500, 1), (5, 33, 70, 1), (1, 12, 0, 7)])
+def test_chains_of_claims(spark, monkeypatch, chains, length, size, most):
+    """Each claim shares one scarce item with the next: every other one is accepted, whole chains at a time."""
+    rows = [(f"c{k}-{n:03d}", START + timedelta(minutes=n), f"i{k}-{n + j:03d}", 1) for k in range(chains) for n in range(length) for j in (0, 1)]
+    rows += [(f"c{k}-{n:03d}", START + timedelta(minutes=n), "plenty", 2) for k in range(chains) for n in range(length)]
     lines = spark.createDataFrame(rows, "claim string, arrival timestamp, item string, units int")
-    capacity = spark.createDataFrame([(f"i{n:03d}", 1) for n in range(201)], "item string, units int")
+    capacity = spark.createDataFrame([(f"i{k}-{n:03d}", 1) for k in range(chains) for n in range(length + 1)] + [("plenty", 10**6)], "item string, units int")
     rounds = []
     judged = allocation._judged
     monkeypatch.setattr(allocation, "_judged", lambda df: rounds.append(1) or judged(df))
-    short = lines.filter("claim < 'c012'")
-    for part, tail in ((lines, allocation.TAIL_LINES), (short, 0)):
-        got = {r.claim: r.accepted for r in allocate(part, capacity, tail_lines=tail).collect()}
-        assert got == {claim: int(claim[1:]) % 2 == 0 for claim in got} and len(got) == part.select("claim").distinct().count()
-    assert len(rounds) <= 7  # two links in each round, none for the chain that one task serves
+    verdicts = allocate(lines, capacity, group_lines=size)
+    assert verdicts.columns == ["claim", "accepted"]
+    got = {r.claim: r.accepted for r in verdicts.collect()}
+    assert got == {claim: int(claim[-3:]) % 2 == 0 for claim in got} and len(got) == chains * length
+    assert len(rounds) <= most
+
+
+def test_components(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: f"file://{tmp_path}")
+    rng = random.Random(3)
+    rows = [(f"c{n:02d}", f"i{k}", n % 4) for n in range(60) for k in {rng.randint(0, 60), n // 2, "hot" if n % 15 == 0 else n // 2}]
+    lines = spark.createDataFrame(rows, "claim string, item string, chunk int")
+    got = {r.claim: r.label for r in allocation._components(lines, session.WorkTables(spark, "work"), "labels").select("claim", "label").distinct().collect()}
+    label = {claim: claim for claim, _, _ in rows}
+    while True:
+        lowest = {}
+        for claim, item, _ in rows:
+            lowest[item] = min(lowest.get(item, "z"), label[claim])
+        lower = {claim: min(lowest[i] for c, i, _ in rows if c == claim) for claim in label}
+        if lower == label:
+            break
+        label = lower
+    assert got == label
+
+
+def test_no_verdict_without_units(spark):
+    lines = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "x", 1)], "claim string, arrival int, item string, units int")
+    with pytest.raises(ValueError, match="units"):
+        allocate(lines, spark.createDataFrame([("x", 2)], "item string, units int"), group_lines=0)
 
 
 def test_work_tables_are_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_root", lambda _: f"file://{tmp_path}")
     lines = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "x", 1), ("c", 3, "x", 1)], "claim string, arrival int, item string, units int")
-    assert allocate(lines, spark.createDataFrame([("x", 2)], "item string, units int"), tail_lines=0).filter("accepted").count() == 2
+    assert allocate(lines, spark.createDataFrame([("x", 2)], "item string, units int"), group_lines=0).filter("accepted").count() == 2
     left = sorted(p.name for p in next(tmp_path.iterdir()).iterdir())
     assert left[-1] == "verdicts" and len(left) == 2 and left[0].startswith("open-")
 
