@@ -555,6 +555,7 @@ _add(
     FROM (SELECT actor_id AS user_id, CAST(json_extract_string(detail, '$.k') AS INT) AS item, max(created_at) AS viewed_at
           FROM t_activity_logs WHERE action = 'view' GROUP BY 1, 2) v) n WHERE position <= 5""",
 )
+_SQL["stream_recently_viewed"] = _SQL["recently_viewed"]
 _top("preview", [INV], "", _INV_COLS, "t_inventory_data", "created_at DESC, id DESC", 100)
 
 # --- scalar functions --------------------------------------------------------

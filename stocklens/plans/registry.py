@@ -121,19 +121,22 @@ def stream_sales_trend(t):
     work = WorkTables(t.spark, "trend")
     sales = work.keep(_sales(t), "sales")
     stream = t.spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 4).parquet(f"{work.root}/sales")
-    run = jobs.stream_sales_trend(stream, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True)
-    run.awaitTermination()
-    batches = t.spark.read.parquet(f"{work.root}/sink/trend").agg(F.max("batch_id").alias("last")).first()["last"]
-    return jobs.sales_trend_of(t.spark, f"{work.root}/sink", 0 if batches is None else batches + 1)
+    jobs.stream_sales_trend(stream, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
+    return jobs.sales_trend_of(t.spark, f"{work.root}/sink")
 
 
 @query
 def stream_checkout(t):
+    """Cart lines over several micro-batches, then the closing of every cart."""
     work = WorkTables(t.spark, "carts")
-    lines = work.keep(t.cart_items, "lines")
-    stream = t.spark.readStream.schema(lines.schema).parquet(f"{work.root}/lines")
+    lines = t.cart_items.withColumn("closes", F.lit(False)).repartition(4, "cart_item_id")
+    work.keep(lines, "lines")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema if f.name not in ("report_id", "user_id", "share_token", "created_at", "closes")]
+    closings = t.cart_items.groupBy("report_id", "user_id", "share_token").agg(F.max("created_at").alias("created_at")).withColumn("closes", F.lit(True))
+    closings.select("*", *nothing).select(*lines.columns).coalesce(1).write.mode("append").parquet(f"{work.root}/lines")
+    stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{work.root}/lines")
     jobs.stream_checkout(stream, t.inventory_data, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
-    return t.spark.read.parquet(f"{work.root}/sink/verdicts").drop("order_ref", "batch_id")
+    return jobs.committed(t.spark, f"{work.root}/sink", "verdicts").drop("order_ref", "batch_id")
 
 
 @query
@@ -679,14 +682,26 @@ def highest_value_row(t):
     return topk.highest_value_row(t.inventory_data)
 
 
-@query
-def recently_viewed(t):
-    views = t.activity_logs.filter(F.col("action") == "view").select(
+def _item_views(t):
+    return t.activity_logs.filter(F.col("action") == "view").select(
         F.col("actor_id").alias("user_id"),
         F.get_json_object("detail", "$.k").try_cast("int").alias("item"),
         F.col("created_at").alias("viewed_at"),
     )
-    return topk.recently_viewed(views)
+
+
+@query
+def recently_viewed(t):
+    return topk.recently_viewed(_item_views(t))
+
+
+@query
+def stream_recently_viewed(t):
+    work = WorkTables(t.spark, "views")
+    views = work.keep(_item_views(t).repartition(4, "viewed_at"), "views")
+    stream = t.spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 2).parquet(f"{work.root}/views")
+    jobs.stream_recently_viewed(stream, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
+    return jobs.recently_viewed_of(t.spark, f"{work.root}/sink")
 
 
 @query

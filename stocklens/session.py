@@ -64,3 +64,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def folder_exists(spark: SparkSession, path: str) -> bool:
     files, folder = _folder(spark, path)
     return files.exists(folder)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    files, folder = _folder(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(folder)] if files.exists(folder) else []

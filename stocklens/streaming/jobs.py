@@ -5,14 +5,17 @@ the same files. Queries are started by the caller's options (trigger, checkpoint
 """
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stocklens.functions import columns as C
-from stocklens.operators import changes, ingest
+from stocklens.operators import changes, ingest, topk
 from stocklens.schemas import TABLES, TEXTS
-from stocklens.session import folder_exists, remove_folder
+from stocklens.session import folder_exists, folder_names, remove_folder
 from stocklens.sources.tables import append_inventory, conform_schema, report_bucket
 from stocklens.sources.workbooks import CELL_SCHEMA, WORKBOOK_GLOB, cells_of
 
@@ -157,40 +160,50 @@ def stream_ingest(
     return files.writeStream.foreachBatch(ingest_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+_TREND = "day string, units bigint"
+
+
 def stream_sales_trend(sales: DataFrame, sink: str, checkpoint: str, fold_every: int = 100, **trigger) -> StreamingQuery:
     """Units per day over a stream of (product_name, quantity, sale_date), however late a sale comes.
 
-    Each micro-batch adds its units per day to ``sink``, which :func:`sales_trend_of` sums up; every ``fold_every``
-    batches the sums are folded into one, so a reader opens a bounded number of small files.
+    The sums are Spark's own aggregation state in update mode, keyed by the day of the event. There is no watermark to
+    drop late sales, because the state cannot outgrow the calendar: it is one row per day that has sales. Each batch
+    writes the new totals of the days it changed; :func:`sales_trend_of` takes each day's latest. Every ``fold_every``
+    batches the latest totals are written as one folder and the folders before are removed, so there are never more
+    than ``fold_every`` + 1 of them. A replayed batch writes the same totals again.
     """
+    named = sales.filter(C.strip(F.coalesce("product_name", F.lit(""))) != "")
+    units = F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units")
+    totals = named.groupBy(C.day_key(F.col("sale_date")).alias("day")).agg(units)
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        named = batch.filter(C.strip(F.coalesce("product_name", F.lit(""))) != "")
-        units = F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units")
-        _write(named.groupBy(C.day_key(F.col("sale_date")).alias("day")).agg(units), sink, "trend", batch_id)
-        if batch_id and batch_id % fold_every == 0:
-            _write(_summed(batch.sparkSession, sink, batch_id - fold_every, batch_id), sink, "trend_sums", batch_id)
-            _write(batch.sparkSession.createDataFrame([(batch_id,)], "upto bigint"), sink, "trend_folded", 0)
-
-    return sales.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if not batch_id or batch_id % fold_every:
+            return _write(batch, sink, "trend", batch_id)
+        before = _batches(batch.sparkSession, sink, "trend")
+        before = [b for b in before if b < batch_id]
+        earlier = _latest(batch.sparkSession, sink, before)
+        _write(earlier.join(batch, "day", "left_anti").unionByName(batch), sink, "trend", batch_id)
+        for old in before:
+            remove_folder(batch.sparkSession, f"{sink}/trend/batch_id={old}")
 
+    return totals.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-_TREND = "day string, units bigint"
 
+def _batches(spark: SparkSession, sink: str, table: str) -> list[int]:
+    """The numbers of the batches that have a folder; folded tables have few."""
+    return sorted(int(name.split("=")[1]) for name in folder_names(spark, f"{sink}/{table}") if name.startswith("batch_id="))
 
-def _summed(spark: SparkSession, sink: str, folded: int, end: int) -> DataFrame:
-    """Units per day of the batches up to, not including, ``end``, given the sums up to ``folded``."""
-    parts = [f"{sink}/trend/batch_id={b}" for b in range(folded, end)] + ([f"{sink}/trend_sums/batch_id={folded}"] if folded else [])
-    return spark.read.schema(_TREND).parquet(*parts).groupBy("day").agg(F.sum("units").alias("units"))
 
-
-def sales_trend_of(spark: SparkSession, sink: str, batches: int) -> DataFrame:
-    """Units per day after so many batches of :func:`stream_sales_trend`."""
+def _latest(spark: SparkSession, sink: str, batches: list[int]) -> DataFrame:
     if not batches:
         return spark.createDataFrame([], _TREND)
-    mark = f"{sink}/trend_folded/batch_id=0"
-    folded = spark.read.parquet(mark).first()["upto"] if folder_exists(spark, mark) else 0
-    return _summed(spark, sink, folded if folded <= batches else 0, batches)
+    rows = spark.read.schema(f"{_TREND}, batch_id bigint").option("basePath", f"{sink}/trend").parquet(*(f"{sink}/trend/batch_id={b}" for b in batches))
+    return rows.groupBy("day").agg(F.max_by("units", "batch_id").alias("units"))
+
+
+def sales_trend_of(spark: SparkSession, sink: str) -> DataFrame:
+    """Units per day as of the last batch of :func:`stream_sales_trend`."""
+    return _latest(spark, sink, _batches(spark, sink, "trend"))
 
 
 _SOLD_SCHEMA = "report_id string, id long, sold long"
@@ -237,24 +250,140 @@ def checkout_batch(
         .drop("sold")
     )
     result = changes.checkout(requests, stock)
-    _write(result["verdicts"], sink, "verdicts", batch_id)
-    _write(result["orders"], sink, "orders", batch_id)
-    _write(result["order_items"], sink, "order_items", batch_id)
-    _write(result["activity"], sink, "activity_logs", batch_id)
     sold = result["sold"].select("report_id", "id", F.col("sold").cast("bigint").alias("sold"))
-    _write(sold, sink, "sold", batch_id)
+    tables = {"verdicts": result["verdicts"], "orders": result["orders"], "order_items": result["order_items"], "activity_logs": result["activity"], "sold": sold}
+    for table, rows in tables.items():
+        _write(rows, sink, table, batch_id)
+    _write(spark.createDataFrame([(batch_id,)], "upto bigint"), sink, "commits", batch_id)
+    for old in range(max(0, batch_id - 4), batch_id - 2):
+        remove_folder(spark, f"{sink}/commits/batch_id={old}")
+
+
+def committed(spark: SparkSession, sink: str, table: str) -> DataFrame:
+    """A table of :func:`checkout_batch` as of the last batch whose tables are all written.
+
+    The folders of a batch are written one after the other, its mark last; batches follow each other. So an order is
+    never seen without its items, nor the other way round. Folders of unfinished batches are not opened.
+    """
+    last = spark.read.schema("upto bigint").parquet(f"{sink}/commits").agg(F.max("upto")).first()[0] if folder_exists(spark, f"{sink}/commits") else None
+    rows = spark.read.option("basePath", f"{sink}/{table}").parquet(f"{sink}/{table}")
+    return rows.filter(F.col("batch_id") <= F.lit(-1 if last is None else last))
+
+
+CART_KEY = ["report_id", "user_id", "share_token"]
+
+
+def closed_carts(events: DataFrame, sink: str, batch_id: int, snapshot_every: int = 100, keep: timedelta | None = None) -> DataFrame:
+    """The lines of the carts that a micro-batch closes, however many batches they came in.
+
+    An event is a cart line, or closes its cart (``closes``, with the cart's key and ``created_at``), or both. A closing
+    takes the cart's lines up to its time that have come by its batch; others wait for the next closing. Several closings of
+    a cart in one batch count as the last of them. With ``keep``, lines that are older than that, as of the newest event,
+    are forgotten when a snapshot is taken.
+
+    A batch adds its lines and closings as tables of its own, and reads those since the last snapshot. Every
+    ``snapshot_every`` batches the lines that are still open make a snapshot; folders that went into the one before are
+    removed. So a batch opens a bounded number of folders by name, and a replayed batch finds what it found before.
+    """
+    spark = events.sparkSession
+    line = events.drop("closes").schema
+    closing = "report_id string, user_id bigint, share_token string, close_at timestamp, close_batch bigint"
+    base = batch_id // snapshot_every * snapshot_every
+
+    def lines_of(first: int, end: int) -> DataFrame:
+        parts = [f"{sink}/open_carts/batch_id={first}"] if first else []
+        parts += [f"{sink}/cart_lines/batch_id={b}" for b in range(first, end)]
+        schema = StructType([*line.fields, StructField("line_batch", LongType())])
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    def closings_of(first: int, end: int) -> DataFrame:
+        parts = [f"{sink}/closings/batch_id={b}" for b in range(first, end)]
+        return spark.read.schema(closing).parquet(*parts) if parts else spark.createDataFrame([], closing)
+
+    def taken() -> Column:
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in CART_KEY]
+        return reduce(Column.__and__, [*same, F.col("l.created_at") <= F.col("c.close_at"), F.col("l.line_batch") <= F.col("c.close_batch")])
+
+    def still_open(first: int, end: int) -> DataFrame:
+        closings = closings_of(first, end).alias("c")
+        return lines_of(first, end).alias("l").join(closings, taken(), "left_anti")
+
+    if batch_id == base and base > 0:
+        rows = still_open(base - snapshot_every, base)
+        if keep is not None:
+            newest = lines_of(base - snapshot_every, base).agg(F.max("created_at")).first()[0]
+            rows = rows.filter(F.col("created_at") >= F.lit(newest) - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {keep.total_seconds()})"))
+        _write(rows, sink, "open_carts", base)
+        done = base - 2 * snapshot_every
+        for b in range(max(0, done), base - snapshot_every):
+            for table in ("cart_lines", "closings"):
+                remove_folder(spark, f"{sink}/{table}/batch_id={b}")
+        if done > 0:
+            remove_folder(spark, f"{sink}/open_carts/batch_id={done}")
+    of_batch = F.lit(batch_id).cast("bigint")
+    marks = events.filter("closes").groupBy(*CART_KEY).agg(F.max("created_at").alias("close_at")).withColumn("close_batch", of_batch)
+    _write(marks, sink, "closings", batch_id)
+    _write(events.filter(F.col("inventory_id").isNotNull()).drop("closes").withColumn("line_batch", of_batch), sink, "cart_lines", batch_id)
+    closings, earlier = closings_of(batch_id, batch_id + 1).alias("c"), closings_of(base, batch_id).alias("c")
+    ready = lines_of(base, batch_id + 1).alias("l").join(closings, taken(), "left_semi")
+    return ready.alias("l").join(earlier, taken(), "left_anti").drop("line_batch")
 
 
 def stream_checkout(
-    requests: DataFrame, inventory: DataFrame | Callable[[], DataFrame], sink: str, checkpoint: str, snapshot_every: int = 100, **trigger
+    requests: DataFrame, inventory: DataFrame | Callable[[], DataFrame], sink: str, checkpoint: str, snapshot_every: int = 100,
+    keep: timedelta | None = None, **trigger,
 ) -> StreamingQuery:
-    """Check out a stream of cart lines; all lines of a cart must come in one micro-batch.
+    """Check out a stream of cart lines.
 
-    A keyed state per report would run a busy report in one task. The batch operator spreads it, so the stream calls
-    that one and keeps the stock in tables.
+    With a column ``closes``, carts may span micro-batches: :func:`closed_carts` keeps their lines until they are closed.
+    Without it, all lines of a cart must come in one micro-batch.
+
+    Neither stock nor open lines are keyed state: a state of the report would run a busy report in one task, and one of
+    the cart costs a call of Python for every cart. The batch operators spread both, so the stream keeps them in tables.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if "closes" in batch.columns:
+            batch = closed_carts(batch, sink, batch_id, snapshot_every, keep)
         checkout_batch(batch, inventory, sink, batch_id, snapshot_every)
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+_VIEWS = "user_id bigint, item int, viewed_at timestamp"
+
+
+def stream_recently_viewed(views: DataFrame, sink: str, checkpoint: str, k: int = 5, fold_every: int = 100, **trigger) -> StreamingQuery:
+    """The last ``k`` distinct items of each user, over a stream of (user_id, item, viewed_at) in any order.
+
+    The last k of all views are among the last k of each part of them. So a batch writes the last k views of its own users,
+    and :func:`recently_viewed_of` ranks what the batches left. Every ``fold_every`` batches what is left is ranked into
+    one folder, and the folders before are removed: k rows a user are kept, however much is viewed.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, _ranked(batch, k)
+        before = [b for b in _batches(spark, sink, "views") if b < batch_id]
+        if batch_id and batch_id % fold_every == 0:
+            rows = _ranked(_views(spark, sink, before).unionByName(rows), k)
+        _write(rows, sink, "views", batch_id)
+        for old in before if batch_id % fold_every == 0 else ():
+            remove_folder(spark, f"{sink}/views/batch_id={old}")
+
+    return views.select("user_id", "item", "viewed_at").writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _ranked(views: DataFrame, k: int) -> DataFrame:
+    return topk.recently_viewed(views, k).drop("position")
+
+
+def _views(spark: SparkSession, sink: str, batches: list[int]) -> DataFrame:
+    folders = [f"{sink}/views/batch_id={b}" for b in batches]
+    return spark.read.schema(_VIEWS).parquet(*folders) if folders else spark.createDataFrame([], _VIEWS)
+
+
+def recently_viewed_of(spark: SparkSession, sink: str, k: int = 5, since: datetime | None = None) -> DataFrame:
+    """user_id, item, viewed_at and position as of the last batch of :func:`stream_recently_viewed`; with ``since``, of
+    views from that time on (items that were viewed before it are forgotten)."""
+    rows = _views(spark, sink, _batches(spark, sink, "views"))
+    return topk.recently_viewed(rows if since is None else rows.filter(F.col("viewed_at") >= F.lit(since)), k)

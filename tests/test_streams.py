@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
+from decimal import Decimal
 
+import pytest
 from books import BOOKS, PLAIN, workbook, write_books
 from pyspark.sql import functions as F
 
-from stocklens.operators import changes, rollups
+from stocklens.operators import changes, rollups, topk
 from stocklens.schemas import TABLES
 from stocklens.streaming import jobs
 
@@ -57,16 +59,100 @@ def test_trend_stream_equals_batch_however_late_a_sale_comes(spark, tmp_path):
     source, sink = tmp_path / "sales", str(tmp_path / "out")
     rows = [("p" if n % 5 else " ", n % 7, START + timedelta(hours=5 * n)) for n in range(60)]
     schema = "product_name string, quantity int, sale_date timestamp"
-    parts = [rows[20:], rows[:10], [("late", 3, START - timedelta(days=900))], rows[10:20], [("p", 1, START)]]
+    parts = [rows[20:], rows[:10], [("late", 3, START - timedelta(days=900))], rows[10:20], [("p", 1, START)], [("late", 2, START - timedelta(days=60))], [(" ", 1, START)]]
     source.mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    for part in parts:
+    for n, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
         jobs.stream_sales_trend(stream, sink, str(tmp_path / "cp"), fold_every=2, availableNow=True).awaitTermination()
-    whole = spark.createDataFrame([r for part in parts for r in part], schema)
-    got = {r.day: r.units for r in jobs.sales_trend_of(spark, sink, len(parts)).collect()}
-    assert got == {r.day: r.units for r in rollups.sales_trend(whole).collect()} and len(got) > 10
-    assert jobs.sales_trend_of(spark, sink, 0).count() == 0
+        whole = spark.createDataFrame([r for some in parts[: n + 1] for r in some], schema)
+        got = {r.day: r.units for r in jobs.sales_trend_of(spark, sink).collect()}
+        assert got == {r.day: r.units for r in rollups.sales_trend(whole).collect()} and len(got) > 8
+        assert len(jobs._batches(spark, sink, "trend")) <= 3
+    assert jobs.sales_trend_of(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("snapshot_every", [1, 2, 100])
+def test_a_cart_over_several_batches_is_one_order(spark, tmp_path, snapshot_every):
+    schema = CART.replace("unit_price double", "unit_price decimal(12,2)")
+    inventory = spark.createDataFrame([(i, "R1", f"p{i}", "c", 10.0, 40) for i in range(30)], "id long, report_id string, product_name string, category string, price double, quantity int")
+    inventory = inventory.withColumn("price", F.col("price").cast("decimal(12,2)"))
+
+    def line(user, item, minute, closes=False, quantity=1):
+        return (f"l{user}-{item}-{minute}" if item is not None else None, user, "t1", item, "R1", "p", "c", Decimal("10.25") if item is not None else None, quantity if item is not None else None, START + timedelta(minutes=minute), closes)
+
+    batches = [
+        [line(1, k, 0) for k in range(12)] + [line(2, 1, 0), line(3, 2, 0)],
+        [line(1, k, 1) for k in range(12, 20)] + [line(2, 2, 1, closes=True), line(4, 1, 1, quantity=50), line(4, None, 2, closes=True)],
+        [line(1, 25, 2), line(1, None, 3, closes=True), line(1, 26, 4), line(5, None, 3, closes=True)],
+        [line(1, None, 5, closes=True)],
+    ]
+    source, sink = str(tmp_path / "carts"), str(tmp_path / "out")
+    (tmp_path / "carts").mkdir()
+    stream = spark.readStream.schema(schema + ", closes boolean").option("maxFilesPerTrigger", 1).parquet(source)
+    for batch in batches:  # every batch in a new run from the checkpoint
+        spark.createDataFrame(batch, schema + ", closes boolean").coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_checkout(stream, inventory, sink, str(tmp_path / "cp"), snapshot_every, availableNow=True).awaitTermination()
+    jobs.checkout_batch(jobs.closed_carts(spark.createDataFrame(batches[-1], schema + ", closes boolean"), sink, 3, snapshot_every), inventory, sink, 3, snapshot_every)  # replayed
+    verdicts = [(r.user_id, r.verdict, r.total_amount) for r in jobs.committed(spark, sink, "verdicts").collect()]
+    assert sorted(verdicts) == [(1, "confirmed", Decimal("10.00")), (1, "confirmed", Decimal("210.00")), (2, "confirmed", Decimal("20.00")), (4, "over stock", Decimal("500.00"))]
+    items = jobs.committed(spark, sink, "order_items").collect()
+    assert len(items) == 24 and {i.unit_price for i in items} == {Decimal("10.25")}
+    assert jobs.committed(spark, sink, "orders").count() == 3
+    assert len(list((tmp_path / "out" / "commits").iterdir())) <= 4
+    assert snapshot_every > 1 or {p.name for p in (tmp_path / "out" / "cart_lines").iterdir()} == {"batch_id=2", "batch_id=3"}
+
+
+def test_lines_that_come_after_their_closing_and_lines_nobody_closes(spark, tmp_path):
+    sink, schema = str(tmp_path / "out"), "report_id string, user_id bigint, share_token string, inventory_id bigint, created_at timestamp, closes boolean"
+
+    def batch(number, *events, **more):
+        rows = [("R", 1, None, item, START + timedelta(days=day), closes) for item, day, closes in events]
+        return sorted(r.inventory_id for r in jobs.closed_carts(spark.createDataFrame(rows, schema), sink, number, 2, **more).collect())
+
+    keep = {"keep": timedelta(days=30)}
+    assert batch(0, (1, 0, False), (2, 5, False)) == []
+    assert batch(1, (None, 1, True), (3, 0, False)) == [1, 3]
+    assert batch(2, (4, 0, False), (None, 0, False), **keep) == []  # late: the next closing takes it
+    assert batch(3, (5, 40, False), **keep) == []
+    assert batch(4, (6, 41, True), **keep) == [5, 6]  # 2 and 4 were forgotten at the snapshot
+    assert batch(5, (None, 50, True), **keep) == []
+
+
+def test_a_batch_that_fails_between_two_writes_is_not_seen(spark, tmp_path, monkeypatch):
+    sink = str(tmp_path / "out")
+    inventory = spark.createDataFrame([(1, "R1", "p", "c", 10.0, 9)], "id long, report_id string, product_name string, category string, price double, quantity int").withColumn("price", F.col("price").cast("decimal(12,2)"))
+    carts = [spark.createDataFrame([(f"l{n}", n, "t", 1, "R1", "p", "c", 10.0, 2, START)], CART).withColumn("unit_price", F.col("unit_price").cast("decimal(12,2)")) for n in range(2)]
+
+    def seen():
+        return {table: jobs.committed(spark, sink, table).count() for table in ("orders", "order_items", "verdicts")}
+
+    jobs.checkout_batch(carts[0], inventory, sink, 0)
+    write = jobs._write
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "_write", lambda df, sink, table, batch: write(df, sink, table, batch) if table != "order_items" else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.checkout_batch(carts[1], inventory, sink, 1)
+    assert spark.read.parquet(f"{sink}/orders").count() == 2 and seen() == {"orders": 1, "order_items": 1, "verdicts": 1}
+    jobs.checkout_batch(carts[1], inventory, sink, 1)
+    assert seen() == {"orders": 2, "order_items": 2, "verdicts": 2}
+
+
+def test_recently_viewed_stream_equals_batch(spark, tmp_path):
+    source, sink = tmp_path / "views", str(tmp_path / "out")
+    schema = "user_id bigint, item int, viewed_at timestamp"
+    rows = [(n % 3 if n % 2 else 1, n * n % 11, START + timedelta(minutes=(n * 37) % 90)) for n in range(90)] + [(None, 1, START), (5, None, START)]
+    source.mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    for n in range(5):
+        spark.createDataFrame(rows[n::5], schema).coalesce(1).write.mode("append").parquet(str(source))
+        jobs.stream_recently_viewed(stream, sink, str(tmp_path / "cp"), k=4, fold_every=2, availableNow=True).awaitTermination()
+        seen = spark.createDataFrame([r for m in range(n + 1) for r in rows[m::5]], schema)
+        assert sorted(map(str, jobs.recently_viewed_of(spark, sink, 4).collect())) == sorted(map(str, topk.recently_viewed(seen, 4).collect()))
+        assert len(jobs._batches(spark, sink, "views")) <= 3
+    later = jobs.recently_viewed_of(spark, sink, 4, START + timedelta(hours=1)).collect()
+    assert later and all(r.viewed_at >= START + timedelta(hours=1) for r in later)
+    assert jobs.recently_viewed_of(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_two_uploads_into_one_sink_keep_both(spark, tmp_path):
