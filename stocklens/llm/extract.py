@@ -1,10 +1,11 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into blocks of text at its block-level tags. A block is described by its word count and link density, by
-those of the blocks before and after it, and by what holds it: a menu-like part, an article, a heading, a paragraph, a
-list item. A decision tree, grown from the labelled blocks below, says which blocks are main text.
+those of the blocks before and after it, and by what holds it: an article, a heading, a paragraph, a list item, or a part
+around the article, known by its tag or by its class name, with the share of the page that this part holds. A decision
+tree, grown from the blocks of labelled pages, says which blocks are main text; no feature decides by itself.
 
-Null html counts as empty; a page without main text gives the empty text. Pages of any length are read whole, also cut
+Null html counts as empty; a page without main text gives the empty text; an empty table gives no rows. Pages of any length are read whole, also cut
 off ones. Rows are independent, so repeated rows give equal results; columns not named are not read.
 """
 
@@ -51,16 +52,20 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 #: Class names that say what an element is combined with, not what it is.
 ABOUT = re.compile(r"(?:has|with|no|without|not|js)[-_]")
+#: Last words of class names that only say that there is a part: the word before names it.
+PARTS = frozenset("area bar block box button buttons container form group holder inner item items links list module outer panel section wrap wrapper".split())
 
 
 @dataclass
 class Block:
     boiler: int
+    marked: int
+    region: int
     article: int
     heading: int
     paragraph: int
@@ -71,28 +76,52 @@ class Block:
     linked: int = 0
 
 
-def _around(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part around the article."""
+def names_part(name: str) -> bool:
+    """Whether a class name says that an element is a part around the article: by its head, the last word that says
+    something, so that ``site-footer`` and ``share-bar`` do and ``share-price-report`` does not."""
+    words = WORDS.findall(name)
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return bool(words) and words[-1] in BOILER_WORDS and not ABOUT.match(name)
+
+
+def _around(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is a part around the article: 1 by its tag or as it is hidden, 2 by a class name, else 0."""
     if tag in BOILER_TAGS or tag == "header" and not in_article:
-        return True
+        return 1
     if not attributes or tag in WHOLE:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for found in ATTRIBUTE.finditer(attributes):
-        for name in (found[1] or found[2] or found[3] or "").lower().split():
-            if not BOILER_WORDS.isdisjoint(WORDS.findall(name)) and not ABOUT.match(name):
-                return True
-    return False
+        return 0
+    found = 0
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and NO_DISPLAY.search(value):
+            return 1
+        if name in ("class", "id", "role") and any(map(names_part, value.split())):
+            found = 2
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page, in page order."""
     found: list[Block] = []
-    opened: list[tuple[str, bool, bool]] = []  # tag, menu-like, article
-    boiler = article = links = 0
+    opened: list[tuple[str, int, bool]] = []  # tag, part around the article, article
+    boiler = marked = region = regions = article = links = 0
     heading = paragraph = item = 0
-    block = Block(0, 0, 0, 0, 0)
+
+    def fresh() -> Block:
+        return Block(int(boiler > 0), int(marked > 0), region if boiler or marked else 0, int(article > 0), heading, paragraph, item)
+
+    def enter(tag: str, around: int) -> None:
+        nonlocal boiler, marked, region, regions, article
+        opened.append((tag, around, tag in ARTICLE_TAGS))
+        if around and not boiler and not marked:
+            regions += 1
+            region = regions
+        boiler += around == 1
+        marked += around == 2
+        article += tag in ARTICLE_TAGS
+
+    block = fresh()
 
     def flush():
         nonlocal block
@@ -101,13 +130,14 @@ def blocks(page: str) -> list[Block]:
             if block.text:
                 block.words = block.text.count(" ") + 1
                 found.append(block)
-        block = Block(int(boiler > 0), int(article > 0), heading, paragraph, item)
+        block = fresh()
 
     def add(raw: str):
+        nonlocal block
         if raw:
             plain = html.unescape(raw) if "&" in raw else raw
             if not block.parts:
-                block.boiler, block.article, block.heading, block.paragraph, block.item = int(boiler > 0), int(article > 0), heading, paragraph, item
+                block = fresh()
             block.parts.append(plain)
             if links:
                 block.linked += len(plain.split())
@@ -138,8 +168,9 @@ def blocks(page: str) -> list[Block]:
                 flush()
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] == tag:
-                    for _, was_boiler, was_article in opened[k:]:
-                        boiler -= was_boiler
+                    for _, around, was_article in opened[k:]:
+                        boiler -= around == 1
+                        marked -= around == 2
                         article -= was_article
                     del opened[k:]
                     break
@@ -151,58 +182,99 @@ def blocks(page: str) -> list[Block]:
             flush()
             heading, paragraph = int(tag in HEADINGS), int(tag == "p")
             item = 1 if tag in ITEMS else item if tag in ("p", "div", "ul", "ol") else 0
-            if tag not in VOID and tag != "p" and tag not in ITEMS:
-                attributes = token["attributes"] or token["attributes2"] or ""
-                around = _around(tag, attributes, article > 0)
-                opened.append((tag, around, tag in ARTICLE_TAGS))
-                boiler += around
-                article += tag in ARTICLE_TAGS
-            elif tag in ITEMS or tag == "p":
-                attributes = token["attributes"] or token["attributes2"] or ""
-                if attributes and tag != "p" and _around(tag, attributes, article > 0):
-                    opened.append((tag, True, False))
-                    boiler += 1
-        block.boiler, block.article, block.heading, block.paragraph, block.item = int(boiler > 0), int(article > 0), heading, paragraph, item
+            if tag not in VOID:
+                around = _around(tag, token["attributes"] or token["attributes2"] or "", article > 0)
+                if around or tag != "p" and tag not in ITEMS:
+                    enter(tag, around)
+        if not block.parts:
+            block = fresh()
     add(page[at:])
     flush()
     return found
 
 
 #: Names of a block's features, in order.
-FEATURES = "boiler article heading paragraph item words density before_words before_density after_words after_density".split()
+FEATURES = "boiler marked share article heading paragraph item words density before_words before_density after_words after_density".split()
+
 
+def features(found: list[Block]) -> np.ndarray:
+    """Features of one page's blocks, in page order.
 
-def features(rows: np.ndarray) -> np.ndarray:
-    """Rows of (boiler, article, heading, paragraph, item, words, linked) of one page's blocks, in page order."""
-    density = rows[:, 6] / np.maximum(rows[:, 5], 1)
+    ``share`` is the share of the page's words in the part around the article that holds the block: what holds most of a
+    page is no part around it, whatever its name. It is -1 for blocks in no such part.
+    """
+    rows = np.array([(b.boiler, b.marked, 0, b.article, b.heading, b.paragraph, b.item, b.words, min(b.linked, b.words) / max(b.words, 1)) for b in found], float)
+    region = np.array([b.region for b in found])
+    inside = np.bincount(region, weights=rows[:, 7])
+    rows[:, 2] = np.where(region > 0, inside[region] / max(rows[:, 7].sum(), 1), -1)
     none = np.zeros((1, 2))
-    sides = np.concatenate([none, np.stack([rows[:, 5], density], axis=1), none])
-    return np.column_stack([rows[:, :6], density, sides[:-2], sides[2:]])
-
-
-#: Labelled blocks, by page: (boiler, article, heading, paragraph, item, words, linked words, main text).
-LABELLED = [
-    # an article between menu, advert and footer
-    [(1, 0, 0, 0, 1, 1, 1, 0), (1, 0, 0, 0, 1, 1, 1, 0), (1, 0, 0, 0, 1, 2, 2, 0), (1, 0, 0, 0, 0, 8, 0, 0), (0, 1, 1, 0, 0, 6, 0, 1),
-     (0, 1, 0, 1, 0, 90, 0, 1), (0, 1, 0, 1, 0, 1, 0, 1), (0, 1, 0, 1, 0, 40, 3, 1), (1, 0, 0, 0, 0, 7, 0, 0)],
-    # short paragraphs in an article, one of them a link, with comments below
-    [(1, 0, 0, 0, 0, 25, 0, 0), (0, 1, 1, 0, 0, 3, 0, 1), (0, 1, 0, 1, 0, 4, 0, 1), (0, 1, 0, 1, 0, 2, 2, 1), (0, 1, 0, 0, 1, 5, 0, 1), (0, 1, 0, 0, 0, 2, 0, 1),
-     (0, 1, 0, 0, 1, 9, 4, 1), (0, 1, 0, 1, 0, 2, 0, 1), (1, 1, 0, 1, 0, 45, 0, 0), (1, 1, 0, 1, 0, 12, 1, 0), (1, 1, 0, 0, 0, 3, 3, 0)],
-    # no semantic tags: menu of links, heading, text, related links, legal line
-    [(0, 0, 0, 0, 1, 1, 1, 0), (0, 0, 0, 0, 1, 2, 2, 0), (0, 0, 0, 0, 1, 1, 1, 0), (0, 0, 1, 0, 0, 7, 0, 1), (0, 0, 0, 1, 0, 60, 2, 1), (0, 0, 0, 1, 0, 35, 0, 1),
-     (0, 0, 0, 1, 0, 3, 0, 1), (0, 0, 0, 1, 0, 80, 0, 1), (0, 0, 1, 0, 0, 2, 0, 0), (0, 0, 0, 0, 1, 6, 6, 0), (0, 0, 0, 0, 1, 5, 5, 0), (0, 0, 0, 0, 0, 6, 0, 0)],
-    # text in plain divisions
-    [(0, 0, 0, 0, 0, 4, 4, 0), (0, 0, 0, 0, 0, 3, 3, 0), (0, 0, 0, 0, 0, 50, 0, 1), (0, 0, 0, 0, 0, 30, 1, 1), (0, 0, 0, 0, 0, 70, 4, 1), (0, 0, 0, 0, 0, 4, 2, 0), (0, 0, 0, 0, 0, 5, 0, 0)],
-    # a list inside a text
-    [(0, 0, 1, 0, 0, 5, 0, 1), (0, 0, 0, 1, 0, 28, 0, 1), (0, 0, 0, 0, 1, 8, 0, 1), (0, 0, 0, 0, 1, 11, 0, 1), (0, 0, 0, 0, 1, 9, 1, 1), (0, 0, 0, 1, 0, 33, 0, 1), (0, 0, 0, 0, 0, 3, 3, 0)],
-    # a long notice, a side part and a form around paragraphs
-    [(1, 0, 0, 1, 0, 60, 2, 0), (1, 0, 1, 0, 0, 3, 0, 0), (1, 0, 0, 1, 0, 30, 0, 0), (0, 0, 1, 0, 0, 8, 0, 1), (0, 0, 0, 1, 0, 44, 0, 1), (0, 0, 0, 1, 0, 6, 0, 1), (0, 0, 0, 1, 0, 52, 5, 1),
-     (1, 0, 0, 0, 0, 4, 0, 0), (1, 0, 0, 0, 0, 2, 0, 0)],
-    # only links
-    [(0, 0, 0, 0, 1, 3, 3, 0), (0, 0, 0, 0, 1, 12, 12, 0), (0, 0, 0, 0, 0, 2, 0, 0), (0, 0, 0, 0, 1, 20, 20, 0), (0, 0, 0, 1, 0, 15, 14, 0), (0, 0, 0, 0, 0, 1, 0, 0)],
-    # quotations and headings within an article, a side part inside it
-    [(0, 1, 1, 0, 0, 9, 0, 1), (0, 1, 1, 0, 0, 2, 0, 1), (0, 1, 0, 0, 0, 20, 0, 1), (0, 1, 1, 0, 0, 4, 4, 1), (0, 1, 0, 1, 0, 16, 0, 1), (1, 1, 1, 0, 0, 2, 0, 0), (1, 1, 0, 0, 1, 6, 6, 0), (0, 1, 0, 1, 0, 1, 0, 1)],
-]
+    sides = np.concatenate([none, rows[:, 7:9], none])
+    return np.column_stack([rows, sides[:-2], sides[2:]])
+
+
+def labelled_pages(count: int = 180, seed: int = 11) -> list[str]:
+    """Labelled pages: the words of main text are ``main``, all others ``other``. Layouts take turns; sizes are drawn."""
+    rng = np.random.default_rng(seed)
+
+    def words(low: int, high: int, word: str = "main") -> str:
+        return " ".join([word] * int(rng.integers(low, high + 1)))
+
+    def link(low: int = 1, high: int = 6, word: str = "other") -> str:
+        return f"<a href=x>{words(low, high, word)}</a>"
+
+    def many(make, low: int, high: int) -> str:
+        return "".join(make() for _ in range(int(rng.integers(low, high + 1))))
+
+    def paragraph() -> str:
+        return f"<p>{words(12, 120)}</p>" if rng.random() < 0.6 else f"<p>{words(1, 8)}</p>" if rng.random() < 0.6 else f"<p>{words(2, 9)} {link(1, 12, 'main')} {words(1, 6)}</p>"
+
+    def long() -> str:
+        return f"<p>{words(25, 120)}</p>"
+
+    def items(tag: str = "li") -> str:
+        return "<ul>" + many(lambda: f"<{tag}>{words(3, 14)}</{tag}>" if rng.random() < 0.7 else f"<{tag}>{link(2, 8, 'main')} {words(2, 8)}</{tag}>", 2, 5) + "</ul>"
+
+    def menu(low: int = 2, high: int = 8) -> str:
+        return "<ul>" + many(lambda: f"<li>{link()}</li>", low, high) + "</ul>"
+
+    def other(low: int, high: int) -> str:
+        return many(lambda: f"<p>{words(low, high, 'other')}</p>", 1, 3)
+
+    def body(tag: str = "h2") -> str:
+        return f"<h1>{words(2, 12)}</h1>" + long() + many(lambda: paragraph() if rng.random() < 0.7 else items() if rng.random() < 0.6 else f"<{tag}>{words(1, 6)}</{tag}>{long()}", 2, 9) + long()
+
+    def short() -> str:
+        kinds = [f"<p>{words(1, 12)}</p>", f"<p>{link(1, 5, 'main')}</p>", f"<div>{words(1, 9)}</div>", f"<ul><li>{words(1, 7)}</li><li>{link(1, 4, 'main')}</li></ul>", f"<table><tr><td>{words(1, 4)}</td><th>{words(1, 4)}</th></tr></table>"]
+        return kinds[int(rng.choice(5, p=[0.5, 0.15, 0.15, 0.1, 0.1]))]
+
+    def short_body() -> str:
+        return f"<h1>{words(1, 8)}</h1>" + many(short, 1, 8)
+
+    def related() -> str:
+        return f"<h3>{words(1, 3, 'other')}</h3>" + menu(3, 8)
+
+    name = lambda options: str(rng.choice(options.split()))
+    layouts = [
+        lambda: f"<nav>{menu()}</nav><div class=ad>{words(4, 20, 'other')}</div><article>{body()}</article><footer>{words(2, 15, 'other')}</footer>",
+        lambda: f"<header>{words(1, 9, 'other')}</header><article><header><h1>{words(2, 9)}</h1></header>{short_body()}<aside>{other(2, 30)}</aside><div class={name('comments share-bar related-links')}>{other(1, 70)}{menu()}</div><p>{words(1, 5)}</p></article>",
+        lambda: f"<div id=top>{many(link, 2, 6)}</div><div class=content>{body()}</div><div id=comments>{other(3, 60)}</div><form><label>{words(1, 3, 'other')}</label><p>{words(2, 9, 'other')}</p></form><div class=sidebar>{related()}</div><div>{words(2, 8, 'other')}</div>",
+        lambda: many(lambda: f"<div>{link(1, 5)}</div>", 2, 6) + many(lambda: f"<div>{words(25, 110)}</div>", 2, 6) + many(lambda: f"<div>{link(1, 7)}</div>", 2, 5) + f"<div>{words(2, 8, 'other')}</div>",
+        lambda: f"<div>{menu()}</div><div class='{name('widget notice popup overlay hidden-gem banner')} page'>{body()}</div><div class=footer>{words(2, 12, 'other')}</div>",
+        lambda: f"<div class={name('cookie-notice gdpr consent-box')}>{other(5, 40)}</div><div>{body()}{long()}{long()}{long()}</div><aside>{other(2, 40)}</aside><div>{related()}</div>",
+        lambda: many(lambda: f"<div>{menu(3, 9)}</div>", 1, 3) + f"<div>{words(1, 3, 'other')}</div>",
+        lambda: f"<table><tr><td>{link()}</td><td>{link()}</td></tr></table><table><tr><td>{words(25, 90)}</td></tr><tr><td>{long()}{paragraph()}{long()}</td></tr></table><table><tr><td>{link()}</td><td>{link()}</td></tr></table>",
+        lambda: f"<div hidden>{other(3, 50)}</div><main>{body()}<div style='display:none'>{other(2, 20)}</div></main><div class='{name('promo newsletter subscribe-box')}'>{other(3, 30)}</div>",
+        lambda: f"<div>{menu()}</div>{body('h3')}<p>{words(2, 6)} {link(6, 20, 'main')}</p>{long()}{related()}<div>{words(2, 9, 'other')}</div>",
+        lambda: f"<article>{body()}</article><section class={name('comments recommended taboola')}>{other(4, 90)}</section>{related()}<footer>{menu()}</footer>",
+        lambda: f"<article>{short_body()}</article><nav>{menu()}</nav><footer>{other(2, 30)}</footer>",
+        lambda: f"<div>{menu()}</div><div>{body()}</div>",
+        lambda: f"<nav>{menu()}</nav><div class=ad>{words(3, 20, 'other')}</div><article>{body()}{many(short, 0, 3)}</article>",
+        lambda: f"<main>{many(short, 1, 4)}</main>" + (f"<div>{menu()}</div>" if rng.random() < 0.5 else ""),
+        lambda: f"<p>{words(1, 90)}</p>" if rng.random() < 0.5 else f"<h1>{words(1, 9)}</h1>{many(paragraph, 1, 4)}",
+        lambda: many(lambda: f"<div>{words(10, 90)}</div>", 1, 4) + (f"<div>{link(1, 5)}</div>" if rng.random() < 0.5 else ""),
+        lambda: f"<div class='{name('search-story page-with-sidebar price-report')}'>{body()}{items()}</div><div class='{name('site-footer social-links pager copyright-notice')}'>{other(2, 25)}</div>",
+    ]
+    return [layouts[k % len(layouts)]() for k in range(count)]
 
 
 @dataclass
@@ -247,20 +319,17 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained(labelled: list[list[tuple[int, ...]]] = LABELLED) -> Node:
-    pages = [np.array(rows, float) for rows in labelled]
-    return grow(np.concatenate([features(p[:, :7]) for p in pages]), np.concatenate([p[:, 7] > 0 for p in pages]))
+def trained(labelled: list[str] | None = None) -> Node:
+    pages = [blocks(page) for page in labelled or labelled_pages()]
+    return grow(np.concatenate([features(found) for found in pages]), np.array([b.text.startswith("main") for found in pages for b in found]))
 
 
 def main_text(page: str, tree: Node) -> str:
     found = blocks(page)
-    if not found:
-        return ""
-    rows = np.array([(b.boiler, b.article, b.heading, b.paragraph, b.item, b.words, min(b.linked, b.words)) for b in found], float)
-    return " ".join(b.text for b, main in zip(found, decide(tree, features(rows)).tolist(), strict=True) if main)
+    return " ".join(b.text for b, main in zip(found, decide(tree, features(found)).tolist(), strict=True) if main) if found else ""
 
 
-def extract(pages: DataFrame, labelled: list[list[tuple[int, ...]]] = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     tree = trained(labelled)
 

@@ -213,13 +213,15 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     one, several = (
         docs.join(kept.filter(which).select(kept_id).hint("merge"), F.col("doc_id") == F.col(kept_id), "left_semi") for which in ("times = 1", "times > 1")
     )
-    # rows that share an id are told apart by their fingerprints
+    # Rows that share an id are told apart by their fingerprints. Null-safe comparison keeps Spark from asking for
+    # fingerprints that are not null below the join with the ids, which would compute them for all documents again and
+    # make the two shuffles of the texts differ, of which one now serves both.
     firsts = found.filter(is_first).groupBy("label").agg(F.min("doc_id").alias(kept_id), F.min("fp").alias(print_kept)).drop("label")
     firsts = firsts.join(kept.filter("times > 1").select(kept_id).hint("merge"), kept_id, "left_semi")
-    same = (F.col("doc_id") == F.col(kept_id)) & (F.col(print_of) == F.col(print_kept))
+    same = (F.col("doc_id") == F.col(kept_id)) & F.col(print_of).eqNullSafe(F.col(print_kept))
     several = several.withColumn(print_of, of(utf8("text"))).join(firsts.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", print_of]).drop(print_of)
     alone = found.filter("doc_id is null and component_id is null and fp = label").select(F.col("fp").alias(print_kept)).distinct()
-    without = docs.filter("doc_id is null").withColumn(print_of, of(utf8("text"))).join(alone, F.col(print_of) == F.col(print_kept), "left_semi")
+    without = docs.filter("doc_id is null").withColumn(print_of, of(utf8("text"))).join(alone, F.col(print_of).eqNullSafe(F.col(print_kept)), "left_semi")
     return one.unionByName(several).unionByName(without.dropDuplicates([print_of]).drop(print_of))
 
 

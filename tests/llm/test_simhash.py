@@ -126,3 +126,19 @@ def test_dedup_of_an_id_with_different_texts(make_docs):
     first, second, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("apple", "river", "stone"))
     kept = simhash.dedup(make_docs([(1, first), (2, second), (2, first), (2, third), (2, third), (3, second), (4, third)]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, first), (2, second), (2, third)]
+
+
+def test_dedup_reads_and_shuffles_texts_once(spark, tmp_path, documents):
+    path = str(tmp_path / "docs")
+    documents.unionByName(documents.limit(20)).write.parquet(path)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = simhash.dedup(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    scans = [k for k, line in enumerate(lines) if "Scan parquet" in line and path in line]
+    full = [k for k in scans if "IsNull(doc_id)" not in lines[k]]
+    assert len(full) == 1 and any("ReusedExchange" in line for line in lines)
+    python = [line for line in lines if "ArrowEvalPython" in line]
+    assert len(python) == 2  # of rows whose id several have, and of rows without id
