@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Words are runs of anything but these bytes; ``bytes.split`` and this class agree.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Keys that are longer are not kept in a ``Memo``.
+LONGEST_KEY = 128
+
 
 class Memo(dict):
     """A function's results by argument, bounded to two generations of ``size`` entries.
@@ -32,6 +35,8 @@ class Memo(dict):
         return value
 
     def store(self, key, value) -> None:
+        if len(key) > LONGEST_KEY:
+            return  # long pieces are rarely met again, and would make the bound on entries no bound on bytes
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -110,6 +115,15 @@ def gather(offsets: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> tuple
     return values[places], ends
 
 
+def in_order(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows dealt by ranges of id and text, and sorted by both within each.
+
+    The beginning of the text is part of the range, so that an id that many rows have, or null, fills many ranges.
+    """
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), F.col(id_col), F.left(F.col(text_col), F.lit(64)))
+    return dealt.sortWithinPartitions(id_col, text_col)
+
+
 def utf8(column: str | Column) -> Column:
     """The bytes of a text, empty for null."""
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit("")).cast("binary")

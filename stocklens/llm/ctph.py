@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stocklens.llm.common import partitions, slices, text, written
+from stocklens.llm.common import in_order, slices, text, written
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 SHARE, MOST, LEAST, SIZES, RUN = 32, 256, 12, 3, 4
@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of documents and of their edited texts, with the likeness to the edited text and to the next document.
 
-    Documents are dealt by ranges of ids, once. Each range leaves its first and last text; a second step compares every
+    Documents are dealt by ranges of ids and texts, once. Each range leaves its first and last text; a second step compares every
     last text with the first of the next range.
     """
 
@@ -210,8 +210,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(_compared([key, None], [whole, following], prints), names=names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = written(dealt.mapInArrow(run, f"{COLUMNS}, part int, first boolean, text string"), "compared")
+    found = written(in_order(rows).mapInArrow(run, f"{COLUMNS}, part int, first boolean, text string"), "compared")
     firsts = found.filter("first").select("part", F.col("text").alias("following"))
     order = Window.orderBy("part")  # one row of numbers per range
     after = firsts.select("part").withColumn("after", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))

@@ -7,7 +7,8 @@ usual alphabets or put together from the parts below, and from all documents: wo
 and the values that patterns match (random). Pairs of characters are summed up by Spark.
 
 Null texts count as empty and have no span. Texts are scanned whole; spans are code points, the end exclusive. Rows are
-independent, so repeated rows give equal results. Columns but id and text are not read, and ``redact`` keeps them all.
+independent, so repeated rows give equal results; an empty table gives no rows, and of equal starts the kind listed first
+comes first. UUIDs name things and open nothing, so they are cut out as well and give no span. Columns but id and text are not read, and ``redact`` keeps them all.
 """
 
 import hashlib
@@ -27,6 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 LEAST = 20
+#: Fixed format of identifiers that name and do not open anything; they are no candidates.
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Words that identifiers are put together from.
@@ -78,7 +81,7 @@ def identifiers(count: int = 8000, seed: int = 6) -> list[str]:
     for k in range(count):
         parts = [PARTS[i] for i in rng.integers(0, len(PARTS), rng.integers(2, 6))]
         number = str(rng.integers(0, 10 ** int(rng.integers(1, 5)))) if rng.random() < 0.3 else ""
-        match k % 6:
+        match k % 7:
             case 0:
                 out.append("_".join(parts) + number)
             case 1:
@@ -89,12 +92,21 @@ def identifiers(count: int = 8000, seed: int = 6) -> list[str]:
                 out.append("_".join(map(str.upper, parts)) + number)
             case 4:
                 out.append("/" + "/".join(parts) + number)
+            case 6:
+                out.append(_in_order(rng))
             case 5:
                 day = f"{rng.integers(1990, 2035)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
                 out.append("/".join([parts[0], day, str(rng.integers(0, 10**9)), "=" * int(rng.integers(4, 20)), "-" * int(rng.integers(4, 20)), "_" * 8, "0" * int(rng.integers(2, 12))]))
     return out
 
 
+def _in_order(rng: np.random.Generator) -> str:
+    """Alphabets and digits in their order, from some place on."""
+    upper, lower, digits = CHARACTERS[:26], CHARACTERS[26:52], CHARACTERS[52:62]
+    parts = [[upper, lower, digits, digits][i] for i in rng.permutation(4)[: int(rng.integers(1, 4))]]
+    return "".join(parts)[int(rng.integers(0, 6)) :]
+
+
 def pair_counts(texts: list[str], least: int = 1) -> np.ndarray:
     """How often a character follows another, or (in row 0) begins a run, over all runs of ``least`` characters or more."""
     n = len(CHARACTERS) + 1
@@ -181,7 +193,15 @@ def spans(whole: str, model: Markov | None) -> list[tuple[int, int, int]]:
 
 
 def _random(whole: str, start: int, end: int, model: Markov) -> list[tuple[int, int, int]]:
-    return [(start, 3, end)] if end - start >= LEAST and model.is_secret(whole[start:end]) else []
+    """What the models call random of a piece, without the identifiers in it."""
+    if end - start < LEAST:
+        return []
+    found, at = [], start
+    for a, b in [*(m.span() for m in UUID.finditer(whole, start, end)), (end, end)]:
+        if a - at >= LEAST and model.is_secret(whole[at:a]):
+            found.append((at, 3, a))
+        at = b
+    return found
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:

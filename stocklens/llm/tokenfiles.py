@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stocklens.llm import pfor
-from stocklens.llm.common import Memo, gather, partitions, split_words, text, together
+from stocklens.llm.common import Memo, gather, in_order, partitions, split_words, text, together
 
 MAGIC = b"SLTOKEN1"
 HEAD = np.dtype([("magic", "S8"), ("docs", "<u8"), ("ids", "<u8"), ("id_bytes", "<u8"), ("length_bytes", "<u8")])
@@ -197,8 +197,7 @@ def write_files(
             yield close()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = dealt.mapInArrow(run, "part int, number int, path string, n_docs bigint, n_ids bigint")
+    files = in_order(rows).mapInArrow(run, "part int, number int, path string, n_docs bigint, n_ids bigint")
     files.write.parquet(f"{folder}/manifest")
     return spark.read.schema(files.schema).parquet(f"{folder}/manifest")
 

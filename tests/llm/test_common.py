@@ -49,3 +49,21 @@ def test_unused_names(spark):
 def test_written_tables_keep_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("x"))
     assert sorted(map(tuple, common.written(df, "test").collect())) == [(n, None) for n in range(10)]
+
+
+def test_order_of_a_hot_id(spark):
+    rows = [(n if n % 3 else 7, f"text {n * 7919 % 3000:04d}") for n in range(3000)] + [(None, f"t{n}") for n in range(500)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        dealt = common.in_order(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+        got = [[tuple(r) for r in part] for part in dealt.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [r for part in got for r in part] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert max(map(len, got)) < 2 * len(rows) / 8
+
+
+def test_long_keys_are_not_kept():
+    memo = common.Memo(len)
+    assert memo["a" * 1_000_000] == 1_000_000 and memo["abc"] == 3 and list(memo) == ["abc"]

@@ -115,3 +115,36 @@ def test_redact(make_docs, no_docs):
     assert sorted((r.doc_id, r.text) for r in got.collect() if r.text is not None) == [(1, 'a [secret]" b'), (3, "clean"), (3, "clean"), (4, "")]
     assert got.filter("text is null").count() == 1
     assert secrets.redact(no_docs).count() == 0
+
+
+def test_identifiers_are_no_secrets(spark, make_docs):
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(4)
+    ordinary = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(200)]
+    ordinary += [string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters, string.ascii_lowercase + string.digits, string.digits * 3, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    ordinary += ["_".join(rng.sample(secrets.PARTS, 4)) for _ in range(200)] + ["/".join(rng.sample(secrets.PARTS, 4)) for _ in range(200)]
+    alphabet = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(32, 48))) for _ in range(300)]
+    docs = make_docs([(k, f"see {w} there") for k, w in enumerate(ordinary + keys)])
+    found = {r.doc_id: (r.n_random, r.spans) for r in secrets.scan(docs).collect()}
+    wrong = [ordinary[k] for k in range(len(ordinary)) if found[k][0]]
+    lost = [w for k, w in enumerate(keys) if f"random:4:{4 + len(w)}" not in found[len(ordinary) + k][1]]
+    assert len(wrong) <= 0.005 * len(ordinary) and len(lost) <= 0.02 * len(keys), (wrong, lost)
+
+
+def test_likelihood_one_by_one():
+    import math
+
+    ordinary, random_ = secrets.pair_counts(secrets.identifiers(300)), secrets.pair_counts(secrets.random_strings(200))
+    model = secrets.Markov(random_, ordinary)
+    for word in ("session_token_value", "Zk3Lq9XvB7tTn2Rw8YpQ", "a", "ABCDEFGHIJ", "/a/b-c=="):
+        total, before = 0.0, 0
+        for c in word:
+            code = secrets.CHARACTERS.index(c) + 1
+            total += math.log((random_[before, code] + 0.5) / (random_[before].sum() + 0.5 * len(random_)))
+            total -= math.log((ordinary[before, code] + 0.5) / (ordinary[before].sum() + 0.5 * len(ordinary)))
+            before = code
+        assert abs(total - model.sum(word)) < 1e-9
