@@ -48,6 +48,8 @@ system table task template test time timeout title total trace transaction tree
 validate value variable version view visible weight widget width worker wrapper write""".split()
 #: Words of documents count as ordinary from this length on.
 LEAST_WORD = 4
+#: Bytes of text that are looked at together; counting pairs of characters takes some 40 times as many.
+SLICE = 1 << 20
 #: The number of a character by its byte; 0 for others and for a start.
 _CODES = np.zeros(256, np.int64)
 _CODES[list(CHARACTERS.encode())] = np.arange(1, len(CHARACTERS) + 1)
@@ -145,7 +147,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Markov:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, n, n), np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             values, rest = [], []
             for whole in batch.column(0).to_pylist():
                 at = 0
@@ -214,7 +216,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             found = [spans(t, model) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(k == kind for _, k, _ in f) for f in found], pa.int64()) for kind in range(4)]
             digests = [hashlib.sha256(joined([x for x in f if x[1] < 3]).encode()).hexdigest() for f in found]
@@ -241,7 +243,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             clean = [t if t is None else without_spans(t, spans(t, model), mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, pa.string()))
 
