@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
 from stocklens.operators.allocation import allocate
-from stocklens.operators.joins import known_categories
+from stocklens.operators.joins import known_categories, resolve_catalog_report
+from stocklens.operators.scope import valid_catalogs
 from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, TABLES, TEXTS, UNCATEGORIZED
+from stocklens.session import WorkTables
 
 
 def _last(changes: DataFrame, key: str, order: list[str], fields: list[str], counts: Column) -> DataFrame:
@@ -76,14 +78,24 @@ def clear_carts(cart: DataFrame, users: DataFrame) -> DataFrame:
     return apply_deletes(cart, users, "user_id")
 
 
+def cart_sources(catalogs: DataFrame, adds: DataFrame, reports: DataFrame, inventory: DataFrame, as_of: str) -> DataFrame:
+    """``share_token`` and ``report_id`` of the valid catalogs that cart additions name; other catalogs are not resolved."""
+    asked = adds.select(F.col("share_token").alias("token")).distinct()
+    valid = valid_catalogs(catalogs, as_of).join(asked, "token", "left_semi").select(*catalogs.columns)
+    resolved = resolve_catalog_report(valid, reports, inventory, few=True)
+    return resolved.select(F.col("token").alias("share_token"), F.col("resolved_report_id").alias("report_id"))
+
+
 def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cart additions in order of request: returns the new cart and a verdict per request.
 
     ``catalogs``: ``share_token`` and ``report_id`` of the valid catalogs. ``adds``: ``request_id``, ``requested_at``,
     ``user_id``, ``share_token``, ``inventory_id``, ``quantity``. A cart holds one catalog: that of its present lines,
     else that of the first addition that passes on its own. The id of a new line is a digest of user, item, catalog and
-    the time of the first request.
+    the time of the first request. The requests with what is known of each are written once, as the allocation and both
+    results read them.
     """
+    work = WorkTables(adds.sparkSession, "cart")
     stock = inventory.select(
         F.col("id").alias("inventory_id"),
         "report_id",
@@ -127,7 +139,9 @@ def merge_cart(cart: DataFrame, adds: DataFrame, inventory: DataFrame, catalogs:
         .withColumn("problem", F.coalesce("problem", F.when(other, "other catalog")))
         .withColumn("item", F.struct("user_id", "inventory_id"))
         .withColumn("claim", F.col("request_id"))
+        .drop("source", "first_source", "held_from", "held_to")
     )
+    judged = work.keep(judged, "judged")
     contenders = judged.filter(F.col("problem").isNull())
     verdicts = allocate(
         contenders.select("claim", F.col("requested_at").alias("arrival"), "item", F.col("quantity").alias("units")),

@@ -142,7 +142,8 @@ def user_dashboard(tables: dict[str, DataFrame], user_id: int, username: str, as
     latest = topk.latest_valid_catalog(t["shared_catalogs"], as_of)
     inventory = t["inventory_data"]
     resolved = joins.resolve_catalog_report(latest, t["uploaded_reports"], inventory, few=True)
-    rows = scope.typed_inventory(_rows_of(inventory, resolved))
+    found = resolved.select("resolved_report_id").first()
+    rows = scope.typed_inventory(_rows_of(inventory, found and found[0]))
     own = scope.visible_orders(t["orders"], "user", user_id, username)
     cart = t["cart_items"].filter(F.col("user_id") == user_id)
     return Bundle(
@@ -175,12 +176,11 @@ def report_view(report_id: str, reports: DataFrame, catalogs: DataFrame, invento
     )
 
 
-def _rows_of(inventory: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Inventory rows of resolved reports."""
-    report, by = resolved.select(F.col("resolved_report_id").alias("report_id")), ["report_id"]
-    if "report_bucket" in inventory.columns:
-        report, by = report.withColumn("report_bucket", report_bucket(F.col("report_id"))), ["report_id", "report_bucket"]
-    return inventory.join(report, by, "left_semi")
+def _rows_of(inventory: DataFrame, report_id: str | None) -> DataFrame:
+    """Inventory rows of a report; none without one."""
+    report = F.lit(report_id)
+    rows = inventory.filter(F.lit(False) if report_id is None else F.col("report_id") == report)
+    return rows.filter(F.col("report_bucket") == report_bucket(report)) if "report_bucket" in inventory.columns and report_id is not None else rows
 
 
 def catalog_page(
@@ -199,12 +199,13 @@ def catalog_page(
 ) -> Bundle:
     """Rows, metrics and facets of the catalog a link names; all empty when the link is not valid.
 
-    The report is resolved inside the plan. When the stored inventory comes with its bucket column, the joins on it
-    prune the folders of other buckets at run time, both when the page asks whether reports have rows and when it reads
-    them. Only items of the page's products are added up for popularity.
+    The report of the one catalog is resolved first and is a literal in the page's plan, so its filter prunes the folders
+    of other buckets and the row groups of other reports when the plan is made, and no join is left of the resolving. Only
+    items of the page's products are added up for popularity.
     """
     catalog = scope.catalog_by_token(catalogs, token, as_of)
-    rows = scope.typed_inventory(_rows_of(inventory, joins.resolve_catalog_report(catalog, reports, inventory, row_counts, few=True)))
+    found = joins.resolve_catalog_report(catalog, reports, inventory, row_counts, few=True).select("resolved_report_id").first()
+    rows = scope.typed_inventory(_rows_of(inventory, found and found[0]))
     matching = scope.filter_catalog(rows, search, category, stock_level, branch)
     return Bundle(
         [],

@@ -957,23 +957,20 @@ def apply_deletes(t):
     return changes.apply_deletes(t.order_items, pending, "order_id")
 
 
-def _valid_sources(t):
-    """Valid shared catalogs and the reports they stand for."""
-    valid = scope.valid_catalogs(t.shared_catalogs, AS_OF)
-    resolved = joins.resolve_catalog_report(valid, t.uploaded_reports, t.inventory_data)
-    return resolved.select(F.col("token").alias("share_token"), F.col("resolved_report_id").alias("report_id"))
+def _merged(t):
+    adds = t.sql(derived.CART_ADDS)
+    sources = changes.cart_sources(t.shared_catalogs, adds, t.uploaded_reports, t.inventory_data, AS_OF)
+    return changes.merge_cart(t.sql(derived.OPEN_CARTS), adds, t.inventory_data, sources)
 
 
 @query
 def merge_cart(t):
-    adds = t.sql(derived.CART_ADDS)
-    return changes.merge_cart(t.sql(derived.OPEN_CARTS), adds, t.inventory_data, _valid_sources(t))[1]
+    return _merged(t)[1]
 
 
 @query
 def merge_cart_lines(t):
-    adds = t.sql(derived.CART_ADDS)
-    return changes.merge_cart(t.sql(derived.OPEN_CARTS), adds, t.inventory_data, _valid_sources(t))[0]
+    return _merged(t)[0]
 
 
 @query

@@ -51,3 +51,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "EqualTo(l_returnflag,N)" in plan and "ReadSchema: struct<l_partkey:bigint,l_returnflag:string>" in plan
     plan = plan_of(registry.queries()["dashboard_metrics"](spark, sf_dir))
     assert "p_name" not in plan.split("ReadSchema: ")[1]
+
+
+def test_cart_merging_resolves_only_what_is_asked_for(spark, sf_dir):
+    for name in ("merge_cart", "merge_cart_lines"):
+        plan = plan_of(registry.queries()[name](spark, sf_dir))
+        assert plan.count("Exchange hashpartitioning") <= 16 and plan.count("Scan parquet") <= 12
