@@ -35,7 +35,7 @@ class Memo(dict):
         return value
 
     def store(self, key, value) -> None:
-        if len(key) > LONGEST_KEY:
+        if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEY:
             return  # long pieces are rarely met again, and would make the bound on entries no bound on bytes
         if len(self) >= self.size:
             self.old = dict(self)
