@@ -4,7 +4,8 @@ import pytest
 CLASHING = (
     "key ids fp label root node number value mask band count first component_id text_sha size source_size target taken place "
     "shuffle cell before within upto finish copy part following after spans score held_out predicted lang_pred fingerprint start "
-    "n_tokens rank query_id block rows weights _kept _id _times _copy _fp _hot _n url page_id quality"
+    "n_tokens rank query_id block rows weights _kept _id _times _copy _fp _hot _n url page_id quality times _print _print_kept "
+    "phrase hash f a l r n row base seen added length period runs collapsed all_found email_start id"
 ).split()
 
 
