@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stocklens.functions import columns as C
-from stocklens.operators.allocation import allocate
+from stocklens.operators.allocation import allocate, number_claims
 from stocklens.operators.joins import known_categories, resolve_catalog_report
 from stocklens.operators.scope import valid_catalogs
 from stocklens.schemas import DEFAULT_REORDER_LEVEL, RESETTABLE_TABLES, TABLES, TEXTS, UNCATEGORIZED
@@ -206,19 +206,25 @@ def update_cart_quantity(cart: DataFrame, changes: DataFrame, inventory: DataFra
     )
 
 
-def checkout(cart: DataFrame, inventory: DataFrame, users: DataFrame | None = None) -> dict[str, DataFrame]:
+def checkout(
+    cart: DataFrame, inventory: DataFrame, users: DataFrame | None = None, work: WorkTables | None = None
+) -> dict[str, DataFrame]:
     """Check out every cart, in order of its last change within its report.
 
     A cart goes through when each of its lines still has enough stock after the carts before it. Returns ``verdicts``,
     ``orders`` and ``order_items`` in the layout of their tables, ``activity``, units ``sold``, the reduced ``inventory``
     and the ``cart`` lines that stay. The order total uses inventory prices, the line totals use cart prices. Order ids
     are digests of the cart and its last change, item ids of the order and the line, so a repeated run gives the same
-    ids. User names come from ``users`` and are null without it.
+    ids. User names come from ``users`` and are null without it. The lines and the carts are written once below ``work``,
+    as the allocation and all results read them; a caller may remove its ``work`` when it has written the results.
     """
+    work = work or WorkTables(cart.sparkSession, "checkout")
     key = ["report_id", "user_id", "share_token"]
     ref = F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
-    lines = cart.withColumn("order_ref", ref)
-    carts = lines.groupBy("order_ref").agg(F.max("created_at").alias("checkout_at"))
+    of_cart = F.struct(*key).alias("of_cart")
+    lines = work.keep(cart, "lines")
+    carts = lines.groupBy(*key).agg(F.max("created_at").alias("checkout_at")).withColumn("order_ref", ref)
+    carts = number_claims(carts, ["checkout_at", "order_ref"], work, "carts").withColumn("order_ref", ref).select("*", of_cart)
     order_id = C.key_id(F.col("order_ref"), F.col("checkout_at"))
     stock = inventory.select(
         F.col("id").alias("inventory_id"),
@@ -229,26 +235,24 @@ def checkout(cart: DataFrame, inventory: DataFrame, users: DataFrame | None = No
     )
     item = F.struct("report_id", "inventory_id")
     asked = (
-        lines.groupBy("order_ref", "report_id", "inventory_id")
+        lines.select(of_cart, "inventory_id", "quantity")
+        .join(carts.select("of_cart", "claim_no"), "of_cart")
+        .groupBy(F.col("claim_no").alias("claim"), F.struct("of_cart.report_id", "inventory_id").alias("item"))
         .agg(F.sum(F.coalesce("quantity", F.lit(0))).alias("units"))
-        .join(carts, "order_ref")
     )
-    decided = allocate(
-        asked.select(
-            F.col("order_ref").alias("claim"), F.col("checkout_at").alias("arrival"), item.alias("item"), "units"
-        ),
-        stock.select(item.alias("item"), F.col("available").alias("units")),
-    ).select(F.col("claim").alias("order_ref"), "accepted")
+    verdicts_of = allocate(asked, stock.select(item.alias("item"), F.col("available").alias("units")), work=work, numbered=True)
+    decided = carts.join(verdicts_of.withColumnRenamed("claim", "claim_no"), "claim_no")
     priced = lines.join(stock, ["report_id", "inventory_id"], "left")
-    totals = priced.groupBy("order_ref", *key).agg(
+    totals = priced.groupBy(*key).agg(
         F.max("created_at").alias("created_at"),
         F.sum(C.line_total(F.col("current_price"), F.col("quantity"))).alias("total_amount"),
         F.bool_or(F.col("found").isNull()).alias("has_missing"),
-    )
+    ).select("*", of_cart)
     verdict = F.when(F.col("accepted"), "confirmed").when(F.col("has_missing"), "missing").otherwise("over stock")
-    verdicts = totals.join(decided, "order_ref").withColumn("verdict", verdict)
-    accepted = decided.filter("accepted").select("order_ref")
-    sold_lines = lines.join(accepted.join(carts, "order_ref").withColumn("order_id", order_id), "order_ref")
+    verdicts = totals.join(decided.select("of_cart", "order_ref", "accepted"), "of_cart").withColumn("verdict", verdict)
+    accepted = decided.filter("accepted")
+    of_lines = lines.select("*", of_cart)
+    sold_lines = of_lines.join(accepted.select("of_cart", order_id.alias("order_id")), "of_cart")
     named = verdicts.filter("accepted").withColumn("checkout_at", F.col("created_at")).withColumn("order_id", order_id)
     if users is None:
         named = named.withColumn("username", F.lit(None).cast("string"))
@@ -274,7 +278,7 @@ def checkout(cart: DataFrame, inventory: DataFrame, users: DataFrame | None = No
         "inventory": inventory.join(sold, ["report_id", "id"], "left")
         .withColumn("quantity", (F.col("quantity") - F.coalesce("sold", F.lit(0))).cast("int"))
         .select(*inventory.columns),
-        "cart": lines.join(accepted, "order_ref", "left_anti").select(*cart.columns),
+        "cart": of_lines.join(accepted, "of_cart", "left_anti").select(*cart.columns),
     }
 
 
