@@ -131,6 +131,15 @@ CART_CHANGES = f"""
     SELECT {LINE_ID}, o_custkey, l_shipdate, 'b', CAST(CAST(l_discount * 100 AS INT) AS STRING)
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 
+# The same changes from one scan and one join, for Spark.
+SPARK_CART_CHANGES = f"""
+    SELECT {LINE_ID} AS cart_item_id, o_custkey AS user_id, l_shipdate AS changed_at, change_id, quantity
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, inline(array(
+              struct('a' AS change_id, CASE l_linenumber % 4 WHEN 0 THEN '2.5' WHEN 1 THEN '-2' WHEN 2 THEN CAST(CAST(l_tax * 100 AS INT) AS STRING)
+                     ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity),
+              struct('b' AS change_id, CAST(CAST(l_discount * 100 AS INT) AS STRING) AS quantity)))
+          FROM lineitem) c JOIN orders ON o_orderkey = l_orderkey"""
+
 CART_ADDS = f"""
     SELECT {LINE_KEY} AS request_id, o_orderdate AS requested_at, o_custkey AS user_id,
            'tok' || CAST(l_partkey % 25 AS STRING) AS share_token, l_partkey AS inventory_id,
