@@ -129,13 +129,20 @@ def stream_sales_trend(t):
 def stream_checkout(t):
     """Cart lines over several micro-batches, then the closing of every cart."""
     work = WorkTables(t.spark, "carts")
-    lines = t.cart_items.withColumn("closes", F.lit(False)).repartition(4, "cart_item_id")
-    work.keep(lines, "lines")
+    lines = t.cart_items.withColumn("closes", F.lit(False))
+    parts = max(4, t.spark.sparkContext.defaultParallelism)
+    kept = work.keep(lines.repartition(parts, "cart_item_id"), "lines").drop("closes")
+
+    def run(**options):
+        stream = t.spark.readStream.schema(lines.schema).options(**options).parquet(f"{work.root}/lines")
+        jobs.stream_checkout(stream, t.inventory_data, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
+
+    run(maxFilesPerTrigger=-(-parts // 2))
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema if f.name not in ("report_id", "user_id", "share_token", "created_at", "closes")]
-    closings = t.cart_items.groupBy("report_id", "user_id", "share_token").agg(F.max("created_at").alias("created_at")).withColumn("closes", F.lit(True))
-    closings.select("*", *nothing).select(*lines.columns).coalesce(1).write.mode("append").parquet(f"{work.root}/lines")
-    stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{work.root}/lines")
-    jobs.stream_checkout(stream, t.inventory_data, f"{work.root}/sink", f"{work.root}/checkpoint", availableNow=True).awaitTermination()
+    closings = kept.groupBy("report_id", "user_id", "share_token").agg(F.max("created_at").alias("created_at")).withColumn("closes", F.lit(True))
+    closings = work.keep(closings.select("*", *nothing).select(*lines.columns), "closings")
+    closings.write.mode("append").parquet(f"{work.root}/lines")
+    run()  # all closings are one micro-batch
     return jobs.committed(t.spark, f"{work.root}/sink", "verdicts").drop("order_ref", "batch_id")
 
 
@@ -975,7 +982,7 @@ def merge_cart_lines(t):
 
 @query
 def update_cart_quantity(t):
-    return changes.update_cart_quantity(t.cart_items, t.sql(derived.CART_CHANGES), t.inventory_data)
+    return changes.update_cart_quantity(t.cart_items, t.sql(derived.SPARK_CART_CHANGES), t.inventory_data)
 
 
 @query

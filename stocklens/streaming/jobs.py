@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from stocklens.functions import columns as C
 from stocklens.operators import changes, ingest, topk
 from stocklens.schemas import TABLES, TEXTS
-from stocklens.session import folder_exists, folder_names, remove_folder
+from stocklens.session import WorkTables, folder_exists, folder_names, remove_folder
 from stocklens.sources.tables import append_inventory, conform_schema, report_bucket
 from stocklens.sources.workbooks import CELL_SCHEMA, WORKBOOK_GLOB, cells_of
 
@@ -243,13 +243,14 @@ def checkout_batch(
     by = ["report_id", "id"]
     if "report_bucket" in inventory.columns:  # lets the batch prune the folders of the stored inventory
         keys, by = keys.withColumn("report_bucket", report_bucket(F.col("report_id"))), [*by, "report_bucket"]
+    work = WorkTables(spark, "checkout-batch")
     stock = (
         inventory.join(keys, by, "left_semi")
         .join(_sold_between(spark, sink, base, batch_id), ["report_id", "id"], "left")
         .withColumn("quantity", (F.coalesce("quantity", F.lit(0)) - F.coalesce("sold", F.lit(0))).cast("int"))
         .drop("sold")
     )
-    result = changes.checkout(requests, stock)
+    result = changes.checkout(requests, work.keep(stock, "stock"), work=work)
     sold = result["sold"].select("report_id", "id", F.col("sold").cast("bigint").alias("sold"))
     tables = {"verdicts": result["verdicts"], "orders": result["orders"], "order_items": result["order_items"], "activity_logs": result["activity"], "sold": sold}
     for table, rows in tables.items():
@@ -257,6 +258,7 @@ def checkout_batch(
     _write(spark.createDataFrame([(batch_id,)], "upto bigint"), sink, "commits", batch_id)
     for old in range(max(0, batch_id - 4), batch_id - 2):
         remove_folder(spark, f"{sink}/commits/batch_id={old}")
+    remove_folder(spark, work.root)
 
 
 def committed(spark: SparkSession, sink: str, table: str) -> DataFrame:
