@@ -56,16 +56,18 @@ def ingest_files(
     listed = spark.read.parquet(f"{staging}/files")
     staged = spark.read.schema(CELL_SCHEMA).parquet(f"{staging}/cells")
 
-    cells = staged.filter(F.col("error").isNull()).drop("error")
-    header_rows = ingest.detect_header_row(cells)
-    named = ingest.headers(cells, header_rows)
+    def stage(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{staging}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{staging}/{name}")
+
+    # Cells take little room in files and much in memory: by their size on disk alone Spark would broadcast all of them.
+    cells = staged.filter(F.col("error").isNull()).drop("error").hint("merge")
+    header_rows = stage("headers", ingest.detect_header_row(cells))  # these three have a few rows per file
+    named = stage("named", ingest.headers(cells, header_rows))
     mapping = ingest.auto_map_columns(ingest.header_context(named))
     if overrides is not None:
         mapping = ingest.apply_manual_mapping(mapping, named, overrides)
-    columns = {"headers": header_rows, "named": named, "mapping": mapping}
-    for name, table in columns.items():  # a few rows per file
-        table.write.mode("overwrite").parquet(f"{staging}/{name}")
-    header_rows, named, mapping = (spark.read.schema(t.schema).parquet(f"{staging}/{n}") for n, t in columns.items())
+    mapping = stage("mapping", mapping)
     status = ingest.mapping_status(header_rows, mapping)
     complete = status.filter(F.col("status") == "success").select("path")
     records = ingest.cells_to_records(cells, header_rows, mapping.join(complete, "path", "left_semi"), named.join(complete, "path", "left_semi"))
@@ -93,6 +95,7 @@ def ingest_files(
     done = spark.read.parquet(f"{sink}/ingest_log/batch_id={batch_id}").filter(F.col("status") == "success")
     reports = ingest.register_reports(listed.join(done.select("path"), "path", "left_semi"), user_id)
     _write(reports, sink, "uploaded_reports", batch_id)
+    reports = spark.read.schema(reports.schema).parquet(f"{sink}/uploaded_reports/batch_id={batch_id}")
     inventory = ingest.inventory_of(typed, reports, user_id)
     target = f"{sink}/inventory/batch_id={batch_id}"
     append_inventory(inventory, target, mode="overwrite")
