@@ -5,6 +5,7 @@ import pytest
 from books import BOOKS, PLAIN, workbook, write_books
 from pyspark.sql import functions as F
 
+from stocklens import session
 from stocklens.operators import changes, rollups, topk
 from stocklens.schemas import TABLES
 from stocklens.streaming import jobs
@@ -55,6 +56,34 @@ def test_replayed_ingest_batch_leaves_the_same_rows(spark, tmp_path):
     assert BOOKS
 
 
+def test_cells_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Their files are far smaller than the cells in memory."""
+    folder, plans = tmp_path / "in", []
+    folder.mkdir()
+    write_books(folder, ["plain.xlsx", "aliases.xlsx"])
+    for name in ("detect_header_row", "headers", "cells_to_records"):
+        made = getattr(jobs.ingest, name)
+        monkeypatch.setattr(jobs.ingest, name, lambda *a, made=made: plans.append(made(*a)) or plans[-1])
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        jobs.ingest_files(spark.read.format("binaryFile").load(str(folder)), str(tmp_path / "out"), "2024-06-01", batch_id=1)
+        joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(plans) == 3 and any("SortMergeJoin [path" in line for line in joins)
+    assert not any("Join [path" in line and "BuildLeft" in line for line in joins)
+
+
+def test_a_checkout_batch_leaves_no_work_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: f"file://{tmp_path}/work")
+    inventory = spark.createDataFrame([(1, "R1", "p", "c", 5.0, 4)], "id long, report_id string, product_name string, category string, price double, quantity int")
+    rows = [(f"l{user}", user, "t", 1, "R1", "p", "c", 5.0, 3, START + timedelta(minutes=user)) for user in (1, 2)]
+    jobs.checkout_batch(spark.createDataFrame(rows, CART), inventory, str(tmp_path / "out"), 0)
+    assert {(r.user_id, r.verdict) for r in jobs.committed(spark, str(tmp_path / "out"), "verdicts").collect()} == {(1, "confirmed"), (2, "over stock")}
+    assert list((tmp_path / "work").iterdir()) == []
+
+
 def test_trend_stream_equals_batch_however_late_a_sale_comes(spark, tmp_path):
     source, sink = tmp_path / "sales", str(tmp_path / "out")
     rows = [("p" if n % 5 else " ", n % 7, START + timedelta(hours=5 * n)) for n in range(60)]
