@@ -36,3 +36,36 @@ def test_fewer_candidates_than_asked_for(spark):
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
     assert topk.top_k(df, F.lit(False)).count() == 0
+
+
+def test_queries_and_candidates_meet_without_a_join(spark):
+    """The sides met in a join whose estimated size left out the copies of queries: they were collected to be broadcast."""
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    plan = topk.top_k(df, F.col("vec_id") % 50 == 0, query_rows=1, candidate_rows=7)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_many_cells_in_few_partitions(spark, monkeypatch):
+    for name, value in (("CELL_QUERIES", 2), ("CELL_PAIRS", 3), ("MOST_PARTS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(9)
+    rows = [(rng.choice([50 * (i % 20), i]), [rng.choice([0.0, 0.5, -0.25, 0.003]) for _ in range(rng.choice([6, 4]))]) for i in range(500)]
+    rows = [r for n, r in enumerate(rows) if r[0] % 50 or r[0] not in {x for x, _ in rows[:n]}]  # brute ranks each row that asks alone
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = topk.top_k(df, F.col("vec_id") % 50 == 0, query_rows=3, candidate_rows=20)
+        assert sorted(tuple(r) for r in found.collect()) == brute(rows, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_scores_of_few_and_of_many_bits_and_short_postings(spark):
+    rng = random.Random(10)
+    rows = [(i, [rng.choice([0.0] * 5 + [0.5, -0.25]) for _ in range(8)]) for i in range(300)]
+    rows += [(300 + i, [rng.choice([0.0, 3e6, -2.5e6, 0.75]) for _ in range(8)]) for i in range(60)]
+    rows += [(400, [-(2.0**20)]), (450, [2.0**20] * 12), (451, [0.0] * 11 + [2.0**22])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for blocks in ({}, {"query_rows": 2, "candidate_rows": 10}):
+        assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **blocks).collect()) == brute(rows, 5)
